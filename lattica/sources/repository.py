@@ -4,7 +4,7 @@ import ast
 import subprocess
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +90,6 @@ FACTS = (
     "kind string, file_path string, node_id string, label string, name string, owner string, start_line int, end_line int, start_byte long, end_byte long, "
     "parameter_count int, return_type string, is_exported boolean, receiver string, arg_count int, form string, target string, ord long"
 )
-_FACT_NAMES = [x.split()[0] for x in FACTS.split(", ")]
 
 
 def parse_python(path: str, source: str) -> list[dict]:
@@ -151,16 +150,15 @@ def parse(files: DataFrame, languages=("python",)) -> DataFrame:
     if set(languages) - {"python"}:
         raise InvalidRequest(f"no parser for {sorted(set(languages) - {'python'})}")
 
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in FACTS.split(", ")])
+
     def run(batches):
-        for pdf in batches:
-            rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in parse_python(p, c or "")]
-            out = pd.DataFrame(rows, columns=_FACT_NAMES)
-            for c in ("parameter_count", "arg_count"):
-                out[c] = out[c].astype("Int32")
-            out["is_exported"] = out["is_exported"].astype("boolean")
-            yield out
-
-    return files.where(F.col("language").isin(*languages)).select("path", "content").mapInPandas(run, FACTS)
+        for b in batches:
+            rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in parse_python(p, c or "")]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.where(F.col("language").isin(*languages)).select("path", "content").mapInArrow(run, FACTS)
 
 
 # ---------------------------------------------------------------- embeddings
