@@ -121,7 +121,11 @@ def score_texts(arr: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np
     n_chars = np.add.reduceat(chars[padded], offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
     none = np.diff(offsets) == 0
     total[none], n_chars[none] = 0, 0
-    return total, n_chars, np.diff(offsets)
+    # the token before leading white space is empty; a blank text has no other
+    real = np.append(chars[:-1] > 0, False)[padded]
+    n = np.add.reduceat(real.astype(np.int64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
+    n[none] = 0
+    return total, n_chars, n
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", min_posterior: float = 0.9, out: tuple[str, str, str] = ("lang_id", "lang_score", "lang_ok")) -> DataFrame:
