@@ -30,9 +30,9 @@ _OPEN, _CLOSE = "\"'([<{", "\"')]>},.;:!?"
 def features(token: str) -> tuple[str, ...]:
     """Shape features of one token."""
     core = token.strip("\"'()[]<>{},;:!?").rstrip(".") or token
-    if core.isalpha():
+    if core.isalpha() and not (core.isupper() and len(core) >= 16):
         case = "U" if core.isupper() and len(core) > 1 else "C" if core[0].isupper() else "l" if core.islower() else "M"
-        return ("w", "case=" + case, "long" if len(core) > 18 else "short", *(("key=" + core[:4],) if case == "U" and len(core) >= 16 else ()))
+        return ("w", "case=" + case, "long" if len(core) > 18 else "short")
     shape = "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.isalpha() else c for c in core)
     runs = [(m.group(1), len(m.group())) for m in _RUNS.finditer(shape)]
     digits = sum(n for c, n in runs if c == "d")

@@ -34,7 +34,7 @@ def _digits(r: random.Random, n: int) -> str:
 def _filler(kind: str, r: random.Random) -> str:
     w = _word(r)
     return {
-        "w": lambda: w, "W": lambda: w.capitalize(), "U": lambda: w.upper(), "n": lambda: _digits(r, r.randint(1, 5)), "m": lambda: f"{_digits(r, r.randint(1, 3))}.{_digits(r, r.randint(1, 2))}",
+        "w": lambda: w, "W": lambda: w.capitalize(), "U": lambda: (w + _word(r) * r.randint(0, 2)).upper(), "n": lambda: _digits(r, r.randint(1, 5)), "m": lambda: f"{_digits(r, r.randint(1, 3))}.{_digits(r, r.randint(1, 2))}",
         "y": lambda: str(r.randint(1900, 2030)), "d": lambda: r.choice((f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}")), "t": lambda: f"{r.randint(0, 23)}:{r.randint(10, 59)}",
         "v": lambda: f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", "x": lambda: r.choice((w + _digits(r, 2), w.capitalize() + "-" + w, _digits(r, 1) + w, w + "." + w, w + "/" + w, w + "_" + w)),
     }[kind]()
@@ -63,7 +63,7 @@ def _entity(r: random.Random) -> tuple[str, str]:
     return label, r.choice((f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", f"DE{_digits(r, 20)}", f"FR{_digits(r, 25)}"))
 
 
-def labelled_table(rows: int = 900, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled_table(rows: int = 1200, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """Sentences as tokens and their labels; a third have no entity."""
     r, out = random.Random(seed), []
     for k in range(rows):
