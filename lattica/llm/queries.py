@@ -112,9 +112,9 @@ ORACLES = {
         SELECT doc_id, source, n_chars, k AS mix_pass, {_number("'11:' || s || ':' || k || ':' || b")} AS mix_block, {_number("'d:11:' || k || ':' || i")} AS mix_key FROM passes
     """,
     "op3_spans": r"""
-        WITH d AS (SELECT doc_id, text, row_number() OVER () AS rid, string_split(regexp_replace(text, '([.!?]+\s+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+        WITH d AS (SELECT doc_id, text, row_number() OVER () AS rid, string_split(regexp_replace(text, '([.!?]+[ \t\n\r\f]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
         s AS (SELECT doc_id, rid, unnest(p) AS raw, generate_subscripts(p, 1) AS pos FROM d),
-        k AS (SELECT *, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS t FROM s),
+        k AS (SELECT *, trim(lower(raw), chr(32) || chr(9) || chr(10) || chr(12) || chr(13)) AS t FROM s),
         w AS (SELECT *, length(t) - length(replace(t, ' ', '')) + 1 AS n,
                 lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3 FROM k WINDOW o AS (PARTITION BY rid ORDER BY pos)),
         runs AS (
@@ -128,7 +128,7 @@ ORACLES = {
             SELECT s.rid, count(gone.pos) AS n_removed, string_agg(CASE WHEN gone.pos IS NULL THEN raw END, '' ORDER BY s.pos) AS text
             FROM s LEFT JOIN gone ON s.rid = gone.rid AND s.pos = gone.pos GROUP BY s.rid)
         SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE coalesce(kept.text, '') END AS text, coalesce(n_removed, 0)::BIGINT AS n_removed
-        FROM d LEFT JOIN kept USING (rid) WHERE coalesce(n_removed, 0) = 0 OR trim(coalesce(kept.text, '')) <> ''
+        FROM d LEFT JOIN kept USING (rid) WHERE coalesce(n_removed, 0) < len(d.p) OR d.text IS NULL
     """,
     "op5_lm": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '') AS ws FROM documents),

@@ -4,21 +4,27 @@ Every run of three consecutive sentences, and every run of two that is long enou
 joined with all other runs of the corpus. In a run that occurs more than once, every sentence of
 every occurrence but the first is removed. First is by id, then by place in the text.
 
-All of it is Spark expressions: two shuffles of hashes, and one join back to the texts.
+Runs are hashed in Arrow batches; then all is relational: the runs' hashes are grouped and joined,
+and what they cover is joined back to the texts, of which only those with a repeat are rebuilt.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
 
 #: Splits behind sentence ends and behind line ends; the parts put together again are the text.
-BOUNDARY = r"([.!?]+\s+|\n+)"
+#: The classes are spelled out because Java and RE2 differ in what white space is.
+BOUNDARY = r"([.!?]+[ \t\n\r\f]+|\n+)"
 MARK = "\u0001"
 #: (sentences in a run, least words that they have together)
 RUNS = ((3, 6), (2, 16))
+LAST = (1 << 63) - 1  # the place of null ids
 
 
 def parts(text: Column) -> Column:
@@ -26,24 +32,44 @@ def parts(text: Column) -> Column:
 
 
 def run_table(docs: DataFrame, id_col: str, text_col: str, runs=RUNS) -> DataFrame:
-    """(h, id, th, pos, n) for every run: its hash, the document, its first sentence and its length."""
-    d = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text_col).alias("th"), parts(F.col(text_col)).alias("p"))
-    d = d.where(F.size("p") >= min(n for n, _ in runs)).withColumn("p", F.transform("p", lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))))
-    d = d.withColumn("w", F.transform("p", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1))
+    """(h, id, th, of, pos, n) for every run: its hash, the document and its sentences, the run's first and how many."""
 
-    def hashes(n: int, least: int) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: i <= F.size("p") - n + 1)
-        words = lambda i: sum((F.element_at("w", i + k) for k in range(1, n)), F.element_at("w", i))
-        made = F.transform(places, lambda i: F.struct(F.when(words(i) >= least, F.xxhash64(F.lit(n), *(F.element_at("p", i + k) for k in range(n)))).alias("h"), (i - 1).alias("pos"), F.lit(n).alias("n")))
-        return F.filter(made, lambda s: s["h"].isNotNull())
+    def run(batches):
+        for b in X.steps(batches, "t"):
+            lower = pc.utf8_lower(X.texts(b.column(2)))
+            lists = pc.split_pattern(pc.replace_substring_regex(lower, pattern=BOUNDARY, replacement="\\1" + MARK), MARK)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            sentences = pc.utf8_trim_whitespace(lists.flatten())
+            words = np.cumsum(np.append(0, pc.count_substring(sentences, " ").to_numpy(zero_copy_only=False).astype(np.int64) + 1))
+            hashes = X.hash64(sentences)
+            row = X.row_of(offsets)
+            at, h, of_n = [], [], []
+            for n, least in runs:
+                i = np.arange(max(0, len(row) - n + 1))
+                i = i[(row[i] == row[i + n - 1]) & (words[i + n] - words[i] >= least)]
+                key = np.full(len(i), n, np.uint64)
+                for k in range(n):
+                    key = X.mix64(key ^ hashes[i + k])
+                at.append(i)
+                h.append(key.view(np.int64))
+                of_n.append(np.full(len(i), n, np.int32))
+            at = np.concatenate(at)
+            r = row[at]
+            ids, ths = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(h)), pa.array(ids[r]), pa.array(ths[r]), pa.array(np.diff(offsets)[r].astype(np.int32)), pa.array((at - offsets[r]).astype(np.int32)), pa.array(np.concatenate(of_n))],
+                names=["h", "id", "th", "of", "pos", "n"],
+            )
 
-    return d.select("id", "th", F.explode(F.concat(*(hashes(n, least) for n, least in runs))).alias("r")).select("r.h", "id", "th", "r.pos", "r.n")
+    d = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    return d.mapInArrow(run, "h long, id long, th long, of int, pos int, n int")
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs=RUNS, removed: str | None = None) -> DataFrame:
     """``docs`` without the sentences that lie in a non-first occurrence of a repeated run.
 
-    Sentences compare by their lower-cased text with single spaces. Texts without such a sentence
+    Sentences compare by their lower-cased text without white space around it. Texts without such a sentence
     stay as they are, null and empty texts among them; a document that loses all its sentences
     goes. Null ids come after all others. Rows with the same id and text are one document: they
     stay, lose or go alike (exact deduplication removes them). Columns are those of ``docs``; with
@@ -53,14 +79,12 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("id", "th", "pos")
     first = table.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select(F.col("h").alias("fh"), "f")
     again = table.join(first, table["h"] == first["fh"]).where(place > F.col("f"))
-    gone = again.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("c"))
-    gi, gt, gc, n_col = (X.fresh(docs, c) for c in ("span_id", "span_text_hash", "span_cover", removed or "span_sentences"))
-    gone = gone.select(F.col("id").alias(gi), F.col("th").alias(gt), F.array_distinct(F.flatten(F.transform("c", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))).alias(gc))
-    joined = docs.join(gone, (F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)) == gone[gi]) & (F.xxhash64(docs[text_col]) == gone[gt]) & docs[text_col].isNotNull(), "left")
-    p = parts(F.col(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gc))
-    text = F.array_join(F.transform(kept, lambda i: F.element_at(p, i + 1)), "")
-    out = joined.select(*[F.when(F.col(gc).isNull(), F.col(text_col)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(gc), F.lit(0)).cast("long").alias(n_col))
-    out = out.where((F.col(n_col) <= 0) | (F.trim(F.col(text_col)) != ""))
-    out = out.withColumn(n_col, F.greatest(F.col(n_col), F.lit(0)))
+    gone = again.groupBy("id", "th", "of").agg(F.collect_set(F.struct("pos", "n")).alias("c"))
+    gi, gt, gs, gc, n_col = (X.fresh(docs, c) for c in ("span_id", "span_text_hash", "span_of", "span_cover", removed or "span_sentences"))
+    gone = gone.select(F.col("id").alias(gi), F.col("th").alias(gt), F.col("of").alias(gs), F.array_distinct(F.flatten(F.transform("c", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))).alias(gc))
+    joined = docs.join(gone, (F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == gone[gi]) & (F.xxhash64(docs[text_col]) == gone[gt]) & docs[text_col].isNotNull(), "left")
+    # the outer transform binds the parts once; named inside a lambda they would be made for each sentence
+    text = F.transform(F.array(parts(F.col(text_col))), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(gc)), lambda i: F.element_at(p, i + 1)), ""))[0]
+    out = joined.where(F.col(gc).isNull() | (F.size(gc) < F.col(gs)))
+    out = out.select(*[F.when(F.col(gc).isNull(), F.col(text_col)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns], F.when(F.col(gc).isNull(), 0).otherwise(F.size(gc)).cast("long").alias(n_col))
     return out if removed else out.select(*docs.columns)
