@@ -45,7 +45,7 @@ def _entity(r: random.Random) -> tuple[str, str]:
     label = r.choice(LABELS[1:])
     if label == "EMAIL":
         user = r.choice((low(3, 9), f"{low(3, 8)}.{low(3, 8)}", f"{low(2, 8)}.{_digits(r, 2)}", f"{low(3, 7)}_{_digits(r, 2)}", f"{low(2, 6)}{_digits(r, 3)}", f"{low(2, 5)}+{low(2, 5)}"))
-        host = r.choice((f"{low(3, 9)}", f"{low(3, 6)}{r.randint(1, 9)}.{low(4, 8)}", f"{low(3, 6)}-{low(3, 6)}"))
+        host = r.choice((f"{low(1, 9)}", f"{low(3, 6)}{r.randint(1, 9)}.{low(4, 8)}", f"{low(3, 6)}-{low(3, 6)}"))
         return label, f"{user}@{host}.{r.choice(('com', 'org', 'net', 'de', 'fr', 'co.uk', 'io'))}"
     if label == "PHONE":
         a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
@@ -54,10 +54,13 @@ def _entity(r: random.Random) -> tuple[str, str]:
         g = [str(r.choice((4, 5, 3))) + _digits(r, 3), *(_digits(r, 4) for _ in range(3))]
         return label, r.choice(("".join(g), "".join(g), "".join(g), "-".join(g), " ".join(g)))
     if label == "IP":
+        if r.random() < 0.2:
+            return label, ":".join(f"{r.randint(0, 65535):x}" for _ in range(8)) if r.random() < 0.5 else f"2001:db8:{r.randint(0, 65535):x}::{r.randint(1, 65535):x}"
         return label, ".".join(str(r.randint(1, 255)) for _ in range(4))
     if label == "SECRET":
         hexes = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((18, 24, 32, 40, 64))))
-        upper = "".join(r.choice(string.ascii_uppercase + (string.digits if r.random() < 0.7 else "")) for _ in range(16))
+        letters = string.ascii_uppercase + (string.digits if r.random() < 0.7 else "")
+        upper = "".join(r.choice(letters) for _ in range(16))
         mixed = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(24, 40)))
         return label, r.choice((f"password={hexes[:18]}", f"AKIA{upper}", f"AKIA{upper}", f'"{hexes}"', hexes, f"api_key={mixed}", f"ghp_{mixed}", f"token={hexes}", f"secret={mixed}", f"passwd={low(6, 12)}{_digits(r, 3)}"))
     return label, r.choice((f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", f"DE{_digits(r, 20)}", f"FR{_digits(r, 25)}"))
