@@ -83,7 +83,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - m).sum(axis)) + m.squeeze(axis)
 
 
-def train(table=None, rounds: int = 150, rate: float = 0.1, ridge: float = 2e-3) -> Model:
+def train(table=None, rounds: int = 150, rate: float = 0.1, ridge: float = 2e-4) -> Model:
     """Adam on the regularised mean log likelihood of a labelled table of (tokens, labels)."""
     table = labelled_table() if table is None else table
     k = len(LABELS)
