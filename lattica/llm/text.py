@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step holds at most; a single longer document is a step of its own.
-STEP_BYTES = 12 << 20
+STEP_BYTES = 4 << 20
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
