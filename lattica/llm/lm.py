@@ -30,6 +30,9 @@ MIN_COUNT = 2
 #: Words that one partition of occurrences is planned for.
 BUCKET_WORDS = 1_200_000
 
+#: Text that one batch of occurrences is made from; larger ones pack tighter.
+BATCH_BYTES = 16 << 20
+
 WORDS, TABLE, ASKED, SUMS, IDS = range(5)
 _SCHEMA = "bucket int, batch long, kind int, n long, a binary, b binary, c binary, d binary, e binary, f binary"
 _COLS = ("bucket", "batch", "kind", "n", "a", "b", "c", "d", "e", "f")
@@ -81,7 +84,7 @@ def _log(x) -> np.ndarray:
 def _scatter(buckets: int):
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
-        for b in X.steps(batches, "t", 2 * X.STEP_BYTES):
+        for b in X.steps(batches, "t", BATCH_BYTES):
             batch = (part << 32) | k
             k += 1
             vocab, ids, offsets = X.words(X.texts(b.column(1)))
@@ -113,15 +116,22 @@ def _scatter(buckets: int):
 
 
 # ---------------------------------------------------------------- trigrams and bigrams
+def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, and each value's number among them."""
+    names, at = np.unique(x, return_inverse=True)
+    return names, at.astype(np.int32)
+
+
 def _counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row, the number of its key among the distinct ones, and how often it occurs."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     s = key[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
-    group = np.cumsum(new) - 1
-    at = np.empty(len(key), np.int64)
+    del s
+    group = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    at = np.empty(len(key), np.int32)
     at[order] = group
-    return at, np.diff(np.append(np.flatnonzero(new), len(s)))[at]
+    return at, np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.int32)[at]
 
 
 def _resolve(buckets: int):
@@ -135,32 +145,38 @@ def _resolve(buckets: int):
         order = np.argsort(r["batch"], kind="stable").tolist()  # the same whatever order rows arrive in
         batches = np.array([r["batch"][i] for i in order], np.int64)
         n = [r["n"][i] for i in order]
-        vs, us, ws, docs = [], [], [], []
-        for i in order:
+        ends = np.cumsum([0, *n])
+
+        def filled(kind, get) -> np.ndarray:
+            x = np.empty(int(ends[-1]), kind)
+            for k, i in enumerate(order):
+                x[ends[k] : ends[k + 1]] = get(i)
+            return x
+
+        def run_heads(i: int) -> np.ndarray:
             v = _open_six(r["a"][i])
-            vs.append(np.repeat(v, _open(r["b"][i], len(v))))
-            names = _open_six(r["c"][i])
-            us.append(names[_open(r["d"][i], r["n"][i])])
-            ws.append(names[_open(r["e"][i], r["n"][i])])
-            docs.append(_open(r["f"][i], r["n"][i]).astype(np.int32))
+            return np.repeat(v, _open(r["b"][i], len(v)))
+
+        def neighbour(col: str):
+            return lambda i: _open_six(r["c"][i])[_open(r[col][i], r["n"][i])]
+
+        # words become small numbers one column after the other, so that only one is there at full width
+        words, vi = _ranks(filled(np.int64, run_heads))
+        start = filled(np.int64, neighbour("d"))
+        un, ui = _ranks(start)
+        start = start == 0
+        end = filled(np.int64, neighbour("e"))
+        wn, wi = _ranks(end)
+        end = end == 0
+        doc, of = filled(np.int32, lambda i: _open(r["f"][i], r["n"][i])), np.repeat(np.arange(len(n), dtype=np.int32), n)
         del r
-        v, u, w = np.concatenate(vs), np.concatenate(us), np.concatenate(ws)
-        del vs, us, ws
-        doc, of = np.concatenate(docs), np.repeat(np.arange(len(n), dtype=np.int32), n)
-        words, vi = np.unique(v, return_inverse=True)
-        del v
         cv_table = np.bincount(vi, minlength=len(words))
         cv = cv_table[vi]
-        # u and w become small numbers, so that pairs fit one key
-        _, ui = np.unique(u, return_inverse=True)
-        wn, wi = np.unique(w, return_inverse=True)
-        start, end = u == 0, w == 0
-        del u, w
-        uv, cuv = _counts(vi * (ui.max() + 1) + ui)
+        uv, cuv = _counts(vi.astype(np.int64) * len(un) + ui)
         del ui
-        _, cuvw = _counts(uv * (len(wn) + 1) + wi)
+        _, cuvw = _counts(uv.astype(np.int64) * len(wn) + wi)
         del uv
-        _, cvw = _counts(vi * (len(wn) + 1) + wi)
+        _, cvw = _counts(vi.astype(np.int64) * len(wn) + wi)
         del vi
         score, plain = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
         tri = ~end & ~start & (cuvw >= MIN_COUNT)
