@@ -131,8 +131,13 @@ def rename_plan(nodes: DataFrame, edges: DataFrame, files: DataFrame, node: str,
 def enclosing(offsets: DataFrame, spans: DataFrame) -> DataFrame:
     """(key, node_id): for each (key, file_path, at) the innermost span: the last to start at or before it that ends at or after it.
 
-    One join on the file and one ordered aggregate; equal starts go to the shorter span, then the id.
+    A span of up to 2^k units lies in one or two bins of that width, so spans join offsets by
+    (file, k, bin), for the few values of k that occur. Equal starts go to the shorter span, then the id.
     """
-    s = spans.select(F.col("file_path").alias("sf"), F.col("node_id"), F.col("start").alias("ss"), F.col("end").alias("se"))
-    hit = offsets.join(s, (F.col("file_path") == F.col("sf")) & (F.col("ss") <= F.col("at")) & (F.col("se") >= F.col("at")))
+    size = F.greatest(F.col("end") - F.col("start") + 1, F.lit(1)).cast("long")
+    s = spans.where(F.col("end") >= F.col("start")).select(F.col("file_path").alias("sf"), "node_id", F.col("start").cast("long").alias("ss"), F.col("end").cast("long").alias("se"), F.ceil(F.log2(size)).cast("int").alias("k"))
+    levels = sorted(r["k"] for r in s.select("k").distinct().collect())  # at most 64
+    s = s.withColumn("bin", F.explode(F.array_distinct(F.array(F.expr("shiftright(ss, k)"), F.expr("shiftright(se, k)")))))
+    o = offsets.select("key", "file_path", F.col("at").cast("long").alias("at"), F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")).alias("ok")).withColumn("obin", F.expr("shiftright(at, ok)"))
+    hit = o.join(s, (F.col("file_path") == F.col("sf")) & (F.col("ok") == F.col("k")) & (F.col("obin") == F.col("bin")) & (F.col("ss") <= F.col("at")) & (F.col("se") >= F.col("at")))
     return hit.groupBy("key").agg(F.min(F.struct((-F.col("ss")).alias("a"), "se", "node_id")).alias("m")).select("key", F.col("m.node_id").alias("node_id"))

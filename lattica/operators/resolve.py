@@ -84,12 +84,40 @@ def decide(candidates: DataFrame, key: str = "ref_id") -> DataFrame:
 
 
 def resolve_symbols(refs: DataFrame, definitions: DataFrame, imports: DataFrame, bindings: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
-    """(ref_id, node_id, tier, confidence)."""
-    out = decide(tier_candidates(refs, definitions, imports, bindings, packages))
-    conf: Column = F.lit(None).cast("double")
+    """(ref_id, node_id, tier, confidence).
+
+    References of one file and name have one answer, so candidates are counted once for each
+    (file, name), and definitions by name or by (file, name) before they meet any reference.
+    """
+    d = definitions.select(F.col("file_path").alias("df"), F.col("name").alias("dn"), "node_id")
+    need = refs.select("file_path", "name").distinct()
+
+    def tier(df: DataFrame, kind: str) -> DataFrame:
+        n = df.groupBy("file_path", "name").agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
+        return n.select("file_path", "name", F.lit(TIERS[kind][0]).alias("rank"), "n", "node_id", F.lit(kind).alias("tier"))
+
+    out = tier(need.join(d, (F.col("file_path") == F.col("df")) & (F.col("name") == F.col("dn"))), "same-file")
+    if bindings is not None:
+        b = bindings.select("file_path", F.col("local_name").alias("name"), F.col("target").alias("bt"), F.col("exported_name").alias("be"))
+        out = out.unionByName(tier(need.join(b, ["file_path", "name"]).join(d, (F.col("bt") == F.col("df")) & (F.col("be") == F.col("dn"))), "named-binding"))
+    i = imports.select("file_path", "target").distinct()
+    out = out.unionByName(tier(need.join(i, "file_path").join(d, (F.col("target") == F.col("df")) & (F.col("name") == F.col("dn"))), "import-resolved"))
+    if packages is not None:
+        p = packages.select("file_path", "package").distinct()
+        peers = p.join(p.select(F.col("file_path").alias("peer"), "package"), "package").where("peer <> file_path").select("file_path", "peer").distinct()
+        out = out.unionByName(tier(need.join(peers, "file_path").join(d, (F.col("peer") == F.col("df")) & (F.col("name") == F.col("dn"))), "package"))
+    everywhere = d.groupBy("dn").agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
+    kind = "unique-global"
+    out = out.unionByName(need.join(everywhere, F.col("name") == F.col("dn")).select("file_path", "name", F.lit(TIERS[kind][0]).alias("rank"), "n", "node_id", F.lit(kind).alias("tier")))
+    best = out.groupBy("file_path", "name").agg(F.min(F.struct("rank", "n", "node_id", "tier")).alias("m")).where("m.n = 1").select("file_path", "name", F.col("m.node_id").alias("node_id"), F.col("m.tier").alias("tier"))
+    return refs.select("ref_id", "file_path", "name").join(best, ["file_path", "name"]).select("ref_id", "node_id", "tier", _confidence(F.col("tier")).alias("confidence"))
+
+
+def _confidence(tier: Column) -> Column:
+    out: Column = F.lit(None).cast("double")
     for kind, (_, c) in TIERS.items():
-        conf = F.when(F.col("tier") == kind, c).otherwise(conf)
-    return out.withColumn("confidence", conf)
+        out = F.when(tier == kind, c).otherwise(out)
+    return out
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame, parents: DataFrame | None = None, bindings: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
@@ -116,10 +144,7 @@ def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame,
     refs = plain.select(F.col("call_id").alias("ref_id"), "file_path", F.col("call_name").alias("name"), "arg_count", "call_form")
     c = tier_candidates(refs, d, imports, bindings, packages).join(refs.select("ref_id", "arg_count", "call_form"), "ref_id").join(d.select("node_id", "parameter_count").distinct(), "node_id")
     c = c.where(fits).where(~((F.col("call_form") == "member") & (F.col("tier") == "unique-global")))
-    conf: Column = F.lit(None).cast("double")
-    for kind, (_, value) in TIERS.items():
-        conf = F.when(F.col("tier") == kind, value).otherwise(conf)
-    by_tier = decide(c).select(F.col("ref_id").alias("call_id"), "node_id", F.col("tier").alias("reason"), conf.alias("confidence"))
+    by_tier = decide(c).select(F.col("ref_id").alias("call_id"), "node_id", F.col("tier").alias("reason"), _confidence(F.col("tier")).alias("confidence"))
     return by_type.unionByName(by_tier)
 
 

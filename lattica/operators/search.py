@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -16,6 +17,10 @@ BOOSTS = {"name": 3.0, "file_path": 1.5, "content": 1.0}
 RRF = 60
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 # ---------------------------------------------------------------- symbols
 def postings(docs: DataFrame, id_col: str = "node_id", fields=tuple(BOOSTS)) -> DataFrame:
     """(field, term, node_id, tf, length): the inverted index of symbol documents."""
@@ -38,26 +43,29 @@ def bm25(docs: DataFrame, query: str, limit: int | None = 20, id_col: str = "nod
     if not query.strip():
         raise InvalidRequest("empty query")
     terms = query_terms(query)
-    p = postings(docs, id_col, fields)
     if not terms:
-        return p.select("node_id", F.lit(0.0).alias("score")).where("false")
-    # the field statistics come from the same tokens; the filter on terms is pushed below the counts
-    lengths = [docs.select(F.lit(f).alias("sf"), F.size(tokens(F.coalesce(F.col(f), F.lit("")))).alias("n")) for f in fields]
-    stats = lengths[0]
-    for s in lengths[1:]:
-        stats = stats.unionByName(s)
-    stats = stats.groupBy("sf").agg(F.avg("n").alias("avg"), F.count("*").alias("docs"))
-    hit = p.where(F.col("term").isin(terms))
-    df = hit.groupBy(F.col("field").alias("df_field"), F.col("term").alias("df_term")).agg(F.count("*").alias("df"))
-    # both are one row a field, or a field and query term
-    x = hit.join(F.broadcast(df), (F.col("field") == F.col("df_field")) & (F.col("term") == F.col("df_term"))).join(F.broadcast(stats), F.col("field") == F.col("sf"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    boost = F.lit(0.0)
+        return docs.select(F.col(id_col).alias("node_id"), F.lit(0.0).alias("score")).where("false")
+    text = {f: F.coalesce(F.col(f), F.lit("")) for f in fields}
+
+    def tokenised(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).alias("node_id"), *[tokens(text[f]).alias(f"t{k}") for k, f in enumerate(fields)])
+
+    tf = {(k, w): F.size(F.filter(f"t{k}", _equals(w))) for k in range(len(fields)) for w in terms}
+    # one pass for the statistics: a single row
+    stats = tokenised(docs).agg(F.count("*").alias("docs"), *[F.avg(F.size(f"t{k}")).alias(f"avg{k}") for k in range(len(fields))], *[F.sum((c > 0).cast("long")).alias(f"df{k}_{w}") for (k, w), c in tf.items()]).first()
+    score = F.lit(0.0)
+    for (k, w), c in tf.items():
+        df = stats[f"df{k}_{w}"] or 0
+        if df:
+            weight = BOOSTS.get(fields[k], 1.0) * math.log(1 + (stats["docs"] - df + 0.5) / (df + 0.5)) * (K1 + 1)
+            score = score + F.when(c > 0, F.lit(weight) * c / (c + K1 * (1 - B + B * F.size(f"t{k}") / F.lit(stats[f"avg{k}"])))).otherwise(0.0)
+    # a token is part of its text, so only rows with a term anywhere in a field are tokenised again
+    maybe = F.lit(False)
     for f in fields:
-        boost = F.when(F.col("field") == f, BOOSTS.get(f, 1.0)).otherwise(boost)
-    score = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg")))
-    out = x.groupBy("node_id").agg(F.round(F.sum(score), 6).alias("score"))
-    return out.orderBy(F.desc("score"), "node_id").limit(limit) if limit else out
+        for w in terms:
+            maybe = maybe | F.lower(text[f]).contains(w)
+    out = tokenised(docs.where(maybe)).select("node_id", F.round(score, 6).alias("score"))
+    return (out.orderBy(F.desc("score"), "node_id").limit(limit) if limit else out).where("score > 0")
 
 
 # ---------------------------------------------------------------- source text

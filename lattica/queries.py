@@ -298,11 +298,11 @@ def enclosing_span_asof(spark, sf_dir):
 # ---------------------------------------------------------------- resolution
 def _definitions(spark, sf_dir) -> DataFrame:
     p = _read(spark, sf_dir, "part")
-    return p.select(F.concat(F.lit("brand/"), "p_brand").alias("file_path"), F.col("p_type").alias("name"), F.concat(F.lit("Part:"), "p_partkey").alias("node_id"), F.lit("Function").alias("type"))
+    return p.select(F.concat(F.lit("brand/"), "p_brand").alias("file_path"), F.concat_ws(" ", "p_type", "p_size").alias("name"), F.concat(F.lit("Part:"), "p_partkey").alias("node_id"), F.lit("Function").alias("type"))
 
 
-@query("""WITH d AS (SELECT 'brand/' || p_brand AS file_path, p_type AS name, 'Part:' || p_partkey AS node_id FROM part),
-    r AS (SELECT DISTINCT l_orderkey AS ref_id, 'brand/' || p_brand AS file_path, p_type AS name FROM lineitem JOIN part ON p_partkey = (l_partkey + l_linenumber) % (SELECT count(*) FROM part) WHERE l_linenumber = 1),
+@query("""WITH d AS (SELECT 'brand/' || p_brand AS file_path, p_type || ' ' || p_size AS name, 'Part:' || p_partkey AS node_id FROM part),
+    r AS (SELECT DISTINCT l_orderkey * 1000000 + p_partkey AS ref_id, 'brand/' || p_brand AS file_path, p_type || ' ' || p_size AS name FROM lineitem JOIN part ON p_partkey = (l_partkey + l_linenumber) % (SELECT count(*) FROM part) WHERE l_linenumber = 1),
     i AS (SELECT DISTINCT 'brand/' || a.p_brand AS file_path, 'brand/' || b.p_brand AS target FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
     c AS (
         SELECT ref_id, node_id, 1 AS rank, 'same-file' AS tier FROM r JOIN d USING (file_path, name)
@@ -311,9 +311,9 @@ def _definitions(spark, sf_dir) -> DataFrame:
     g AS (SELECT ref_id, rank, tier, count(DISTINCT node_id) AS n, min(node_id) AS node_id FROM c GROUP BY ALL)
     SELECT ref_id, node_id, tier, CASE tier WHEN 'same-file' THEN 0.95 WHEN 'unique-global' THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM g QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY rank) = 1 AND n = 1""")
 def tier_resolution(spark, sf_dir):
-    p = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("brand/"), "p_brand").alias("file_path"), "p_type")
+    p = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("brand/"), "p_brand").alias("file_path"), F.concat_ws(" ", "p_type", "p_size").alias("p_type"))
     n = p.agg(F.count("*").alias("parts"))
-    refs = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1").crossJoin(F.broadcast(n)).select(F.col("l_orderkey").alias("ref_id"), ((F.col("l_partkey") + F.col("l_linenumber")) % F.col("parts")).alias("p_partkey")).join(p, "p_partkey").select("ref_id", "file_path", F.col("p_type").alias("name")).distinct()
+    refs = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1").crossJoin(F.broadcast(n)).select("l_orderkey", ((F.col("l_partkey") + F.col("l_linenumber")) % F.col("parts")).alias("p_partkey")).join(p, "p_partkey").select((F.col("l_orderkey") * 1_000_000 + F.col("p_partkey")).alias("ref_id"), "file_path", F.col("p_type").alias("name")).distinct()
     imports = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("file_path").alias("target")), "p_partkey").select("file_path", "target").distinct()
     return resolve.resolve_symbols(refs, _definitions(spark, sf_dir), imports)
 
