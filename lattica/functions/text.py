@@ -97,7 +97,7 @@ _ENTRY = r"^(?i:main|init|bootstrap|start|run|setup|configure)$|^(handle|on|proc
 _LANGUAGE_ENTRY = {
     "javascript": "^use[A-Z]", "typescript": "^use[A-Z]", "python": "(?i)^app$|^(get|post|put|delete|patch|api|view)_", "java": "^(do|create|build)[A-Z]|Service$",
 }
-_UTILITY = r"^(get|set|is|has|can|should|will|did|to|from)[A-Z]|^_|(Helper|Utils?)$|^(?i:(format|parse|validate|convert|transform|encode|decode|serialize|deserialize|clone|copy|deep|merge|extend|assign|filter|map|reduce|sort|find).*|log|debug|error|warn|info|utils?|helpers?)$"
+_UTILITY = r"^(can|did|from|get|has|is|set|should|to|will)[A-Z]|^_|(Helper|Utils?)$|^(?i:(format|parse|validate|convert|transform|encode|decode|serialize|deserialize|clone|copy|deep|merge|extend|assign|filter|map|reduce|sort|find).*|log|debug|error|warn|info|utils?|helpers?)$"
 
 
 def entry_name_factor(name: Column, lang: Column | None = None) -> Column:

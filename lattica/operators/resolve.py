@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..schema import SYMBOLS
 from .traverse import closure
 
-EXTENSIONS = (
-    "", ".tsx", ".ts", ".jsx", ".js", "/index.tsx", "/index.ts", "/index.jsx", "/index.js", ".py", "/__init__.py", ".java", ".kt", ".kts", ".c", ".h", ".cpp", ".hpp", ".cc", ".cxx", ".hxx", ".hh", ".cs", ".go", ".rs", "/mod.rs", ".php", ".swift",
-)
+#: What a path without its extension may end in, in order of preference.
+_ENDINGS = "tsx ts jsx js /index.tsx /index.ts /index.jsx /index.js py /__init__.py java kt kts c h cpp hpp cc cxx hxx hh cs go rs /mod.rs php swift"
+EXTENSIONS = ("", *(e if e[0] == "/" else "." + e for e in _ENDINGS.split()))
 TIERS = {"same-file": (1, 0.95), "named-binding": (2, 0.9), "import-resolved": (3, 0.9), "package": (4, 0.9), "unique-global": (5, 0.5)}
 CALLABLE = ("Constructor", "Function", "Macro", "Method")
 

@@ -21,7 +21,7 @@ def _equals(word: str):
     return lambda x: x == word
 
 
-# ---------------------------------------------------------------- symbols
+# == symbols
 def postings(docs: DataFrame, id_col: str = "node_id", fields=tuple(BOOSTS)) -> DataFrame:
     """(field, term, node_id, tf, length): the inverted index of symbol documents."""
     parts = [docs.select(F.lit(f).alias("field"), F.col(id_col).alias("node_id"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]
@@ -68,7 +68,7 @@ def bm25(docs: DataFrame, query: str, limit: int | None = 20, id_col: str = "nod
     return (out.orderBy(F.desc("score"), "node_id").limit(limit) if limit else out).where("score > 0")
 
 
-# ---------------------------------------------------------------- source text
+# == source text
 @dataclass(frozen=True)
 class SourceQuery:
     text: str = ""
@@ -130,7 +130,7 @@ def source_search(files: DataFrame, query: str, scope: str = "code", limit: int
     return out.orderBy("path", "line").limit(limit) if limit else out
 
 
-# ---------------------------------------------------------------- vectors
+# == vectors
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", query_id: str = "query_id", batch: int = 2048, max_broadcast: int = 100_000) -> DataFrame:
     """(query_id, id, similarity, rank): exact cosine neighbours of each query, ties by id.
 

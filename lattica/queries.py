@@ -42,7 +42,7 @@ def _in(names) -> str:
     return ", ".join(f"'{n}'" for n in sorted(names))
 
 
-# ---------------------------------------------------------------- scans and projections
+# == scans and projections
 @query(f"WITH {G.NODES_SQL} SELECT id, name, file_path FROM nodes WHERE label = 'Interface'")
 def node_scan_by_label(spark, sf_dir):
     return G.nodes(spark, sf_dir).where("label = 'Interface'").select("id", "name", "file_path")
@@ -75,7 +75,7 @@ def adjacency_scan(spark, sf_dir):
     return out.unionByName(e.where("target = 'Part:7'").select(F.lit("in").alias("direction"), "type", F.col("source").alias("neighbour")))
 
 
-# ---------------------------------------------------------------- traversal
+# == traversal
 def _bfs_sql(start: str, step: str, depth: int) -> str:
     return f"""WITH RECURSIVE {G.EDGES_SQL}, moves AS ({step}),
         walk AS (SELECT '{start}' AS id, 0 AS depth UNION SELECT next, depth + 1 FROM walk JOIN moves ON spot = walk.id WHERE depth < {depth})
@@ -181,7 +181,7 @@ def source_excerpts(spark, sf_dir):
     return analyze.excerpt(files, G.nodes(spark, sf_dir))
 
 
-# ---------------------------------------------------------------- checks
+# == checks
 def _checked(spark, sf_dir) -> DataFrame:
     return G.edges(spark, sf_dir).unionByName(G.planted_edges(spark, sf_dir))
 
@@ -235,7 +235,7 @@ def degree_counts(spark, sf_dir):
     return analyze.degrees(G.edges(spark, sf_dir))
 
 
-# ---------------------------------------------------------------- diff and rename
+# == diff and rename
 _HUNKS = "SELECT 'part/' || k || '.go' AS path, k * 100 + 5 AS s, k * 100 + 5 + k AS e, 'modified' AS status FROM range(10) t(k)"
 
 
@@ -295,7 +295,7 @@ def enclosing_span_asof(spark, sf_dir):
     return diff.enclosing(at, spans)
 
 
-# ---------------------------------------------------------------- resolution
+# == resolution
 def _definitions(spark, sf_dir) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     return p.select(F.concat(F.lit("brand/"), "p_brand").alias("file_path"), F.concat_ws(" ", "p_type", "p_size").alias("name"), F.concat(F.lit("Part:"), "p_partkey").alias("node_id"), F.lit("Function").alias("type"))
@@ -335,7 +335,7 @@ def suffix_resolution(spark, sf_dir):
     return resolve.resolve_imports(p.select(F.lit("src/main.py").alias("file_path"), kind.alias("import_path")).distinct(), files)
 
 
-# ---------------------------------------------------------------- enrichment
+# == enrichment
 @query(f"""WITH {G.GRAPH_SQL}, c AS (SELECT * FROM edges WHERE type = 'CALLS'), o AS (SELECT source AS id, count(*) AS callees FROM c GROUP BY 1), i AS (SELECT target AS id, count(*) AS callers FROM c GROUP BY 1)
     SELECT nodes.id, round(callees / (coalesce(callers, 0) + 1) * CASE WHEN is_exported THEN 2.0 ELSE 1.0 END, 6) AS score FROM nodes JOIN o USING (id) LEFT JOIN i USING (id) WHERE label IN ('Function', 'Method')""")
 def entry_point_score(spark, sf_dir):
@@ -404,7 +404,7 @@ def process_traces(spark, sf_dir):
     return community.traces(entries, calls, depth=5).select("entry", F.array_join("path", ">").alias("path"))
 
 
-# ---------------------------------------------------------------- text search
+# == text search
 _STOPS = _in(T.STOP_WORDS)
 _TOKENS = "list_filter(list_transform(regexp_extract_all(regexp_replace({c}, '[^A-Za-z0-9_]', ' ', 'g'), '([A-Z][a-z0-9_]*|[a-z0-9_]+)', 1), lambda x: lower(x)), lambda x: length(x) >= 2 AND x NOT IN (" + _STOPS + "))"
 
@@ -468,7 +468,7 @@ def chunk_declaration(spark, sf_dir):
     return d.select("doc_id", F.posexplode(chunks(F.col("text"), F.lit("Class"))).alias("idx", "c")).select("doc_id", "idx", "c.*")
 
 
-# ---------------------------------------------------------------- vectors
+# == vectors
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _COS = f"round({_DOT.format(a='a', b='b')} / (sqrt({_DOT.format(a='a', b='a')}) * sqrt({_DOT.format(a='b', b='b')})), 6)"
 
@@ -513,7 +513,7 @@ def hybrid_rrf(spark, sf_dir):
     return search.hybrid(p.select(F.col("p_partkey").alias("node_id"), F.col("p_retailprice").alias("score")), p.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("score")), nodes)
 
 
-# ---------------------------------------------------------------- sinks
+# == sinks
 @query()
 def export_nodes_csv(spark, sf_dir):
     from .sources.store import NODE_CSV, csv_table

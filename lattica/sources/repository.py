@@ -65,14 +65,15 @@ def _decoded(files: DataFrame) -> DataFrame:
 
 def git_patch(spark: SparkSession, repository: str, base: str = "HEAD", target: str = "") -> DataFrame:
     """(patch_id, patch): the diff of a checkout, renames found, without context lines, paths relative to it."""
-    cmd = ["git", "-C", repository, "diff", "--relative", "--find-renames", "--unified=0", "--no-color", base, *([target] if target else []), "--", "."]
+    options = "--no-color --unified=0 --relative --find-renames".split()
+    cmd = ["git", "-C", repository, "diff", *options, *filter(None, (base, target)), "--", "."]
     done = subprocess.run(cmd, capture_output=True, text=True, timeout=120)
     if done.returncode:
         raise InvalidRequest(done.stderr.strip())
     return spark.createDataFrame([(0, done.stdout)], "patch_id long, patch string")
 
 
-# ---------------------------------------------------------------- structure
+# == structure
 def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """File and folder nodes, and CONTAINS edges along their paths; files at the root have no parent."""
     parts = F.split("path", "/")
@@ -85,7 +86,7 @@ def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select(F.concat_ws("|", "type", "source", "target").alias("id"), "type", "source", "target", F.lit(1.0).alias("confidence"))
 
 
-# ---------------------------------------------------------------- parsing
+# == parsing
 FACTS = (
     "kind string, file_path string, node_id string, label string, name string, owner string, start_line int, end_line int, start_byte long, end_byte long, "
     "parameter_count int, return_type string, is_exported boolean, receiver string, arg_count int, form string, target string, ord long"
@@ -161,7 +162,7 @@ def parse(files: DataFrame, languages=("python",)) -> DataFrame:
     return files.where(F.col("language").isin(*languages)).select("path", "content").mapInArrow(run, FACTS)
 
 
-# ---------------------------------------------------------------- embeddings
+# == embeddings
 class Embedder(Protocol):
     """What users bring: texts in, vectors of a fixed dimension out."""
 

@@ -123,7 +123,7 @@ class Store:
         shutil.rmtree(trash, ignore_errors=True)
 
 
-# ---------------------------------------------------------------- CSV
+# == CSV
 def csv_text(c: Column, limit: int = 10_000) -> Column:
     """Without control characters (but tab and line ends), cut to ``limit`` characters."""
     return F.substring(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", ""), 1, limit)
@@ -161,4 +161,4 @@ def export_csv(nodes: DataFrame, edges: DataFrame, to: str) -> dict:
 def export_inspection(nodes: DataFrame, edges: DataFrame, to: str) -> None:
     """One CSV folder a label (partitioned in one pass) and one of relations."""
     csv_table(nodes, ("id", "label", "name", "file_path", "start_line", "end_line", "is_exported")).withColumnRenamed("label", "kind").write.mode("overwrite").partitionBy("kind").option("header", True).option("quoteAll", True).csv(os.path.join(to, "symbols"))
-    csv_table(edges, ("source", "target", "type", "confidence", "reason", "step")).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(os.path.join(to, "relations"))
+    csv_table(edges, tuple("source target type confidence reason step".split())).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(os.path.join(to, "relations"))

@@ -131,7 +131,7 @@ def test_changed_symbols(spark):
 def test_rename(spark):
     n = nodes(spark, ("W", "Function", "Work", "m.go", 0, 0), ("R", "Function", "Run", "m.go", 1, 1))
     e = edges(spark, ("CALLS", "R", "W"))
-    files = spark.createDataFrame([("m.go", "func Work() {}\nfunc Run() { Work() }\nWorker")], "path string, content string")
+    files = spark.createDataFrame([("m.go", "func Work() { }\nfunc Run() { return Work(1) }\nWorker")], "path string, content string")
     plan = diff.rename_plan(n, e, files, "W", "Execute")
     assert plan["safe"] and not plan["requires_review"] and [o["kind"] for o in plan["occurrences"]] == ["declaration", "semantic-reference"]
     clash = diff.rename_plan(n, e, files, "W", "Run")
