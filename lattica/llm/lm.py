@@ -80,7 +80,7 @@ def _log(x) -> np.ndarray:
     return np.rint(np.log10(x) * UNIT).astype(np.int64)
 
 
-# ---------------------------------------------------------------- occurrences by partition
+# == occurrences by partition
 def _scatter(buckets: int):
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -115,7 +115,7 @@ def _scatter(buckets: int):
     return run
 
 
-# ---------------------------------------------------------------- trigrams and bigrams
+# == trigrams and bigrams
 def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values, and each value's number among them."""
     names, at = np.unique(x, return_inverse=True)
@@ -221,7 +221,7 @@ def _resolve(buckets: int):
     return run
 
 
-# ---------------------------------------------------------------- unigrams
+# == unigrams
 def _unigrams(buckets: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         kinds = t["kind"].to_numpy()

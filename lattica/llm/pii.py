@@ -26,7 +26,7 @@ _END = re.compile(r"[.!?]+[\"')\]]*$")
 _OPEN, _CLOSE = "\"'([<{", "\"')]>},.;:!?"
 
 
-# ---------------------------------------------------------------- word shapes
+# == word shapes
 def features(token: str) -> tuple[str, ...]:
     """Shape features of one token."""
     core = token.strip("\"'()[]<>{},;:!?").rstrip(".") or token
@@ -64,7 +64,7 @@ def ends_sentence(token: str) -> bool:
     return bool(_END.search(token))
 
 
-# ---------------------------------------------------------------- the model
+# == the model
 @dataclass(frozen=True)
 class Model:
     index: dict[str, int]
@@ -148,7 +148,7 @@ def default_model() -> Model:
     return train()
 
 
-# ---------------------------------------------------------------- decoding
+# == decoding
 def viterbi(e: np.ndarray, start: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best labels of many sequences laid end to end; ties go to the first label in order."""
     out = np.zeros(len(e), np.int8)

@@ -33,7 +33,7 @@ class Model:
     rules: tuple[Rule, ...]
 
 
-# ---------------------------------------------------------------- statistics
+# == statistics
 def with_statistics(docs: DataFrame, text_col: str, names: dict[str, str]) -> DataFrame:
     """``docs`` with one double per statistic, all 0 for a text that is null or blank."""
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -52,7 +52,7 @@ def with_statistics(docs: DataFrame, text_col: str, names: dict[str, str]) -> Da
     return d.select(*docs.columns, *[F.when(F.size(words) > 0, tab[k].cast("double")).otherwise(0.0).alias(names[k]) for k in STATISTICS])
 
 
-# ---------------------------------------------------------------- trees and rules
+# == trees and rules
 def _tree(x: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, rows: np.ndarray, depth: int, least: int, path: tuple, paths: list, value: np.ndarray) -> None:
     best = (1e-9, None)
     gs = g[rows]
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_rules(rows[list(names.values())].to_numpy(float), (rows[y] > 0.5).to_numpy(float), **rules)
 
 
-# ---------------------------------------------------------------- scoring
+# == scoring
 def probability(model: Model, names: dict[str, str]) -> Column:
     """The model as a column expression over the statistics."""
     logit = F.lit(model.intercept)

@@ -30,7 +30,7 @@ STRIP = 2  # coordinates a strip
 HEAVY, LIGHT, SHORT = 3, 1, 3
 
 
-# ---------------------------------------------------------------- fingerprints
+# == fingerprints
 def fingerprints(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """rows x 2 words of 64 bits, and whether the row has any word."""
     vocab, ids, offsets = X.words(arr)
@@ -94,7 +94,7 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(run, "id long, hi long, lo long")
 
 
-# ---------------------------------------------------------------- the plan of the search
+# == the plan of the search
 @dataclass(frozen=True)
 class Plan:
     top_strips: int
@@ -151,7 +151,7 @@ def strip_key(hi: np.ndarray, lo: np.ndarray, strips: int, rng: np.random.Genera
     return key
 
 
-# ---------------------------------------------------------------- search inside one list
+# == search inside one list
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -218,7 +218,7 @@ def search_list(hi: np.ndarray, lo: np.ndarray, plan: Plan, seed: int) -> tuple[
     return child, root[child]
 
 
-# ---------------------------------------------------------------- groups
+# == groups
 def near_edges(points: DataFrame, plan: Plan) -> DataFrame:
     """(a, b) edges between ids of distinct fingerprints: a forest of each list."""
 

@@ -11,7 +11,7 @@ from lattica.llm import text as X
 from .helpers import DOCS, odd_rows, sentence, table, text
 
 
-# ---------------------------------------------------------------- exact
+# == exact
 def brute_exact(rows):
     best = {}
     for k, r in enumerate(rows):
@@ -64,7 +64,7 @@ def test_packing_round_trip():
         assert (exact._unpack(exact._pack(c)).nonzero()[0] == c).all()
 
 
-# ---------------------------------------------------------------- near
+# == near
 def brute_print(t):
     words = {w for w in (re.sub(r"[\W_]+", "", x.lower()) for x in t.split()) if w}
     total, half = np.zeros(128), 0
@@ -183,7 +183,7 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(e.where("false")).count() == 0
 
 
-# ---------------------------------------------------------------- spans
+# == spans
 def brute_spans(rows, runs=spans.RUNS):
     docs = [(i, t, re.sub(spans.BOUNDARY, lambda m: m.group() + "\x01", t).split("\x01")) for i, t, *_ in rows if t is not None]
     seen, gone = set(), {}

@@ -13,7 +13,7 @@ from lattica.llm.pii_examples import LABELS, labelled_table
 from .helpers import DOCS, odd_rows, sentence, table, text
 
 
-# ---------------------------------------------------------------- decontamination
+# == decontamination
 def norm(t):
     return [w for w in (re.sub(r"[\W_]+", "", x.lower()) for x in t.split()) if w]
 
@@ -97,7 +97,7 @@ def test_no_items_no_documents(spark):
     assert decontam.decontaminate(e, spark.createDataFrame([("x y",)], "text string"), group_words=1).columns == e.columns
 
 
-# ---------------------------------------------------------------- mixing
+# == mixing
 def test_exponent_meets_its_targets():
     t = [1000, 100, 10, 10]
     for target in (0.6, 0.8, 0.95):
@@ -154,7 +154,7 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(table(spark, [(1, None, "a", "b")])).count() == 0
 
 
-# ---------------------------------------------------------------- language model
+# == language model
 def brute_lm(texts):
     docs = [norm(t or "") for t in texts]
     c = {}
@@ -209,7 +209,7 @@ def test_packed_numbers_round_trip():
     assert lm._open_six(lm._six(x)).tolist() == x.tolist()
 
 
-# ---------------------------------------------------------------- personal data
+# == personal data
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(0)
     e, trans = rng.normal(size=(14, 3)), rng.normal(size=(3, 3))
@@ -248,7 +248,7 @@ def test_redaction(spark):
     assert pii.redact_pii(spark.createDataFrame([], DOCS)).count() == 0
 
 
-# ---------------------------------------------------------------- quality
+# == quality
 def labelled(seed, n=240):
     r = random.Random(seed)
     rows, labels = [], []
