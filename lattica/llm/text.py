@@ -73,6 +73,7 @@ def steps(batches: Iterator[pa.RecordBatch], col: str, limit: int = STEP_BYTES)
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
+            pa.default_memory_pool().release_unused()  # what the last slice needed goes back before the next
             at = to
 
 
