@@ -1,9 +1,10 @@
 """Benchmark decontamination with a generalised suffix automaton over the test items' words.
 
 The automaton holds every word sequence of every item. Training texts stream through it; at each
-word the longest sequence that ends there and occurs in an item is known. A span is removed when
-it has ``max_words`` words, or covers ``max_coverage`` of an item that contains it (and has
-``min_words`` at least). Words are as in ``text``: case, punctuation and white space don't matter.
+word the longest sequence that ends there and occurs in an item is known, and by the suffix links
+every shorter one, which may occur in shorter items. A span is removed when it has ``max_words``
+words, or covers ``max_coverage`` of an item that contains it (and has ``min_words`` at least).
+Words are as in ``text``: case, punctuation and white space don't matter.
 
 Only runs of words whose every neighbouring pair occurs in some item can hold such a span, so the
 pairs are tested in numpy and the automaton walks those runs alone; nothing is lost by that.
@@ -97,6 +98,11 @@ class Matcher:
         self.automaton = Automaton(items)
         self.max_words, self.max_coverage, self.min_words = max_words, max_coverage, min_words
         self.need = min([max_words, *(self.limit(len(x)) for x in items)])
+        # of each state, the length of the longest sequence at or above it that reaches the limit of its own shortest item
+        a = self.automaton
+        self.over = [0] * len(a.link)
+        for s in sorted(range(1, len(a.link)), key=a.length.__getitem__):
+            self.over[s] = a.length[s] if a.length[s] >= self.limit(a.item[s]) else self.over[a.link[s]]
         pairs = [a * len(vocab) + b for x in items for a, b in zip(x, x[1:])]
         self.pairs = np.unique(np.array(pairs, np.int64))
 
@@ -125,7 +131,11 @@ class Matcher:
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             r = int(row[a])
             for i, (s, n) in enumerate(self.automaton.walk(known[a:b].tolist())):
-                if n >= self.need and n >= self.limit(self.automaton.item[s]):
+                if n < self.need:
+                    continue
+                if n < self.limit(self.automaton.item[s]):
+                    n = self.over[self.automaton.link[s]]
+                if n:
                     lo, hi = a + i + 1 - n - int(offsets[r]), a + i + 1 - int(offsets[r])
                     own = out.setdefault(r, [])
                     while own and own[-1][1] >= lo:

@@ -55,6 +55,26 @@ def test_spans_against_brute_force():
         assert {k for a, b in got.get(i, []) for k in range(a, b)} == brute_leaks(t, items, m)
 
 
+def test_overlapping_items():
+    from lattica.llm import text as X
+
+    short = [f"b{k}" for k in range(10)]
+    items = [" ".join([*(f"a{k}" for k in range(15)), "question", *short, *(f"c{k}" for k in range(14))]), " ".join(short)]
+    m = decontam.Matcher(items, 13, 0.7, 8)
+    t = "x y question " + " ".join(short) + " z"
+    assert m.spans(*X.words(pa.array([t], pa.large_string()))) == {0: [(3, 13)]}
+    r = random.Random(7)
+    for _ in range(40):
+        base = [r.choice("abcde") for _ in range(60)]
+        cut = lambda most: (lambda n, at: base[at : at + n])(r.randint(3, most), r.randint(0, 40))  # noqa: E731,B023
+        items = [" ".join(cut(most)) for most in (5, 8, 12, 20)] + [" ".join(base)]
+        texts = [" ".join([*r.choices("abcdef", k=5), *cut(18), *r.choices("abcdef", k=5), *cut(12)]) for _ in range(5)]
+        m = decontam.Matcher(items, 13, 0.7, 4)
+        got = m.spans(*X.words(pa.array(texts, pa.large_string())))
+        for i, t in enumerate(texts):
+            assert {k for a, b in got.get(i, []) for k in range(a, b)} == brute_leaks(t, items, m)
+
+
 def test_automaton_lengths_against_brute_force():
     r = random.Random(1)
     items = [[r.randint(0, 3) for _ in range(r.randint(1, 12))] for _ in range(6)]
