@@ -401,7 +401,7 @@ def mro_overrides(spark, sf_dir):
 def process_traces(spark, sf_dir):
     entries = _read(spark, sf_dir, "orders").select(F.concat(F.lit("Order:"), "o_orderkey").alias("id"))
     calls = G.edges(spark, sf_dir).where("type in ('CALLS', 'EXTENDS')").select("source", "target")
-    return community.traces(entries, calls, depth=5).select("entry", F.array_join("path", ">").alias("path"))
+    return community.traces(entries, calls).select("entry", F.array_join("path", ">").alias("path"))
 
 
 # == text search
