@@ -131,11 +131,12 @@ def source_search(files: DataFrame, query: str, scope: str = "code", limit: int
 
 
 # == vectors
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", query_id: str = "query_id", batch: int = 2048, max_broadcast: int = 100_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", query_id: str = "query_id", batch: int = 2048, max_broadcast: int = 100_000, digits: int = 6) -> DataFrame:
     """(query_id, id, similarity, rank): exact cosine neighbours of each query, ties by id.
 
     Queries of a checked number are broadcast and every partition keeps its own k best by matrix
-    products; only those are shuffled. More queries than that go in rounds.
+    products of ``batch`` vectors with as many queries; only those are shuffled. More queries than
+    that go in rounds. Similarities are rounded to ``digits`` (12 at most) before they are compared.
     """
     import numpy as np
     import pandas as pd
@@ -149,23 +150,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
         def run(batches):
             ids, q = shared.value
-            best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), None, object)
+            best_s, best_i = np.empty((len(ids), 0)), None
             for pdf in batches:
                 for at in range(0, len(pdf), batch):
                     part = pdf.iloc[at : at + batch]
-                    part = part[part["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])]
+                    part = part[part["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])].sort_values("id")
                     if not len(part):
                         continue
                     m = np.stack(part["embedding"].to_numpy()).astype(float)
                     norm = np.linalg.norm(m, axis=1)
-                    s = np.round(np.divide(q @ m.T, norm, out=np.zeros((len(ids), len(part))), where=norm > 0), 6)
-                    names = np.broadcast_to(part["id"].to_numpy(object), s.shape)
-                    best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, names], 1)
+                    names, n = np.array(part["id"].tolist()), len(part)
+                    near = min(k, n)
+                    new_s, new_i = np.empty((len(ids), near)), np.empty((len(ids), near), names.dtype)
+                    for lo in range(0, len(ids), batch):
+                        own = slice(lo, lo + batch)
+                        s = q[own] @ m.T
+                        s = np.round(np.divide(s, norm, out=np.zeros_like(s), where=norm > 0), digits)
+                        # places are in the ids' order, so no two keys are the same and ties go by id
+                        key = np.rint(np.nan_to_num(s, nan=-2.0) * -(10.0**digits)).astype(np.int64) * n + np.arange(n)
+                        top = np.argpartition(key, near - 1, axis=1)[:, :near]
+                        new_s[own], new_i[own] = np.take_along_axis(s, top, 1), names[top]
+                    best_s, best_i = np.concatenate([best_s, new_s], 1), new_i if best_i is None else np.concatenate([best_i, new_i], 1)
                     if best_s.shape[1] > k:
-                        order = np.stack([np.lexsort((i.astype(type(i[0])), -v))[:k] for v, i in zip(best_s, best_i)])
+                        order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
                         best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            if best_s.shape[1]:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), "id": best_i.ravel(), "similarity": best_s.ravel()})
+            for lo in range(0, len(ids) if best_s.shape[1] else 0, batch):
+                own = slice(lo, lo + batch)
+                yield pd.DataFrame({"query_id": np.repeat(ids[own], best_s.shape[1]), "id": best_i[own].ravel(), "similarity": best_s[own].ravel()})
 
         kind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)[query_id]
         return vectors.select(F.col(id_col).alias("id"), "embedding").mapInPandas(run, f"query_id {kind[1]}, id {kind[0]}, similarity double")
@@ -251,3 +262,15 @@ def two_stage(vectors: DataFrame, query, k: int = 10, widen: int = 4, id_col: st
     q = F.array(*[F.lit(float(v)) for v in query])
     coarse = vectors.select(F.col(id_col).alias("id"), "embedding", cosine(decode_int8(encode_int8(vectors, params), params), q).alias("c")).orderBy(F.desc("c"), "id").limit(widen * k)
     return coarse.select("id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+
+
+def two_stage_many(vectors: DataFrame, queries: DataFrame, k: int = 10, widen: int = 4, id_col: str = "vec_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, id, similarity, rank): ``two_stage`` for each (query_id, embedding) of ``queries``."""
+    params = [(r["offset"], r["scale"]) for r in train_int8(vectors).orderBy("dim").collect()]
+    q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").alias("q"))
+    coded = vectors.select(id_col, decode_int8(encode_int8(vectors, params), params).alias("embedding"))
+    coarse = top_k(coded, queries, widen * k, id_col, query_id, digits=12).select("query_id", "id")
+    full = coarse.join(vectors.select(F.col(id_col).alias("id"), "embedding"), "id").join(q, "query_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    scored = full.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -477,7 +477,7 @@ _COS = f"round({_DOT.format(a='a', b='b')} / (sqrt({_DOT.format(a='a', b='a')})
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10""")
 def vector_topk(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings")
-    return search.top_k(v, v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return search.top_k(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 _Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -500,7 +500,10 @@ def int8_train_params(spark, sf_dir):
 @query(f"""SELECT vec_id AS id, {_COS} AS similarity FROM (SELECT vec_id, embedding AS b, {_Q0} AS a FROM embeddings) ORDER BY similarity DESC, id LIMIT 10""")
 def int8_topk_recall(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings")
-    return search.two_stage(v, v.where("vec_id = 0").first()["embedding"], 10, widen=10)
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = search.top_k(v, q, 10).select("query_id", "id")
+    found = search.two_stage_many(v, q, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 @query(f"""WITH lex AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 40), sem AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part QUALIFY rank <= 40),

@@ -3,8 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattica import queries as Q
+from lattica.operators import search
 
 PARTS = 1500
 
@@ -39,3 +41,32 @@ def test_process_traces_go_ten_nodes_deep(spark, tables):
             want.add((f"Order:{o}", ">".join(path)))
     assert max(p.count(">") for _, p in want) == 9
     assert {tuple(r) for r in Q.process_traces(spark, d).collect()} == want
+
+
+def nearest(t, k=10):
+    m = np.array(t["embeddings"]["embedding"].tolist())
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round((u := np.divide(m, n, out=np.zeros_like(m), where=n > 0)) @ u.T, 6)
+    return {(q, i, rank + 1) for q in range(len(s)) for rank, i in enumerate(np.lexsort((np.arange(len(s)), -s[q]))[:k].tolist())}
+
+
+def test_every_vector_is_a_query(spark, tables):
+    d, t = tables
+    want = nearest(t)
+    assert {(r.query_id, r.id, r["rank"]) for r in Q.vector_topk(spark, d).collect()} == want
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.format_string("%03d", "vec_id").alias("vec_id"), "embedding").repartition(3)
+    got = search.top_k(v, v.withColumnRenamed("vec_id", "query_id"), 10, batch=7)
+    assert {(int(r.query_id), int(r.id), r["rank"]) for r in got.collect()} == want
+
+
+def test_recall_is_of_every_vector_at_the_default_width(spark, tables):
+    d, t = tables
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    got = {r.query_id: r.recall for r in Q.int8_topk_recall(spark, d).collect()}
+    assert got.keys() == set(range(90))
+    exact = {(q, i) for q, i, _ in nearest(t)}
+    for q in (0, 17, 89):
+        found = [r.id for r in search.two_stage(v, t["embeddings"]["embedding"][q], 10).collect()]
+        assert got[q] == sum((q, i) in exact for i in found) / 10
+    many = search.two_stage_many(v, v.where("vec_id = 17").withColumnRenamed("vec_id", "query_id"), 10, widen=1).orderBy("rank").collect()
+    assert [(r.id, r.similarity) for r in many] == [tuple(r) for r in search.two_stage(v, t["embeddings"]["embedding"][17], 10, widen=1).collect()]
