@@ -313,7 +313,7 @@ def _definitions(spark, sf_dir) -> DataFrame:
 def tier_resolution(spark, sf_dir):
     p = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("brand/"), "p_brand").alias("file_path"), F.concat_ws(" ", "p_type", "p_size").alias("p_type"))
     n = p.agg(F.count("*").alias("parts"))
-    refs = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1").crossJoin(F.broadcast(n)).select("l_orderkey", ((F.col("l_partkey") + F.col("l_linenumber")) % F.col("parts")).alias("p_partkey")).join(p, "p_partkey").select((F.col("l_orderkey") * 1_000_000 + F.col("p_partkey")).alias("ref_id"), "file_path", F.col("p_type").alias("name")).distinct()
+    refs = _read(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n)).select("l_orderkey", ((F.col("l_partkey") + F.col("l_linenumber")) % F.col("parts")).alias("p_partkey")).join(p, "p_partkey").select((F.col("l_orderkey") * 1_000_000 + F.col("p_partkey")).alias("ref_id"), "file_path", F.col("p_type").alias("name")).distinct()
     imports = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("file_path").alias("target")), "p_partkey").select("file_path", "target").distinct()
     return resolve.resolve_symbols(refs, _definitions(spark, sf_dir), imports)
 

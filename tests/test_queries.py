@@ -70,3 +70,23 @@ def test_recall_is_of_every_vector_at_the_default_width(spark, tables):
         assert got[q] == sum((q, i) in exact for i in found) / 10
     many = search.two_stage_many(v, v.where("vec_id = 17").withColumnRenamed("vec_id", "query_id"), 10, widen=1).orderBy("rank").collect()
     assert [(r.id, r.similarity) for r in many] == [tuple(r) for r in search.two_stage(v, t["embeddings"]["embedding"][17], 10, widen=1).collect()]
+
+
+def test_tier_resolution_takes_every_line(spark, tables):
+    d, t = tables
+    parts = {k: (f"brand/b{k % 7}", f"t{k % 50} {k % 11}") for k in range(PARTS)}
+    imports = {(parts[k][0], parts[k + 1][0]) for k in range(PARTS - 1)}
+    named = {}
+    for k, (f, n) in parts.items():
+        named.setdefault(n, []).append((f, f"Part:{k}"))
+    want = set()
+    refs = {(o * 1_000_000 + (p + n) % PARTS, (p + n) % PARTS) for o, p, n in t["lineitem"][["l_orderkey", "l_partkey", "l_linenumber"]].itertuples(index=False)}
+    for ref, k in refs:
+        f, n = parts[k]
+        for tier, test in (("same-file", lambda x: x == f), ("import-resolved", lambda x: (f, x) in imports), ("unique-global", lambda x: True)):  # noqa: B023
+            if c := [node for x, node in named[n] if test(x)]:
+                if len(c) == 1:
+                    want.add((int(ref), c[0], tier))
+                break
+    assert len(want) > 6
+    assert {(r.ref_id, r.node_id, r.tier) for r in Q.tier_resolution(spark, d).collect()} == want
