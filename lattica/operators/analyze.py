@@ -29,8 +29,10 @@ def context(nodes: DataFrame, edges: DataFrame, node: str, types=None, limit: in
 def excerpt(files: DataFrame, nodes: DataFrame, max_lines: int = 200) -> DataFrame:
     """(id, excerpt): the lines of each node's span in its file; lines are 0-based, spans inclusive."""
     n = nodes.where(F.col("start_line").isNotNull() & (F.col("start_line") >= 0)).select("id", F.col("file_path").alias("path"), "start_line", F.greatest(F.coalesce("end_line", "start_line"), F.col("start_line")).alias("end_line"))
-    lines = F.split("content", "\n")
-    return n.join(files.select("path", "content"), "path").where(F.col("start_line") < F.size(lines)).select("id", F.array_join(F.slice(lines, F.col("start_line") + 1, F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(max_lines))), "\n").alias("excerpt"))
+    # a file with nodes is split once, before it meets them; lines are too much to broadcast
+    lines = F.col("lines")
+    own = files.join(n.select("path"), "path", "left_semi").select("path", F.split("content", "\n").alias("lines"))
+    return n.join(own.hint("merge"), "path").where(F.col("start_line") < F.size(lines)).select("id", F.array_join(F.slice(lines, F.col("start_line") + 1, F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(max_lines))), "\n").alias("excerpt"))
 
 
 def endpoint_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:

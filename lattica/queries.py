@@ -177,8 +177,9 @@ def context_neighbourhood(spark, sf_dir):
 @query(f"""WITH {G.NODES_SQL}, f AS (SELECT 'part/' || k || '.go' AS path, list_transform(range(500), lambda i: 'line ' || i) AS lines FROM (SELECT DISTINCT p_partkey % 10 AS k FROM part))
     SELECT id, array_to_string(lines[start_line + 1:end_line + 1], chr(10)) AS excerpt FROM nodes JOIN f ON path = file_path WHERE start_line < 500""")
 def source_excerpts(spark, sf_dir):
-    files = _read(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey") % 10, F.lit(".go")).alias("path")).distinct().withColumn("content", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.concat(F.lit("line "), i)), "\n"))
-    return analyze.excerpt(files, G.nodes(spark, sf_dir))
+    n = G.nodes(spark, sf_dir)
+    files = n.groupBy(F.col("file_path").alias("path")).agg(F.max("end_line").alias("last")).select("path", F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.concat(F.lit("line "), i)), "\n").alias("content"))
+    return analyze.excerpt(files, n)
 
 
 # == checks

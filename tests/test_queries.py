@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica import queries as Q
 from lattica.operators import search
+from lattica.plans import graph as G
 
 PARTS = 1500
 
@@ -90,3 +91,9 @@ def test_tier_resolution_takes_every_line(spark, tables):
                 break
     assert len(want) > 6
     assert {(r.ref_id, r.node_id, r.tier) for r in Q.tier_resolution(spark, d).collect()} == want
+
+
+def test_every_node_has_its_excerpt(spark, tables):
+    d, _ = tables
+    got = {r.id: r.excerpt for r in Q.source_excerpts(spark, d).collect()}
+    assert got == {r.id: "\n".join(f"line {i}" for i in range(r.start_line, r.end_line + 1)) for r in G.nodes(spark, d).collect()} and len(got) > PARTS
