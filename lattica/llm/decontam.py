@@ -11,26 +11,33 @@ pairs are tested in numpy and the automaton walks those runs alone; nothing is l
 """
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
 
-_TOKEN, _HAS_WORD = regex.compile(r"\S+"), regex.compile(r"[\p{L}\p{N}]")
+#: Longer than any item: the shortest item of a state that none has reached.
+NO_ITEM = (1 << 31) - 1
 
 
 class Automaton:
-    """Generalised suffix automaton; each state knows the shortest item that contains it."""
+    """Generalised suffix automaton; each state knows the shortest item that contains it.
+
+    States are numbers in flat arrays. Most have one way on, which lies in ``word`` and ``to``;
+    only further ones are in dictionaries. That is about 150 bytes a word of the items.
+    """
 
     def __init__(self, items: list[list[int]]):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.item = [-1], [0], [math.inf]
+        self.word, self.to = array("i"), array("i")
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length, self.item = array("i"), array("i"), array("i")
+        self._new(0, -1)
         for words in items:
             last = 0
             for w in words:
@@ -39,38 +46,55 @@ class Automaton:
         for words in items:
             s = 0
             for w in words:
-                s = self.next[s][w]
+                s = self.go(s, w)
                 self.item[s] = min(self.item[s], len(words))
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
+        for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[:0:-1].tolist():
             up = self.link[s]
             self.item[up] = min(self.item[up], self.item[s])
 
-    def _new(self, length: int, nxt: dict[int, int], link: int) -> int:
-        self.next.append(nxt)
+    def go(self, s: int, w: int) -> int:
+        """The state after ``w``, -1 where there is none."""
+        if self.word[s] == w:
+            return self.to[s]
+        more = self.more.get(s)
+        return more.get(w, -1) if more else -1
+
+    def _set(self, s: int, w: int, q: int) -> None:
+        if self.word[s] in (-1, w):
+            self.word[s], self.to[s] = w, q
+        else:
+            self.more.setdefault(s, {})[w] = q
+
+    def _new(self, length: int, link: int, like: int | None = None) -> int:
+        new = len(self.link)
+        self.word.append(-1 if like is None else self.word[like])
+        self.to.append(-1 if like is None else self.to[like])
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
         self.length.append(length)
         self.link.append(link)
-        self.item.append(math.inf)
-        return len(self.link) - 1
+        self.item.append(NO_ITEM)
+        return new
 
     def _split(self, p: int, q: int, w: int) -> int:
-        clone = self._new(self.length[p] + 1, dict(self.next[q]), self.link[q])
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
+        clone = self._new(self.length[p] + 1, self.link[q], q)
+        while p >= 0 and self.go(p, w) == q:
+            self._set(p, w, clone)
             p = self.link[p]
         self.link[q] = clone
         return clone
 
     def _extend(self, last: int, w: int) -> int:
-        if w in self.next[last]:
-            q = self.next[last][w]
+        q = self.go(last, w)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, w)
-        cur = self._new(self.length[last] + 1, {}, 0)
+        cur = self._new(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = cur
+        while p >= 0 and self.go(p, w) < 0:
+            self._set(p, w, cur)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][w]
+            q = self.go(p, w)
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return cur
 
@@ -78,13 +102,12 @@ class Automaton:
         """(state, longest match length) after each word."""
         s = n = 0
         for w in words:
-            while s and w not in self.next[s]:
+            q = self.go(s, w)
+            while s and q < 0:
                 s = self.link[s]
                 n = self.length[s]
-            if w in self.next[s]:
-                s, n = self.next[s][w], n + 1
-            else:
-                s = n = 0
+                q = self.go(s, w)
+            s, n = (q, n + 1) if q >= 0 else (0, 0)
             yield s, n
 
 
@@ -100,15 +123,15 @@ class Matcher:
         self.need = min([max_words, *(self.limit(len(x)) for x in items)])
         # of each state, the length of the longest sequence at or above it that reaches the limit of its own shortest item
         a = self.automaton
-        self.over = [0] * len(a.link)
-        for s in sorted(range(1, len(a.link)), key=a.length.__getitem__):
+        self.over = array("i", bytes(4 * len(a.link)))
+        for s in np.argsort(np.frombuffer(a.length, np.int32), kind="stable")[1:].tolist():
             self.over[s] = a.length[s] if a.length[s] >= self.limit(a.item[s]) else self.over[a.link[s]]
         pairs = [a * len(vocab) + b for x in items for a, b in zip(x, x[1:])]
         self.pairs = np.unique(np.array(pairs, np.int64))
 
-    def limit(self, item_words: float) -> int:
+    def limit(self, item_words: int) -> int:
         """Words from which a span inside an item of this length is removed."""
-        return max(1, min(self.max_words, max(self.min_words, math.ceil(self.max_coverage * item_words)))) if item_words < math.inf else self.max_words
+        return max(1, min(self.max_words, max(self.min_words, math.ceil(self.max_coverage * item_words)))) if item_words < NO_ITEM else self.max_words
 
     def spans(self, vocab: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Row -> merged [from, to) word spans over a limit."""
@@ -145,45 +168,65 @@ class Matcher:
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of the spans; white space on one side of each goes with them."""
-    at = [m.span() for m in _TOKEN.finditer(text) if _HAS_WORD.search(m.group())]
+    """The text without the words of the spans; what lies between a span and the next token goes with it.
+
+    Tokens and words are taken by the same Arrow kernels as in ``text.words``, as other libraries
+    differ in what is white space, a letter or a number.
+    """
+    tokens = pc.utf8_split_whitespace(pa.array([text], pa.large_string())).flatten()
+    is_word = pc.not_equal(X.normalise(tokens), "").to_pylist()
+    starts, ends, at = [], [], 0
+    for t in tokens.to_pylist():
+        at = text.index(t, at)  # only white space lies before it
+        starts.append(at)
+        at += len(t)
+        ends.append(at)
+    word = [k for k, w in enumerate(is_word) if w]
     out, done = [], 0
     for a, b in spans:
-        out.append(text[done : at[a][0]])
-        done = at[b - 1][1]
-        while done < len(text) and text[done].isspace():
-            done += 1
+        out.append(text[done : starts[word[a]]])
+        last = word[b - 1]
+        done = starts[last + 1] if last + 1 < len(starts) else len(text)
+        if last + 1 < len(starts) and starts[last + 1] == ends[last + 1]:
+            done = len(text)  # the empty token behind white space that ends a text
     out.append(text[done:])
     return "".join(out)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text", max_words: int = 13, max_coverage: float = 0.7, min_words: int = 8, group_words: int = 4_000_000, removed: str | None = None) -> DataFrame:
+def _groups(items: DataFrame, item_col: str, group_words: int):
+    """The distinct items, a bounded number of words at a time."""
+    group, size = [], 0
+    for r in items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string")).distinct().orderBy(item_col).toLocalIterator():
+        n = len(r[0].split()) + 1
+        if group and size + n > group_words:
+            yield group
+            group, size = [], 0
+        group.append(r[0])
+        size += n
+    yield group
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text", max_words: int = 13, max_coverage: float = 0.7, min_words: int = 8, group_words: int = 500_000, removed: str | None = None) -> DataFrame:
     """``docs`` with the spans of test items cut from ``text_col``.
 
     A document that loses all its words goes; every other row stays, and a text without such a
-    span stays as it is. Null, empty and wordless texts stay. Null and empty items match nothing;
-    no items at all leave ``docs`` as it is. With ``removed``, a column of that name (underscored
-    where it clashes) counts the words cut.
+    span stays as it is. Null, empty and wordless texts stay. Repeated rows are treated alike, each
+    on its own; very long texts are read whole. Null and empty items match nothing, repeated items
+    count once; no items at all leave ``docs`` as it is. With ``removed``, a column of that name
+    (underscored where it clashes) counts the words cut.
 
-    The items' automaton is broadcast. Items of more than ``group_words`` words together make
-    several automata, used one after the other on the same whole texts, so none outgrows a worker.
+    The items' automaton is broadcast. Items of more than ``group_words`` words together (about 75
+    MB) make several automata, built one after the other and used so on the same whole texts, so
+    none outgrows the driver or a worker.
     """
-    groups, size = [[]], 0
-    for r in items.where(F.col(item_col).isNotNull()).select(item_col).distinct().orderBy(item_col).toLocalIterator():
-        n = len(r[0].split())
-        if size + n > group_words and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append(r[0])
-        size += n
     spans_col, count_col = X.fresh(docs, "leak_spans"), X.fresh(docs, removed or "leak_words")
-    out = docs
     spans_type = T.ArrayType(T.LongType())
-    for i, group in enumerate(groups):
-        last = i == len(groups) - 1
+    out, shared = docs, None
+    for i, group in enumerate(_groups(items, item_col, group_words)):
+        if shared is not None:
+            out = out.mapInArrow(_pass(shared, text_col, spans_col, count_col, i > 1, False), X.with_fields(docs, (spans_col, spans_type)))
         shared = docs.sparkSession.sparkContext.broadcast(Matcher(group, max_words, max_coverage, min_words))
-        schema = X.with_fields(docs, (count_col, T.LongType()) if last else (spans_col, spans_type))
-        out = out.mapInArrow(_pass(shared, text_col, spans_col, count_col, i > 0, last), schema)
+    out = out.mapInArrow(_pass(shared, text_col, spans_col, count_col, i > 0, True), X.with_fields(docs, (count_col, T.LongType())))
     kept = out.where(F.col(count_col) >= 0)
     return kept if removed else kept.select(*docs.columns)
 

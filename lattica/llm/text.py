@@ -86,10 +86,15 @@ def raw_tokens(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return enc.dictionary, enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets
 
 
+def normalise(tokens: pa.Array) -> pa.Array:
+    """The word of each token, empty where it has none."""
+    return pc.replace_substring_regex(pc.utf8_lower(tokens), pattern=NOT_WORD, replacement="")
+
+
 def words(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the word id of every position and the offsets of the rows."""
     vocab, ids, offsets = raw_tokens(arr)
-    norm = pc.replace_substring_regex(pc.utf8_lower(vocab), pattern=NOT_WORD, replacement="").dictionary_encode()
+    norm = normalise(vocab).dictionary_encode()
     to = norm.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     ids = to[ids] if len(ids) else ids
     empty = pc.index(norm.dictionary, pa.scalar("", norm.dictionary.type)).as_py() if len(norm.dictionary) else -1

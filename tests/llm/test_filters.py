@@ -75,6 +75,22 @@ def test_overlapping_items():
             assert {k for a, b in got.get(i, []) for k in range(a, b)} == brute_leaks(t, items, m)
 
 
+def test_cuts_follow_the_tokens_of_the_matcher():
+    from lattica.llm import text as X
+
+    item = " ".join(f"q{i}" for i in range(12))
+    m = decontam.Matcher([item], 13, 0.7, 8)
+    # C0 separators split tokens; code points that libraries class in different ways; ends of texts
+    for before, after in (("a\x1cb c ", "d\x1de  "), ("  x\x1f ", ""), ("", "... !"), ("\U00016d40x \u0ce5 ", "\u0ce5 z"), ("\u2003it\u2003s ", "\u3000"), ("\x1f", "\x85 y")):
+        t = f"{before}{item}{' ' if after else ''}{after}"
+        spans = m.spans(*X.words(pa.array([t], pa.large_string())))[0]
+        assert decontam.cut_words(t, spans) == before + after.lstrip("\x85\u3000 ")
+    letters = "".join(map(chr, [*range(0x100, 0x3000, 7), *range(0x10000, 0x17000, 61)]))
+    t = " ".join(f"{c} {item}" for c in letters if not c.isspace())
+    spans = m.spans(*X.words(pa.array([t], pa.large_string())))[0]
+    assert "q" not in decontam.cut_words(t, spans)
+
+
 def test_automaton_lengths_against_brute_force():
     r = random.Random(1)
     items = [[r.randint(0, 3) for _ in range(r.randint(1, 12))] for _ in range(6)]
