@@ -112,20 +112,24 @@ ORACLES = {
         SELECT doc_id, source, n_chars, k AS mix_pass, {_number("'11:' || s || ':' || k || ':' || b")} AS mix_block, {_number("'d:11:' || k || ':' || i")} AS mix_key FROM passes
     """,
     "op3_spans": r"""
-        WITH d AS (SELECT doc_id, text, row_number() OVER () AS rid, string_split(regexp_replace(text, '([.!?]+[ \t\n\r\f]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+        WITH d AS (
+            SELECT doc_id, text, row_number() OVER () AS rid,
+                string_split(regexp_replace(replace(replace(text, chr(2), chr(2) || 'b'), chr(1), chr(2) || 'a'), '([.!?]+[ \t\n\r\f]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
         s AS (SELECT doc_id, rid, unnest(p) AS raw, generate_subscripts(p, 1) AS pos FROM d),
         k AS (SELECT *, trim(lower(raw), chr(32) || chr(9) || chr(10) || chr(12) || chr(13)) AS t FROM s),
-        w AS (SELECT *, length(t) - length(replace(t, ' ', '')) + 1 AS n,
-                lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3 FROM k WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+        w AS (SELECT doc_id, rid, pos, t, length(t) - length(replace(t, ' ', '')) + 1 AS n FROM k),
+        v AS (SELECT *, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3, lead(n) OVER o AS n2 FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
         runs AS (
-            SELECT doc_id, rid, pos, 3 AS len, t || chr(2) || t2 || chr(2) || t3 AS run FROM w
-            WHERE t3 IS NOT NULL AND n + length(t2) - length(replace(t2, ' ', '')) + 1 + length(t3) - length(replace(t3, ' ', '')) + 1 >= 6
+            SELECT doc_id, rid, pos, 3 AS len, [t, t2, t3] AS run FROM v WHERE t3 IS NOT NULL
             UNION ALL
-            SELECT doc_id, rid, pos, 2, t || chr(2) || t2 FROM w WHERE t2 IS NOT NULL AND n + length(t2) - length(replace(t2, ' ', '')) + 1 >= 16),
-        again AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY len, run ORDER BY doc_id, pos) > 1),
+            SELECT doc_id, rid, pos, 2, [t, t2] FROM v WHERE t2 IS NOT NULL AND n + n2 >= 16
+            UNION ALL
+            SELECT doc_id, rid, pos, 1, [t] FROM v WHERE n >= 16),
+        again AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1),
         gone AS (SELECT DISTINCT rid, unnest(range(pos, pos + len)) AS pos FROM again),
         kept AS (
-            SELECT s.rid, count(gone.pos) AS n_removed, string_agg(CASE WHEN gone.pos IS NULL THEN raw END, '' ORDER BY s.pos) AS text
+            SELECT s.rid, count(gone.pos) AS n_removed,
+                replace(replace(string_agg(CASE WHEN gone.pos IS NULL THEN raw END, '' ORDER BY s.pos), chr(2) || 'a', chr(1)), chr(2) || 'b', chr(2)) AS text
             FROM s LEFT JOIN gone ON s.rid = gone.rid AND s.pos = gone.pos GROUP BY s.rid)
         SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE coalesce(kept.text, '') END AS text, coalesce(n_removed, 0)::BIGINT AS n_removed
         FROM d LEFT JOIN kept USING (rid) WHERE coalesce(n_removed, 0) < len(d.p) OR d.text IS NULL

@@ -81,6 +81,10 @@ def _lengths(vocab: pa.Array) -> np.ndarray:
     return pc.utf8_length(vocab).to_numpy(zero_copy_only=False)
 
 
+def _type(df: DataFrame) -> str:
+    return df.schema["id"].dataType.simpleString()
+
+
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hi, lo) of every row with an id and at least one word."""
 
@@ -90,8 +94,8 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fp = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), pa.array(fp[some, 0]), pa.array(fp[some, 1])], names=["id", "hi", "lo"])
 
-    narrow = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return narrow.mapInArrow(run, "id long, hi long, lo long")
+    narrow = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(X.plain_id(docs, id_col).alias("id"), F.col(text_col).alias("t"))
+    return narrow.mapInArrow(run, f"id {_type(narrow)}, hi long, lo long")
 
 
 # == the plan of the search
@@ -232,15 +236,13 @@ def near_edges(points: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), r, np.int32)), pa.array(key.view(np.int64)), *b.columns], names=["rep", "key", "id", "hi", "lo"])
 
     def search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids = t["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")  # the forest points to smaller ids
-        ids = ids[order]
-        hi, lo = (t[c].to_numpy()[order].view(np.uint64) for c in ("hi", "lo"))
+        t = t.combine_chunks().sort_by("id")  # the forest points to smaller ids
+        hi, lo = (t[c].to_numpy().view(np.uint64) for c in ("hi", "lo"))
         child, parent = search_list(hi, lo, plan, (key[0].as_py() << 8) + (key[1].as_py() & 0xFF))
-        return pa.table({"a": pa.array(ids[child], pa.int64()), "b": pa.array(ids[parent], pa.int64())})
+        return pa.table({"a": t["id"].take(pa.array(child)), "b": t["id"].take(pa.array(parent))})
 
-    return points.mapInArrow(lists, "rep int, key long, id long, hi long, lo long").groupBy("rep", "key").applyInArrow(search, "a long, b long")
+    kind = _type(points)
+    return points.mapInArrow(lists, f"rep int, key long, id {kind}, hi long, lo long").groupBy("rep", "key").applyInArrow(search, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,10 +286,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without near copies: of each group the document with the smallest id stays.
 
     Rows with a null id or text, and texts without any word, are near copies of nothing and stay.
-    Rows that repeat an id are one document and stay or go together (exact deduplication, which
-    comes first in the pipeline, keeps one of them). An empty table gives an empty table. Columns
-    are those of ``docs``.
+    Ids may be of any type; those that aren't integral compare as strings. Rows that repeat an id
+    are one document and stay or go together (exact deduplication, which comes first in the
+    pipeline, keeps one of them). Very long texts are read whole. An empty table gives an empty
+    table. Columns are those of ``docs``, whatever their names.
     """
     gone = X.fresh(docs, "near_copy_id")
     roots = near_groups(docs, id_col, text_col, **search).select(F.col("id").alias(gone))
-    return docs.join(roots, docs[id_col].cast("long") == roots[gone], "left_anti")
+    return docs.join(roots, X.plain_id(docs, id_col) == roots[gone], "left_anti")

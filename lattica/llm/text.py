@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step holds at most; a single longer document is a step of its own.
@@ -33,6 +34,24 @@ def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
 
+#: The place of null ids: behind all others.
+LAST_ID = (1 << 63) - 1
+
+
+def plain_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long where its type is integral, else as a string; null where it is null."""
+    integral = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return docs[id_col].cast("long" if integral else "string")
+
+
+def ordered_id(docs: DataFrame, id_col: str) -> Column:
+    """``plain_id`` without nulls: they come last. Ids that aren't integral compare as strings."""
+    i = plain_id(docs, id_col)
+    if docs.select(i).schema[0].dataType == T.LongType():
+        return F.coalesce(i, F.lit(LAST_ID))
+    return F.coalesce(F.concat(F.lit("s"), i), F.lit("t"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -222,6 +222,29 @@ def test_spans_repeat_inside_one_text(spark):
     assert out.text.strip() == f"{a} {b}" and out.n == 4
 
 
+def test_short_sentences_count_and_characters_stay(spark):
+    rows = [(1, "Go on. Stop. Wait.", "en", "s"), (2, "Go on. Stop. Wait. Then\x01 more\x02a\x02 of\x02b\x01.", "en", "s"), (3, "A\x01b. \x02a stays.", "en", "s")]
+    got = {x.doc_id: x.text for x in spans.dedup_spans(table(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Then\x01 more\x02a\x02 of\x02b\x01.", 3: rows[2][1]}
+
+
+def test_one_whole_long_sentence_between_cut_ones(spark):
+    r = random.Random(5)
+    a, b, c = (sentence(r, n=n) for n in (20, 18, 20))
+    rows = [(1, f"{a} {b} {c}", "en", "s"), (2, " ".join(a.split()[5:]) + f" {b} " + " ".join(c.split()[:12]) + " and so on.", "en", "s")]
+    assert b not in {x.doc_id: x.text for x in spans.dedup_spans(table(spark, rows)).collect()}[2]
+
+
+def test_ids_need_not_be_numbers(spark):
+    r = random.Random(3)
+    t = text(r, "en", 8)
+    near = t.replace(t.split()[30], "another", 1)
+    d = table(spark, [(1, t, "en", "s"), (2, near, "en", "s"), (3, text(r), "en", "s"), (None, text(r), "en", "s")]).withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    assert sorted(str(x.doc_id) for x in simhash.near_dedup(d).collect()) == ["None", "doc-1", "doc-3"]
+    cut = {x.doc_id: x.n for x in spans.dedup_spans(d, removed="n").collect()}
+    assert cut["doc-1"] == cut["doc-3"] == cut[None] == 0 and cut["doc-2"] > 0
+
+
 def test_spans_odd_rows(spark):
     rows = odd_rows(random.Random(11))
     d = table(spark, rows).withColumn("span_id", F.lit(1)).withColumn("h", F.lit(2))
