@@ -34,13 +34,15 @@ class Model:
     languages: tuple[str, ...]
     prob: np.ndarray  # pieces x (languages + 1); the last column is the uniform model
     vocabulary: str
+    pieces: trie.Pieces
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_language: int = 300, rounds: int = 3, vocabulary: str = trie.DEFAULT_VOCABULARY) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_language: int = 300, rounds: int = 3, max_token_chars: int = 4096, vocabulary: str = trie.DEFAULT_VOCABULARY) -> Model:
     """Piece probabilities by expectation maximisation over the labelled sample's distinct tokens.
 
-    Rows whose label, text or id is null are not used. Without any labelled row the model has no
-    language and rejects every text.
+    Rows whose label, text or id is null are not used, nor are tokens of the sample that are longer
+    than ``max_token_chars``. Rows that repeat an id and label share a place in the sample. Without
+    any labelled row the model has no language and rejects every text.
     """
     narrow = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"))
     w = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
@@ -48,7 +50,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     sample = docs.join(F.broadcast(chosen), (docs[id_col] == chosen["i"]) & (docs[label_col].cast("string") == chosen["l"]), "left_semi")
     # the sample is bounded, so its distinct tokens fit the driver
     counted = (
-        sample.select(F.col(label_col).cast("string").alias("l"), F.explode(F.split(F.col(text_col), r"\s+")).alias("w")).where("w <> ''")
+        sample.select(F.col(label_col).cast("string").alias("l"), F.explode(F.split(F.col(text_col), r"\s+")).alias("w")).where((F.col("w") != "") & (F.length("w") <= max_token_chars))
         .groupBy("l", "w").count().toPandas()
     )
     languages = tuple(sorted(counted["l"].unique()))
@@ -59,14 +61,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         vocab = pa.array(sorted(counted["w"].unique()))
         items, owner = trie.pretokens(vocab)
         counts = counted.pivot_table(index="w", columns="l", values="count", fill_value=0).reindex(index=vocab.to_pylist(), columns=list(languages), fill_value=0).to_numpy(float)[owner]
-        lv = trie.Levels(items, pieces)
+        size = np.fromiter(map(len, items), np.int64, len(items))
+        short, long = np.flatnonzero(size <= trie.SHORT), np.flatnonzero(size > trie.SHORT)
+        lv = trie.Levels([items[i] for i in short], pieces)
         by_item = np.zeros((lv.n, len(languages)))
-        np.add.at(by_item, lv.inverse, counts)
+        np.add.at(by_item, lv.inverse, counts[short])
         for _ in range(rounds):
             expected = _expected(lv, prob[:, :-1], by_item)
+            if len(long):
+                logs = trie.log_prob(prob[:, :-1], UNKNOWN)
+                for i in long:
+                    _add_expected(expected, items[i], pieces, logs, counts[i])
             p = expected / np.maximum(expected.sum(0), 1e-300)
             prob[:, :-1] = (1 - SMOOTHING) * p + SMOOTHING / v
-    return Model(languages, prob, vocabulary)
+    return Model(languages, prob, vocabulary, pieces)
 
 
 def _expected(lv: trie.Levels, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -106,15 +114,33 @@ def _expected(lv: trie.Levels, prob: np.ndarray, counts: np.ndarray) -> np.ndarr
     return out
 
 
+def _add_expected(out: np.ndarray, item: str, pieces: trie.Pieces, logs: np.ndarray, counts: np.ndarray) -> None:
+    """The expected uses in one long item, ``counts`` times, in logs."""
+    ends, k, p, alpha = [], [], [], [np.zeros((1, logs.shape[1]))]
+    for (start, e, k1, p1), a in trie.chain(item, pieces, logs):
+        ends.append(e + start + 1)
+        k.append(k1)
+        p.append(p1)
+        alpha.append(a)
+    ends, k, p, alpha = np.concatenate(ends), np.concatenate(k), np.concatenate(p), np.concatenate(alpha)
+    beta = np.full(alpha.shape, -np.inf)
+    beta[-1] = 0
+    terms = logs[p]
+    for j in range(len(ends) - 1, -1, -1):
+        at = ends[j] - k[j]
+        beta[at] = np.logaddexp(beta[at], beta[ends[j]] + terms[j])
+    known = p >= 0
+    np.add.at(out, p[known], (np.exp(alpha[ends - k] + terms + beta[ends] - alpha[-1]) * counts)[known])
+
+
 def score_texts(arr: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log likelihoods (rows x models) of whole texts, their characters scored and their tokens."""
-    pieces, _ = trie.load_pieces(model.vocabulary)
     vocab, ids, offsets = X.raw_tokens(arr)
     items, owner = trie.pretokens(vocab)
     per = np.zeros((len(vocab) + 1, model.prob.shape[1]))
     chars = np.zeros(len(vocab) + 1)
     if items:
-        np.add.at(per, owner, trie.forward(items, pieces, model.prob, UNKNOWN))
+        per[owner] = trie.forward(items, model.pieces, model.prob, UNKNOWN)
         chars[: len(vocab)] = pc.utf8_length(vocab).to_numpy(zero_copy_only=False)
     padded = np.append(ids, len(vocab))
     total = np.add.reduceat(per[padded], offsets[:-1], axis=0) if len(offsets) > 1 else np.zeros((0, per.shape[1]))
@@ -133,8 +159,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", min_posterio
 
     Accepted: some text, a posterior (uniform prior over the languages) of ``min_posterior`` at
     least, and a likelihood above the uniform model's. Null, empty and blank texts get language
-    null, score 0 and are not accepted. Equal likelihoods go to the language first in order. The
-    added columns get underscores in front where ``docs`` has columns of these names.
+    null, score 0 and are not accepted. Equal likelihoods go to the language first in order.
+    Repeated rows are scored alike, very long texts and unspaced runs whole; an empty table gives an
+    empty table. The added columns get underscores in front where ``docs`` has columns of these
+    names. The model holds its pieces, so workers need no vocabulary file.
     """
     names = [X.fresh(docs, n) for n in out]
     spark = docs.sparkSession

@@ -29,14 +29,17 @@ def zipf_scores(ranks: np.ndarray) -> tuple[np.ndarray, float]:
 
 def count_texts(arr: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """Pre-tokens and tokens of whole texts."""
-    pieces, ranks = trie.load_pieces(vocabulary)
+    return count_with(arr, *trie.load_pieces(vocabulary))
+
+
+def count_with(arr: pa.Array, pieces: trie.Pieces, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     score, byte_score = zipf_scores(ranks)
     vocab, ids, offsets = X.raw_tokens(arr)
     items, owner = trie.pretokens(vocab)
     tokens, pre = np.zeros(len(vocab) + 1, np.int64), np.zeros(len(vocab) + 1, np.int64)
     if items:
-        np.add.at(tokens, owner, trie.best_counts(items, pieces, score, byte_score)[1])
-        np.add.at(pre, owner, 1)
+        tokens[owner] = trie.best_counts(items, pieces, score, byte_score)[1]
+        pre[owner] = 1
     at = np.append(ids, len(vocab))
     out = [np.add.reduceat(v[at], offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64) for v in (pre, tokens)]
     none = np.diff(offsets) == 0
@@ -48,15 +51,18 @@ def count_texts(arr: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]
 def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = trie.DEFAULT_VOCABULARY, out: tuple[str, str] = ("n_pretokens", "n_tokens")) -> DataFrame:
     """``docs`` with each text's numbers of pre-tokens and of tokens.
 
-    Null, empty and blank texts count 0. A run of more than ``trie.MAX_PRETOKEN`` characters
-    without white space is several pre-tokens. Among segmentations of equal score the one with
-    fewest pieces counts. The added columns get underscores in front where names clash.
+    Null, empty and blank texts count 0. A run of characters without white space is one pre-token,
+    however long. Among segmentations of equal score the one with fewest pieces counts. Repeated
+    rows count alike, an empty table gives an empty table, very long texts are read whole. The
+    added columns get underscores in front where names clash. Only the driver reads the file
+    ``vocabulary``; its pieces are broadcast.
     """
     names = [X.fresh(docs, n) for n in out]
+    shared = docs.sparkSession.sparkContext.broadcast(trie.load_pieces(vocabulary))
 
     def run(batches):
         for b in X.steps(batches, text_col):
-            pre, tokens = count_texts(X.texts(b.column(b.schema.get_field_index(text_col))), vocabulary)
+            pre, tokens = count_with(X.texts(b.column(b.schema.get_field_index(text_col))), *shared.value)
             yield X.append_columns(b, **{names[0]: pa.array(pre, pa.int64()), names[1]: pa.array(tokens, pa.int64())})
 
     return docs.mapInArrow(run, X.with_fields(docs, *((n, T.LongType()) for n in names)))

@@ -3,6 +3,10 @@
 The sorted distinct pre-tokens are the trie: two neighbours share the nodes of their common
 prefix. A node's value is computed once, whatever number of pre-tokens pass through it, from the
 values of its ancestors at most the longest piece away. All nodes of one depth are one numpy step.
+
+Pre-tokens have any length. Those of up to ``SHORT`` characters make one trie, whose probabilities
+can't underflow. Longer ones make a trie of each class of lengths, in logs, where the class has
+enough of them to share steps; the rest run down the same recurrence one by one.
 """
 
 from __future__ import annotations
@@ -13,8 +17,11 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = "▁"
-#: Longer runs without white space are cut into pre-tokens of this many characters.
-MAX_PRETOKEN = 30
+SHORT = 31
+#: Longer pre-tokens share a trie where their class has so many, none longer than ``DEEP``.
+TOGETHER, DEEP = 32, 1 << 12
+#: Characters of a single pre-token that are matched with the vocabulary at a time.
+CHUNK = 1 << 15
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _BASE = 0x100000001B3
 
@@ -43,6 +50,9 @@ class Pieces:
         assert not len(left)
         self.keys = np.append(keys, np.uint64(0))
 
+    def __reduce__(self):
+        return Pieces, (self.pieces,)
+
     @staticmethod
     def _hash(piece: str) -> int:
         h = 0
@@ -70,7 +80,7 @@ def load_pieces(path: str = DEFAULT_VOCABULARY) -> tuple[Pieces, np.ndarray]:
     out, rank = [], []
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or SPACE in p[1:] or len(p) > 1 + MAX_PRETOKEN):
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or SPACE in p[1:]):
             out.append(p)
             rank.append(i)
     return Pieces(out), np.array(rank)
@@ -78,19 +88,48 @@ def load_pieces(path: str = DEFAULT_VOCABULARY) -> tuple[Pieces, np.ndarray]:
 
 def pretokens(vocab: pa.Array) -> tuple[list[str], np.ndarray]:
     """Marked pre-tokens of distinct white-space tokens, and the token each belongs to."""
-    out, owner = [], []
-    for i, w in enumerate(vocab.to_pylist()):
-        if not w:
-            continue
-        w = w.replace("\0", "\ufffd")
-        if len(w) <= MAX_PRETOKEN:
-            out.append(SPACE + w)
-            owner.append(i)
+    tokens = vocab.to_pylist()
+    owner = [i for i, w in enumerate(tokens) if w]
+    return [SPACE + tokens[i].replace("\0", "\ufffd") for i in owner], np.array(owner, np.int64)
+
+
+def classes(items: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[int]]:
+    """Positions of the short items, of each class of long ones that share a trie, and of single ones."""
+    n = np.fromiter(map(len, items), np.int64, len(items))
+    short = np.flatnonzero(n <= SHORT)
+    together, single = [], []
+    long = np.flatnonzero(n > SHORT)
+    kind = np.frexp(n[long])[1]
+    for c in np.unique(kind):
+        at = long[kind == c]
+        if len(at) >= TOGETHER and n[at].max() <= DEEP:
+            together.append(at)
         else:
-            for k in range(0, len(w), MAX_PRETOKEN):
-                out.append((SPACE if not k else "") + w[k : k + MAX_PRETOKEN])
-                owner.append(i)
-    return out, np.array(owner, np.int64)
+            single += at.tolist()
+    return short, together, single
+
+
+def arcs(item: str, pieces: Pieces):
+    """(number of characters before, ends, lengths, pieces) of a part of the item, by ends, then lengths.
+
+    A character that is no piece is an arc of length 1 with piece -1.
+    """
+    codes = np.frombuffer(item.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    for s in range(0, len(codes), CHUNK):
+        lo = max(0, s - pieces.longest + 1)
+        c = codes[lo : s + CHUNK]
+        h = np.zeros(len(c), np.uint64)
+        power, found = 1, []
+        for k in range(1, min(pieces.longest, len(c)) + 1):
+            power = power * _BASE % (1 << 64)
+            h[k - 1 :] += c[: len(c) - k + 1] * np.uint64(power)
+            first = max(k - 1, s - lo)
+            p = pieces.find(h[first:])
+            hit = np.flatnonzero(p >= 0) if k > 1 else np.arange(len(p))
+            found.append((hit + first + lo - s, np.full(len(hit), k), p[hit]))
+        end, k, p = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(end, kind="stable")
+        yield s, end[order], k[order], p[order]
 
 
 class Levels:
@@ -133,36 +172,67 @@ class Levels:
         c = self.chars[self.first[d], d - 1]
         return 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
 
-    def terminal(self, values: list[np.ndarray]) -> np.ndarray:
-        """The value at each item's last node, in the order of the items given."""
-        out = np.zeros((self.n, *values[0].shape[1:]), values[0].dtype)
-        for d in range(1, self.depth + 1):
-            at = np.flatnonzero(self.length == d)
-            out[at] = values[d][self.node[d][at]]
-        return out[self.inverse]
-
 
 def forward(items: list[str], pieces: Pieces, prob: np.ndarray, unknown: float) -> np.ndarray:
     """Log of the summed probability of all segmentations; prob: pieces x models. One row per item.
 
     A character that no piece covers counts as a piece of probability ``unknown`` in every model.
     """
-    if not items:
-        return np.zeros((0, prob.shape[1]))
-    lv = Levels(items, pieces)
-    alpha = [np.ones((1, prob.shape[1]))]
+    out = np.zeros((len(items), prob.shape[1]))
+    short, together, single = classes(items)
+    if len(short):
+        out[short] = np.log(np.maximum(_sums(Levels([items[i] for i in short], pieces), prob, unknown, False), 1e-300))
+    if together or single:
+        logs = log_prob(prob, unknown)
+        for at in together:
+            out[at] = _sums(Levels([items[i] for i in at], pieces), logs[:-1], unknown, True)
+        for i in single:
+            for _, end in chain(items[i], pieces, logs):
+                out[i] = end[-1]
+    return out
+
+
+def log_prob(prob: np.ndarray, unknown: float) -> np.ndarray:
+    """Logs of the pieces' probabilities, and in the last row of an unknown character's."""
+    return np.log(np.maximum(np.vstack([prob, np.full((1, prob.shape[1]), unknown)]), 1e-300))
+
+
+def _sums(lv: Levels, prob: np.ndarray, unknown: float, logs: bool) -> np.ndarray:
+    """Summed probabilities, or from log probabilities their logs, taken relative to the node above."""
+    out = np.zeros((lv.n, prob.shape[1]))
+    alpha = {0: np.zeros((1, prob.shape[1])) if logs else np.ones((1, prob.shape[1]))}
     for d in range(1, lv.depth + 1):
-        a = np.zeros((len(lv.first[d]), prob.shape[1]))
         rows = lv.first[d]
+        up = alpha[d - 1][lv.node[d - 1][rows] if d > 1 else np.zeros(len(rows), np.int64)]
+        a = np.zeros((len(rows), prob.shape[1]))
         for k, hit, above, p in lv.matches(d):
-            a[hit] += alpha[d - k][above] * prob[p]
+            a[hit] += np.exp(alpha[d - k][above] - up[hit] + prob[p]) if logs else alpha[d - k][above] * prob[p]
             if k == 1 and len(hit) < len(rows):
                 miss = np.ones(len(rows), bool)
                 miss[hit] = False
-                up = lv.node[d - 1][rows[miss]] if d > 1 else 0
-                a[miss] += alpha[d - 1][up] * unknown
-        alpha.append(a)
-    return np.log(np.maximum(lv.terminal(alpha), 1e-300))
+                a[miss] += unknown if logs else up[miss] * unknown
+        alpha[d] = up + np.log(np.maximum(a, 1e-300)) if logs else a
+        alpha.pop(d - lv.pieces.longest, None)
+        end = np.flatnonzero(lv.length == d)
+        out[end] = alpha[d][lv.node[d][end]]
+    return out[lv.inverse]
+
+
+def chain(item: str, pieces: Pieces, logs: np.ndarray):
+    """The arcs of each part of one long item, and the forward log sums at all ends in the part."""
+    size = pieces.longest + 1
+    last = np.zeros((size, logs.shape[1]))  # the sums at position d are in row d % size
+    d = 0
+    for part in arcs(item, pieces):
+        _, ends, k, p = part
+        cut = np.flatnonzero(np.diff(ends, prepend=-1, append=-1)).tolist()
+        out = np.zeros((len(cut) - 1, logs.shape[1]))
+        terms = logs[p]
+        for j, (x, y) in enumerate(zip(cut, cut[1:])):
+            up = last[d % size]
+            d += 1
+            out[j] = last[d % size] = up + np.log(np.exp(last[(d - k[x:y]) % size] - up + terms[x:y]).sum(0))
+        yield part, out
 
 
 def best_counts(items: list[str], pieces: Pieces, score: np.ndarray, byte_score: float) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +240,18 @@ def best_counts(items: list[str], pieces: Pieces, score: np.ndarray, byte_score:
 
     A character that no piece covers falls back to one piece per UTF-8 byte at ``byte_score`` each.
     """
-    if not items:
-        return np.zeros(0), np.zeros(0, np.int64)
-    lv = Levels(items, pieces)
-    best, count = [np.zeros(1)], [np.zeros(1, np.int64)]
+    best, count = np.zeros(len(items)), np.zeros(len(items), np.int64)
+    short, together, single = classes(items)
+    for at in [short] * (len(short) > 0) + together:
+        best[at], count[at] = _best(Levels([items[i] for i in at], pieces), score, byte_score)
+    for i in single:
+        best[i], count[i] = _chain_best(items[i], pieces, score, byte_score)
+    return best, count
+
+
+def _best(lv: Levels, score: np.ndarray, byte_score: float) -> tuple[np.ndarray, np.ndarray]:
+    out, number = np.zeros(lv.n), np.zeros(lv.n, np.int64)
+    best, count = {0: np.zeros(1)}, {0: np.zeros(1, np.int64)}
     for d in range(1, lv.depth + 1):
         rows = lv.first[d]
         b, c = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
@@ -187,6 +265,33 @@ def best_counts(items: list[str], pieces: Pieces, score: np.ndarray, byte_score:
                 up = lv.node[d - 1][rows[miss]] if d > 1 else 0
                 width = lv.bytes_at(d)[miss]
                 b[miss], c[miss] = best[d - 1][up] + byte_score * width, count[d - 1][up] + width
-        best.append(b)
-        count.append(c)
-    return lv.terminal(best), lv.terminal(count)
+        best[d], count[d] = b, c
+        best.pop(d - lv.pieces.longest, None)
+        count.pop(d - lv.pieces.longest, None)
+        end = np.flatnonzero(lv.length == d)
+        out[end], number[end] = b[lv.node[d][end]], c[lv.node[d][end]]
+    return out[lv.inverse], number[lv.inverse]
+
+
+def _chain_best(item: str, pieces: Pieces, score: np.ndarray, byte_score: float) -> tuple[float, int]:
+    size = pieces.longest + 1
+    best, count = [0.0] * size, [0] * size
+    d = 0
+    for start, ends, k, p in arcs(item, pieces):
+        terms = score[p].tolist()
+        at = -1
+        for e, k1, p1, term in zip(ends.tolist(), k.tolist(), p.tolist(), terms):
+            if e != at:
+                at = e
+                d += 1
+                b, c = -np.inf, 0
+            x = (d - k1) % size
+            if p1 < 0:
+                width = len(item[start + e].encode("utf-8", "surrogatepass"))
+                s, n = best[x] + byte_score * width, count[x] + width
+            else:
+                s, n = best[x] + term, count[x] + 1
+            if s > b or (s == b and n < c):
+                b, c = s, n
+            best[d % size], count[d % size] = b, c
+    return best[d % size], count[d % size]

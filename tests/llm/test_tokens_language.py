@@ -62,6 +62,69 @@ def test_best_counts_against_every_segmentation():
         assert math.isclose(b, want[0], rel_tol=1e-9) and c == -want[1]
 
 
+def plain_forward(w, index, prob, unknown):
+    """The recurrence with a plain dictionary, scaled by powers of two."""
+    a, scale = [[1.0] * prob.shape[1]], np.zeros(prob.shape[1])
+    for d in range(1, len(w) + 1):
+        s = np.zeros(prob.shape[1])
+        for k in range(1, min(d, 16) + 1):
+            if w[d - k : d] in index:
+                s = s + np.array(a[d - k]) * prob[index[w[d - k : d]]]
+            elif k == 1:
+                s = s + np.array(a[d - 1]) * unknown
+        a.append(s)
+        if d % 8 == 0:
+            x = 2.0 ** -np.floor(np.log2(s))
+            scale -= np.log(x)
+            a[-17:] = [np.array(v) * x for v in a[-17:]]
+    return np.log(a[-1]) + scale
+
+
+def plain_best(w, index, score, byte_score):
+    a = [(0.0, 0)]
+    for d in range(1, len(w) + 1):
+        options = []
+        for k in range(1, min(d, 16) + 1):
+            b, c = a[d - k]
+            if w[d - k : d] in index:
+                options.append((b + score[index[w[d - k : d]]], c - 1))
+            elif k == 1:
+                n = len(w[d - 1].encode())
+                options.append((b + byte_score * n, c - n))
+        a.append(max(options))
+    return a[-1][0], -a[-1][1]
+
+
+def test_long_runs_are_segmented_whole(monkeypatch):
+    """Unspaced runs of any length: alone, by many together, and across the parts they are matched in."""
+    pieces = trie.Pieces(["▁", "▁t", "▁th", "▁the", "h", "e", "the", "re", "r", "a", "b", "ab", "bc", "n", "en", "hethere"])
+    index = {p: i for i, p in enumerate(pieces.pieces)}
+    rng, r = np.random.default_rng(0), random.Random(2)
+    prob, score = rng.random((len(pieces.pieces), 2)) / 50, -rng.random(len(pieces.pieces)) * 5
+    for chunk, many in ((1 << 15, 3), (1 << 15, 40), (37, 3)):
+        monkeypatch.setattr(trie, "CHUNK", chunk)
+        words = ["▁" + "".join(r.choice(["the", "there", "abc", "n", "漢", "\U0001f600", "é"]) for _ in range(n)) for n in (3, *[r.randint(12, 20) for _ in range(many)], 60, 900)]
+        words.append("▁" + "漢" * 400)  # would underflow without logs
+        got, (best, count) = trie.forward(words, pieces, prob, 1e-7), trie.best_counts(words, pieces, score, -9.0)
+        for w, row, b, c in zip(words, got, best, count):
+            assert np.allclose(row, plain_forward(w, index, prob, 1e-7), rtol=1e-9)
+            want = plain_best(w, index, score, -9.0)
+            assert math.isclose(b, want[0], rel_tol=1e-9) and c == want[1]
+
+
+def test_expected_uses_of_a_long_run():
+    pieces = trie.Pieces(["a", "b", "ab", "ba"])
+    p = np.array([[0.3], [0.2], [0.4], [0.1]])
+    items, counts = ["ab" * 4 + "x" + "a", "abab"], np.array([[2.0], [3.0]])
+    lv = trie.Levels(items, pieces)
+    by = np.zeros((lv.n, 1))
+    np.add.at(by, lv.inverse, counts)
+    out, logs = np.zeros((4, 1)), trie.log_prob(p, langid.UNKNOWN)
+    for i in (0, 1):
+        langid._add_expected(out, items[i], pieces, logs, counts[i])
+    assert np.allclose(out, langid._expected(lv, p, by))
+
+
 def test_each_prefix_is_one_node():
     lv = trie.Levels(["ab", "abc", "abd", "b"], trie.Pieces(["a"]))
     assert [len(f) for f in lv.first[1:]] == [2, 1, 2]
@@ -85,7 +148,7 @@ def test_token_counts_odd_rows(spark):
         assert (r["_n_tokens"] == 0) == (not (r.text or "").strip())
     assert tokencount.token_counts(spark.createDataFrame([], DOCS)).count() == 0
     six = next(r for r in rows if r.doc_id == 6)
-    assert six.n_pretokens == -(-50_000 // trie.MAX_PRETOKEN)
+    assert six.n_pretokens == 1
 
 
 def test_counts_add_up_over_words():
