@@ -1,16 +1,22 @@
-"""Stupid-backoff language-model scores, computed by joins of n-grams with their counts.
-
-Order three over the corpus's own counts, in tables that keep bigrams and trigrams seen at least
-twice: a word w after u v scores c(uvw) / c(uv), else 0.4 c(vw) / c(v), else 0.16 c(w) / N. Logs
-have base ten and are summed per document in units of 1/10,000, so sums are exact.
-
-Every occurrence of a word v travels once, with its neighbours u and w, to the partition that v
-hashes to. There c(v), c(uv), c(vw) and c(uvw) are all at hand: the count tables of that partition
-are built and joined to its occurrences in one place. Only words whose trigram and bigram the tables
-lack travel on, to the partition of w, where the unigram table is. Sums go back by batch.
-
-Partitions are relations of packed columns: a row holds the occurrences that one batch of texts
-sends to one partition. That keeps the shuffle near ten bytes a word.
+"""Stupid-backoff language-model scores: n-gram count tables joined to exploded n-grams.
+
+Order three over the corpus's own counts, all of them. An occurrence is no evidence for itself, so
+each n-gram is scored by the counts c of all *other* occurrences: a word w after u v scores
+c(uvw) / c(uv) where c(uvw) > 0, else 0.4 c(vw) / c(v) where c(vw) > 0, else 0.16 c(w) / N (here c
+counts every occurrence, so that no word scores nothing). The second word of a text has no trigram
+to back off from, the first no bigram either. Logs have base ten and are summed per document in units
+of 1/10,000, so sums are exact.
+
+One row (u, v, w, document) for each occurrence of a word v goes to the partition that v hashes to.
+There a count table of trigrams is grouped from the rows, with the counts of their bigrams and words
+beside it, and joined to them by (u, v, w); all of that is in place, as the rows are partitioned by
+a key that (u, v, w) determines. The row settles the score of w after v, and that of v itself where
+its own bigram occurs nowhere else. Documents sum up their rows.
+
+A word with very many occurrences would make one partition large. Its occurrences go by (u, v), where
+trigrams and left bigrams are counted, and by (v, w), where right bigrams are; its own count is
+broadcast. Rows cross the network packed: those of one batch of texts for one partition as arrays of
+small numbers, exploded on arrival. That keeps the shuffle near ten bytes a word.
 """
 
 import math
@@ -19,278 +25,269 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
 
 UNIT = 10_000
 BACKOFF = 0.4
-MIN_COUNT = 2
-#: Words that one partition of occurrences is planned for.
-BUCKET_WORDS = 1_200_000
-
-#: Text that one batch of occurrences is made from; larger ones pack tighter.
-BATCH_BYTES = 16 << 20
-
-WORDS, TABLE, ASKED, SUMS, IDS = range(5)
-_SCHEMA = "bucket int, batch long, kind int, n long, a binary, b binary, c binary, d binary, e binary, f binary"
-_COLS = ("bucket", "batch", "kind", "n", "a", "b", "c", "d", "e", "f")
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Non-negative integers, in two bytes each where they fit, else in four."""
-    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
-
-
-def _open(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
-
-
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _open_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.int64)
+#: Occurrences that one partition is planned for.
+PARTITION_WORDS = 1_200_000
+MAX_PARTITIONS = 100_000
+#: Occurrences from which a word is split; the corpus has 2^20 such words at most.
+HEAVY_WORDS = 1 << 20
+#: Text and rows that one batch of occurrences is made from; larger ones pack tighter.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 1 << 14
+#: Words numbered from 1; all others are 59 bits of their hashes behind this bit.
+FREQUENT = (1 << 15) - 1
+RARE = 1 << 59
+#: Occurrences in a packed row; its three columns then name fewer than 2^15 words.
+PACKED = 10_900
+#: The last two bits of v: which copy of an occurrence a row is.
+WHOLE, LEFT, RIGHT, DOCUMENT = range(4)
 
 
-def _signed(x: np.ndarray) -> bytes:
-    wide = len(x) and (np.abs(x).max() >= 1 << 31)
-    return x.astype(np.int64 if wide else np.int32).tobytes()
+def word_hash(vocab: pa.Array) -> np.ndarray:
+    return (X.hash64(vocab) >> np.uint64(5)).astype(np.int64) | np.int64(RARE)
 
 
-def _open_signed(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n else np.int64).astype(np.int64)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], t) for i, t in enumerate(types)], names=list(_COLS))
-
-
-def word_ids(vocab: pa.Array) -> np.ndarray:
-    """48 bits of each word's hash, never 0 (which stands for the text's start and end)."""
-    return np.maximum((X.hash64(vocab) >> np.uint64(16)).astype(np.int64), 1)
-
-
-def _log(x) -> np.ndarray:
-    return np.rint(np.log10(x) * UNIT).astype(np.int64)
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(w, c): the hash of each word and how often it occurs."""
 
+    def run(batches):
+        for b in X.steps(batches, "t", BATCH_BYTES):
+            vocab, ids, _ = X.words(X.texts(b.column(b.schema.get_field_index("t"))))
+            yield pa.RecordBatch.from_arrays([pa.array(word_hash(vocab)), pa.array(np.bincount(ids, minlength=len(vocab)))], names=["w", "c"])
+
+    return texts.mapInArrow(run, "w long, c long").where("c > 0").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+# == exploded n-grams, packed by partition
+def partition_keys(n: int) -> np.ndarray:
+    """For each partition a number that Spark's hash partitioning sends there."""
+    out, left, at = np.full(n, -1, np.int32), n, 0
+    while left:
+        x = np.arange(at, at + 4 * n + 64, dtype=np.uint32)
+        at += len(x)
+        k = x * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        to = np.mod((h ^ (h >> np.uint32(16))).view(np.int32), n)
+        where, first = np.unique(to, return_index=True)
+        new = out[where] < 0
+        out[where[new]] = x[first[new]].astype(np.int32)
+        left -= int(new.sum())
+    return out
+
+
+def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The position of each number in a sorted table, -1 where it isn't."""
+    if not len(table):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+
+
+def _scatter(partitions: int, shared):
+    keys = partition_keys(partitions)
+
+    def batch(b: pa.RecordBatch, base: int):
+        vocab, ids, offsets = X.words(X.texts(b.column(1)))
+        # documents: their ids and numbers of words
+        n = b.num_rows
+        sizes, number = np.diff(offsets), np.arange(n)
+        names = np.stack([np.full(n, base), sizes], 1).ravel()
+        codes = np.zeros((n, 4), np.int16)
+        to = keys[(base + number) % partitions]
+        # one packed row a document: its number of words is a name, its place in the batch is added to the base
+        names[::2] += 2 * number
+        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(n, DOCUMENT, np.int32)), _lists(pa.array(names), 2 * np.arange(1, n + 1)), _lists(pa.array(codes.ravel()), 4 * np.arange(1, n + 1)), b.column(0)], names=["p", "copy", "names", "codes", "id"])
+        if not len(ids):
+            return
+        frequent, numbers, heavy = shared.value
+        h = word_hash(vocab)
+        at = _find(frequent, h)
+        wid = np.where(at >= 0, numbers[at] if len(numbers) else 0, h)
+        many = _find(heavy, wid) >= 0
+        # words by their rank among those of the batch, 0 for none
+        order = np.argsort(wid)
+        rank = np.empty(len(wid), np.int64)
+        rank[order] = np.arange(1, len(wid) + 1)
+        wid, many = np.concatenate([[0], wid[order]]), np.concatenate([[False], many[order]])
+        v = rank[ids]
+        u, w = np.zeros_like(v), np.zeros_like(v)
+        u[1:], w[:-1] = v[:-1], v[1:]
+        some = sizes > 0
+        first, last = offsets[:-1][some], offsets[1:][some] - 1
+        u[first], w[last] = 0, 0
+        second = np.zeros(len(v), bool)
+        second[(first + 1)[first < last]] = True
+        x = 2 * X.row_of(offsets) + second
+        split = many[v]
+        right = np.flatnonzero(split & (w > 0))
+        mixed = X.mix64(wid.astype(np.uint64))
+        to = mixed[v]
+        to[split] ^= X.mix64(mixed[u[split]] + np.uint64(LEFT))
+        to = np.concatenate([to, mixed[v[right]] ^ X.mix64(mixed[w[right]] + np.uint64(RIGHT))]) % np.uint64(partitions)
+        copy = np.concatenate([np.where(split, LEFT, WHOLE), np.full(len(right), RIGHT)])
+        u, v, w, x = (np.concatenate([a, a[right]]) for a in (u, v, w, x))
+        group = to.astype(np.int64) * 4 + copy
+        if (int(group.max()) + 1) * len(wid) ** 2 < 1 << 63:
+            order = np.argsort((group * len(wid) + v) * len(wid) + u)
+        else:  # one document of very many words
+            order = np.lexsort((u, v, group))
+        group, u, v, w, x = (a[order] for a in (group, u, v, w, x))
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        inside = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
+        starts = np.flatnonzero(inside % PACKED == 0)
+        ends = np.append(starts[1:], len(group))
+        piece = np.repeat(np.arange(len(starts)), ends - starts)
+        # the rare words of each packed row behind its base; codes are word numbers or minus the place of a name
+        code = np.empty((4, len(group)), np.int16)
+        rare = wid > FREQUENT
+        named, where = [], []
+        for k, a in enumerate((u, v, w)):
+            code[k] = np.where(rare[a], 0, wid[a])
+            pos = np.flatnonzero(rare[a])
+            named.append(piece[pos] * len(wid) + a[pos])
+            where.append((k, pos))
+        distinct, back = np.unique(np.concatenate(named), return_inverse=True)
+        owner = distinct // len(wid)
+        count = np.bincount(owner, minlength=len(starts))
+        begin = np.cumsum(count) - count
+        place, done = np.arange(len(distinct)) - begin[owner] + 2, 0
+        for k, pos in where:
+            code[k, pos] = -place[back[done : done + len(pos)]]
+            done += len(pos)
+        code[3] = x
+        names = np.empty(len(distinct) + len(starts), np.int64)
+        names[begin + np.arange(len(starts))] = base
+        names[np.arange(len(distinct)) + owner + 1] = wid[distinct % len(wid)]
+        # columns one after the other in each packed row
+        size = ends - starts
+        flat = np.empty(4 * len(group), np.int16)
+        at = 4 * starts[piece] + inside - inside[starts][piece]
+        for k in range(4):
+            flat[at + k * size[piece]] = code[k]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[group[starts] // 4]), pa.array((group[starts] % 4).astype(np.int32)), _lists(pa.array(names), np.cumsum(count + 1)), _lists(pa.array(flat), 4 * ends), pa.nulls(len(starts), b.schema.field(0).type)],
+            names=["p", "copy", "names", "codes", "id"],
+        )
 
-# == occurrences by partition
-def _scatter(buckets: int):
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
         for b in X.steps(batches, "t", BATCH_BYTES):
-            batch = (part << 32) | k
-            k += 1
-            vocab, ids, offsets = X.words(X.texts(b.column(1)))
-            wid = word_ids(vocab)
-            some = pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False)
-            doc_ids = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            out = [(batch % buckets, batch, IDS, b.num_rows, doc_ids.tobytes(), _small(np.diff(offsets)), some.astype(np.uint8).tobytes())]
-            if len(ids):
-                row = X.row_of(offsets)
-                u, w = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-                u[1:], w[:-1] = ids[:-1] + 1, ids[1:] + 1
-                full = np.diff(offsets) > 0
-                u[offsets[:-1][full]], w[offsets[1:][full] - 1] = 0, 0
-                bucket = wid % buckets
-                rank = np.empty(len(wid), np.int64)
-                rank[np.argsort(bucket, kind="stable")] = np.arange(len(wid))
-                order = np.argsort(rank[ids], kind="stable")
-                ends = np.cumsum(np.bincount(bucket[ids], minlength=buckets))
-                with_none = np.concatenate([[0], wid])
-                for j in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-                    o = order[(ends[j - 1] if j else 0) : ends[j]]
-                    v = ids[o]
-                    heads = np.flatnonzero(np.diff(v, prepend=-1))
-                    names, at = np.unique(np.concatenate([u[o], w[o]]), return_inverse=True)
-                    out.append((j, batch, WORDS, len(o), _six(wid[v[heads]]), _small(np.diff(np.append(heads, len(v)))), _six(with_none[names]), _small(at[: len(o)]), _small(at[len(o) :]), _small(row[o])))
-            yield _rows(out)
+            for at in range(0, b.num_rows, BATCH_ROWS):
+                yield from batch(b.slice(at, BATCH_ROWS), (part << 40) | (k << 15))
+                k += 1
 
     return run
 
 
-# == trigrams and bigrams
-def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, and each value's number among them."""
-    names, at = np.unique(x, return_inverse=True)
-    return names, at.astype(np.int32)
-
-
-def _counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, the number of its key among the distinct ones, and how often it occurs."""
-    order = np.argsort(key, kind="stable").astype(np.int32)
-    s = key[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    del s
-    group = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    at = np.empty(len(key), np.int32)
-    at[order] = group
-    return at, np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.int32)[at]
-
-
-def _resolve(buckets: int):
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        own = key[0].as_py()
-        kinds = t["kind"].to_numpy()
-        passed = t.filter(pa.array(kinds != WORDS))
-        r = t.filter(pa.array(kinds == WORDS)).select(["batch", "n", "a", "b", "c", "d", "e", "f"]).to_pydict()
-        if not r["n"]:
-            return passed
-        order = np.argsort(r["batch"], kind="stable").tolist()  # the same whatever order rows arrive in
-        batches = np.array([r["batch"][i] for i in order], np.int64)
-        n = [r["n"][i] for i in order]
-        ends = np.cumsum([0, *n])
-
-        def filled(kind, get) -> np.ndarray:
-            x = np.empty(int(ends[-1]), kind)
-            for k, i in enumerate(order):
-                x[ends[k] : ends[k + 1]] = get(i)
-            return x
-
-        def run_heads(i: int) -> np.ndarray:
-            v = _open_six(r["a"][i])
-            return np.repeat(v, _open(r["b"][i], len(v)))
-
-        def neighbour(col: str):
-            return lambda i: _open_six(r["c"][i])[_open(r[col][i], r["n"][i])]
-
-        # words become small numbers one column after the other, so that only one is there at full width
-        words, vi = _ranks(filled(np.int64, run_heads))
-        start = filled(np.int64, neighbour("d"))
-        un, ui = _ranks(start)
-        start = start == 0
-        end = filled(np.int64, neighbour("e"))
-        wn, wi = _ranks(end)
-        end = end == 0
-        doc, of = filled(np.int32, lambda i: _open(r["f"][i], r["n"][i])), np.repeat(np.arange(len(n), dtype=np.int32), n)
-        del r
-        cv_table = np.bincount(vi, minlength=len(words))
-        cv = cv_table[vi]
-        uv, cuv = _counts(vi.astype(np.int64) * len(un) + ui)
-        del ui
-        _, cuvw = _counts(uv.astype(np.int64) * len(wn) + wi)
-        del uv
-        _, cvw = _counts(vi.astype(np.int64) * len(wn) + wi)
-        del vi
-        score, plain = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-        tri = ~end & ~start & (cuvw >= MIN_COUNT)
-        score[tri] = _log(cuvw[tri] / cuv[tri])
-        bi = ~end & ~tri & (cvw >= MIN_COUNT)
-        score[bi] = _log(np.where(start[bi], 1.0, BACKOFF) * cvw[bi] / cv[bi])
-        score[start] += _log(cv[start].astype(float))  # the text's first word, a unigram
-        plain[start] = 1
-        ask = np.flatnonzero(~end & ~tri & ~bi)
-        del cuv, cuvw, cvw
-        out = []
-        # sums of each batch's documents
-        span = int(doc.max()) + 1
-        dk, di = np.unique(of.astype(np.int64) * span + doc, return_inverse=True)
-        # float sums of integers below 2^53 are exact
-        s, p = np.bincount(di, score).astype(np.int64), np.bincount(di, plain).astype(np.int64)
-        live = (s != 0) | (p != 0)
-        dk, s, p = dk[live], s[live], p[live]
-        cuts = np.searchsorted(dk // span, np.arange(len(n) + 1))
-        for i in range(len(n)):
-            x, y = cuts[i], cuts[i + 1]
-            if y > x:
-                b = int(batches[i])
-                out.append((b % buckets, b, SUMS, int(y - x), _small(dk[x:y] % span), _signed(s[x:y]), _small(p[x:y])))
-        # unigram counts, and the words to be looked up in them
-        home = words % buckets
-        table_home = own  # words of this partition stay in it: bucket(w) is the same hash
-        assert not len(home) or (home == own).all()
-        out.append((table_home, 0, TABLE, len(words), _six(words), _small(cv_table)))
-        target = wn[wi[ask]]
-        to = target % buckets
-        order = np.lexsort((wi[ask], to))
-        ask, target, to = ask[order], target[order], to[order]
-        ends = np.cumsum(np.bincount(to, minlength=buckets))
-        for j in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
-            x, y = int(ends[j - 1]) if j else 0, int(ends[j])
-            heads = np.flatnonzero(np.diff(target[x:y], prepend=-1))
-            rows = ask[x:y]
-            out.append((j, own, ASKED, y - x, _six(target[x:y][heads]), _small(np.diff(np.append(heads, y - x))), _small(of[rows]), _small(doc[rows]), np.packbits(start[rows]).tobytes(), batches.tobytes()))
-        return pa.concat_tables([passed, pa.Table.from_batches([_rows(out)]).cast(passed.schema)])
+def exploded(packed: DataFrame) -> DataFrame:
+    """(p, v, u, w, x, id, own): an occurrence a row; x is twice the document's place plus 1 in a text's second word.
 
-    return run
+    ``own`` marks the rows that only bring a document's id, and its number of words as w.
+    """
+    n = F.shiftright(F.size("codes"), 2)
+    at = packed.select("p", "copy", "names", "codes", "id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    # no column is ever null, and says so: a test for nulls below the shuffle would make it two of one
+    code = lambda k: F.coalesce(F.get("codes", F.col("n") * k + F.col("i")).cast("int"), F.lit(0))
+    name = lambda i: F.coalesce(F.get("names", i), F.lit(0).cast("long"))
 
+    def word(k: int) -> Column:
+        return F.when(code(k) >= 0, code(k).cast("long")).otherwise(name(-code(k) - 1))
 
-# == unigrams
-def _unigrams(buckets: int):
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        kinds = t["kind"].to_numpy()
-        passed = t.filter(pa.array(kinds == IDS))
-        names, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b, n in zip(*(t.filter(pa.array(kinds == TABLE))[c].to_pylist() for c in ("a", "b", "n"))):
-            names.append(_open_six(a))
-            counts.append(_open(b, n))
-        names, counts = np.concatenate(names), np.concatenate(counts)
-        order = np.argsort(names)
-        names, counts = names[order], counts[order]
-        parts: dict[int, list[tuple]] = {}
-        sums = t.filter(pa.array(kinds == SUMS))
-        for b, n, a, s, p in zip(*(sums[c].to_pylist() for c in ("batch", "n", "a", "b", "c"))):
-            parts.setdefault(b, []).append((_open(a, n), _open_signed(s, n), _open(p, n)))
-        asked = t.filter(pa.array(kinds == ASKED))
-        for n, a, c, of, doc, first, batches in zip(*(asked[c].to_pylist() for c in ("n", "a", "b", "c", "d", "e", "f"))):
-            word = _open_six(a)
-            score = np.repeat(counts[np.searchsorted(names, word)], _open(c, len(word)))
-            first = np.unpackbits(np.frombuffer(first, np.uint8), count=n).astype(bool)
-            score = _log(np.where(first, BACKOFF, BACKOFF * BACKOFF) * score)
-            of, doc = _open(of, n), _open(doc, n)
-            span = int(doc.max()) + 1
-            dk, di = np.unique(of * span + doc, return_inverse=True)
-            s, p = np.bincount(di, score).astype(np.int64), np.bincount(di)
-            batches = np.frombuffer(batches, np.int64)
-            cuts = np.flatnonzero(np.diff(dk // span, prepend=-1))
-            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(dk)]):
-                parts.setdefault(int(batches[dk[x] // span]), []).append((dk[x:y] % span, s[x:y], p[x:y]))
-        out = []
-        for b, own in sorted(parts.items()):
-            doc, s, p = (np.concatenate(x) for x in zip(*own))
-            d, di = np.unique(doc, return_inverse=True)
-            out.append((b % buckets, b, SUMS, len(d), _small(d), _signed(np.bincount(di, s).astype(np.int64)), _small(np.bincount(di, p).astype(np.int64))))
-        return pa.concat_tables([passed, pa.Table.from_batches([_rows(out)]).cast(passed.schema)])
+    own = F.col("copy") == DOCUMENT
+    w = F.when(own, name(F.lit(1))).otherwise(word(2))
+    # a document's row is told from others by its place, which stands in for the word before
+    u = F.when(own, name(F.lit(0))).otherwise(word(0))
+    x = name(F.lit(0)) + code(3)
+    return at.select((word(1) * 4 + F.col("copy")).alias("v"), u.alias("u"), w.alias("w"), "p", x.alias("x"), "id", (F.col("id").isNotNull() | own).alias("own"))
 
-    return run
 
+# == count tables
+def _units(x: Column) -> Column:
+    return F.rint(F.log10(x) * UNIT).cast("long")
 
-def _gather(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    kinds = t["kind"].to_pylist()
-    i = kinds.index(IDS)
-    n = t["n"][i].as_py()
-    total, plain = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for j, kind in enumerate(kinds):
-        if kind == SUMS:
-            m = t["n"][j].as_py()
-            d = _open(t["a"][j].as_py(), m)
-            total[d] += _open_signed(t["b"][j].as_py(), m)
-            plain[d] += _open(t["c"][j].as_py(), m)
-    some = np.frombuffer(t["c"][i].as_py(), np.uint8).astype(bool)
-    ids = pa.array(np.frombuffer(t["a"][i].as_py(), np.int64), mask=~some)
-    return pa.table({"id": ids, "n_words": pa.array(_open(t["b"][i].as_py(), n)), "units": pa.array(total), "plain": pa.array(plain)})
 
+def scored(grams: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The count table of a partition's trigrams, with what an occurrence of each adds to a score.
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    ``after`` is the score of w in units, ``plain`` 1 where v itself is scored as a word: with
+    ``first`` units, ``second`` in a text's second word. ``heavy`` has the counts of split words.
+    """
+    table = grams.groupBy("v", "u", "w", "p", "own").agg(F.count("*").alias("c3"))
+
+    def over(*keys: str) -> Column:
+        return F.sum("c3").over(Window.partitionBy(*keys, "p"))
+
+    table = table.withColumn("cuv", over("v", "u")).withColumn("cvw", over("v", "w")).withColumn("local", over("v"))
+    table = table.join(F.broadcast(heavy), F.shiftright("v", 2) == heavy["hw"], "left")
+    cv, copy = F.coalesce("hc", "local"), F.col("v").bitwiseAND(3)
+    starts, whole, left, right = F.col("u") == 0, copy == WHOLE, copy == LEFT, copy == RIGHT
+    tri = ~starts & (F.col("c3") > 1)
+    bi = (starts | (F.col("c3") == 1)) & (F.col("cvw") > 1)
+    after = (
+        F.when(F.col("own") | (F.col("w") == 0), 0)
+        .when((whole | left) & tri, _units((F.col("c3") - 1) / (F.col("cuv") - 1)))
+        .when((whole | right) & bi, _units(F.when(starts, 1.0).otherwise(BACKOFF) * (F.col("cvw") - 1) / (cv - 1)))
+        .otherwise(0)
+    )
+    plain = ~F.col("own") & (whole | left) & (starts | (F.col("cuv") == 1))
+    first = F.when(plain, _units(F.when(starts, 1.0).otherwise(BACKOFF * BACKOFF) * cv)).otherwise(0)
+    second = F.when(plain, _units(F.when(starts, 1.0).otherwise(BACKOFF) * cv)).otherwise(0)
+    return table.select("v", "u", "w", "p", "own", after.alias("after"), plain.cast("long").alias("plain"), first.alias("first"), second.alias("second"))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partition_words: int = PARTITION_WORDS, heavy_words: int = HEAVY_WORDS) -> DataFrame:
     """(id, n_words, lm_logprob, lm_mean): the text's log10 score and that per word, one row a row.
 
-    The id column keeps its name (as a long). Null, empty and wordless texts have 0 words, score 0
-    and mean null. Rows that repeat an id, and null ids, have rows of their own. Counts are over all
-    rows of ``docs``. An empty table gives an empty table. Other columns are left out.
+    The id column keeps its name; ids that aren't integral become strings. If it is called like one
+    of the others, that one gets an underscore in front. Null, empty and wordless texts have 0 words,
+    score 0 and mean null. Rows that repeat an id, and null ids, have rows of their own. Counts are
+    over all rows and whole texts of ``docs``. An empty table gives an empty table. Other columns are
+    left out. Words are told apart by 59 bits of their hashes.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    chars = narrow.agg(F.sum(F.length("t"))).first()[0] or 0
-    buckets = max(1, math.ceil(chars / 6 / bucket_words))
-    spread = narrow.mapInArrow(_scatter(buckets), _SCHEMA)
-    low = spread.groupBy("bucket").applyInArrow(_resolve(buckets), _SCHEMA)
-    sums = low.groupBy("bucket").applyInArrow(_unigrams(buckets), _SCHEMA)
-    scores = X.cut_lineage(sums.groupBy("batch").applyInArrow(_gather, "id long, n_words long, units long, plain long"))
-    words = scores.agg(F.sum("n_words")).first()[0] or 1
-    units = F.col("units") - F.col("plain") * F.lit(round(math.log10(words) * UNIT))
-    return scores.select(F.col("id").alias(id_col), "n_words", (units / F.lit(float(UNIT))).alias("lm_logprob"), F.when(F.col("n_words") > 0, F.round(units / F.lit(float(UNIT)) / F.col("n_words"), 6)).alias("lm_mean"))
+    spark = docs.sparkSession
+    names = [n if n.lower() != id_col.lower() else "_" + n for n in ("n_words", "lm_logprob", "lm_mean")]
+    narrow = docs.select(X.plain_id(docs, id_col).alias("i"), F.col(text_col).alias("t"))
+    words = X.cut_lineage(word_counts(narrow))
+    total = words.agg(F.sum("c")).first()[0] or 0
+    limit = max(heavy_words, total >> 20)
+    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).toPandas()
+    many = words.where(F.col("c") > limit).toPandas()
+    frequent = np.argsort(top["w"].to_numpy(np.int64))
+    hashes = top["w"].to_numpy(np.int64)[frequent]
+    at = _find(hashes, many["w"].to_numpy(np.int64))
+    own = np.where(at >= 0, frequent[at] + 1 if len(frequent) else 0, many["w"].to_numpy(np.int64))
+    heavy = spark.createDataFrame([(int(w), int(c)) for w, c in zip(own, many["c"])], "hw long, hc long")
+    shared = spark.sparkContext.broadcast((hashes, frequent + 1, np.sort(own)))
+    partitions = min(MAX_PARTITIONS, max(1, math.ceil((total + int(many["c"].sum())) / partition_words)))
+
+    packed = T.StructType([
+        T.StructField("p", T.IntegerType(), False), T.StructField("copy", T.IntegerType(), False), T.StructField("names", T.ArrayType(T.LongType(), False), False),
+        T.StructField("codes", T.ArrayType(T.ShortType(), False), False), T.StructField("id", narrow.schema["i"].dataType),
+    ])
+    grams = exploded(narrow.mapInArrow(_scatter(partitions, shared), packed).repartition(partitions, "p"))
+    rows = grams.join(scored(grams, heavy), ["v", "u", "w", "p", "own"])
+    odd = F.col("x").bitwiseAND(1) == 1
+    sums = rows.groupBy(F.shiftright("x", 1).alias("d")).agg(
+        F.first("id", ignorenulls=True).alias("i"), F.max(F.when(F.col("own"), F.col("w"))).alias("n"),
+        F.sum(F.col("after") + F.when(odd, F.col("second")).otherwise(F.col("first"))).alias("s"), F.sum("plain").alias("plain"),
+    )
+    units = F.col("s") - F.col("plain") * F.lit(round(math.log10(total or 1) * UNIT))
+    return sums.select(
+        F.col("i").alias(id_col), F.col("n").alias(names[0]), (units / F.lit(float(UNIT))).alias(names[1]),
+        F.when(F.col("n") > 0, units / F.lit(float(UNIT)) / F.col("n")).alias(names[2]),
+    )

@@ -145,13 +145,13 @@ ORACLES = {
         s AS (
             SELECT rid, CASE
                 WHEN g.v IS NULL THEN round(log10(cw.c) * 10000) - round(log10(n) * 10000)
-                WHEN c3.c >= 2 THEN round(log10(c3.c / cuv.c) * 10000)
-                WHEN c2.c >= 2 THEN round(log10(CASE WHEN g.u IS NULL THEN 1.0 ELSE 0.4 END * c2.c / cv.c) * 10000)
+                WHEN c3.c >= 2 THEN round(log10((c3.c - 1) / (cuv.c - 1)) * 10000)
+                WHEN c2.c >= 2 THEN round(log10(CASE WHEN g.u IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END * (c2.c - 1) / (cv.c - 1)) * 10000)
                 ELSE round(log10(CASE WHEN g.u IS NULL THEN 0.4::DOUBLE ELSE 0.4::DOUBLE * 0.4::DOUBLE END * cw.c) * 10000) - round(log10(n) * 10000) END AS units
             FROM g JOIN c1 cw ON cw.w = g.w LEFT JOIN c1 cv ON cv.w = g.v LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w
                 LEFT JOIN c2 cuv ON cuv.v = g.u AND cuv.w = g.v LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w, n),
         x AS (SELECT rid, sum(units) AS units FROM s GROUP BY rid)
-        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(units, 0) / 10000.0::DOUBLE AS lm_logprob, CASE WHEN len(ws) > 0 THEN round(units / 10000.0::DOUBLE / len(ws), 6) END AS lm_mean
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(units, 0) / 10000.0::DOUBLE AS lm_logprob, CASE WHEN len(ws) > 0 THEN units / 10000.0::DOUBLE / len(ws) END AS lm_mean
         FROM d LEFT JOIN x USING (rid)
     """,
     "op6_exact": """

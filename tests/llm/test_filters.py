@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+from unittest.mock import patch
 
 import numpy as np
 import pyarrow as pa
@@ -209,9 +210,9 @@ def brute_lm(texts):
             if v is None:
                 s += unit(c[w,]) - unit(total)
             elif u is not None and c[u, v, w] >= 2:
-                s += unit(c[u, v, w] / c[u, v])
+                s += unit((c[u, v, w] - 1) / (c[u, v] - 1))
             elif c[v, w] >= 2:
-                s += unit((0.4 if u is not None else 1.0) * c[v, w] / c[v,])
+                s += unit((0.4 if u is not None else 1.0) * (c[v, w] - 1) / (c[v,] - 1))
             else:
                 s += unit((0.16 if u is not None else 0.4) * c[w,]) - unit(total)
         out.append((len(d), s / 10_000))
@@ -223,9 +224,45 @@ def test_lm_against_brute_force(spark):
     base = [text(r, "en", 5) for _ in range(30)]
     texts = [*base, *[" ".join(r.choice(base).split()[3:20]) for _ in range(20)], None, "", "...", "word", "word word"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for words in (50, 10**6):
-        got = {x.doc_id: (x.n_words, x.lm_logprob) for x in lm.lm_scores(d, bucket_words=words).collect()}
-        assert got == dict(enumerate(brute_lm(texts)))
+    want = dict(enumerate(brute_lm(texts)))
+    # few and many partitions; no word, some and every word split
+    for words, heavy in ((50, 10**9), (10**6, 10**9), (70, 40), (200, 1), (10**6, 0)):
+        got = {x.doc_id: (x.n_words, x.lm_logprob) for x in lm.lm_scores(d, partition_words=words, heavy_words=heavy).collect()}
+        assert got == want
+
+
+def test_lm_few_frequent_words_and_small_batches(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [text(r, "fr", 6) for _ in range(25)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    for packed, rows in ((7, 4), (3000, 2)):
+        scatter = lm._scatter
+        monkeypatch.setattr(lm, "PACKED", packed)
+        monkeypatch.setattr(lm, "BATCH_ROWS", rows)
+        parts = [b for part in range(2) for b in _run_scatter(scatter, texts, part)]
+        assert all(len(x) % 4 == 0 and len(x) <= 4 * packed for b in parts for x in b.column(3).to_pylist())
+    got = {x.doc_id: (x.n_words, x.lm_logprob) for x in lm.lm_scores(d, partition_words=90, heavy_words=30).collect()}
+    assert got == dict(enumerate(brute_lm(texts)))
+
+
+def _run_scatter(scatter, texts, part):
+    class Context:
+        def partitionId(self):
+            return part
+
+    class Shared:
+        value = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    with patch.object(lm.TaskContext, "get", staticmethod(Context)):
+        yield from scatter(3, Shared)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])]))
+
+
+def test_keys_reach_their_partitions(spark):
+    for n in (1, 7, 300):
+        keys = lm.partition_keys(n).tolist()
+        got = spark.createDataFrame(list(enumerate(keys)), "i int, k int").select("i", F.expr(f"pmod(hash(k), {n})").alias("to")).collect()
+        assert all(r.i == r.to for r in got)
 
 
 def test_lm_odd_rows(spark):
@@ -236,13 +273,11 @@ def test_lm_odd_rows(spark):
     assert lm.lm_scores(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_packed_numbers_round_trip():
-    for x in ([], [0, 1, 65535], [70000, 3]):
-        assert lm._open(lm._small(np.array(x, np.int64)), len(x)).tolist() == x
-    for x in ([], [-5, 2**40], [-7, 9]):
-        assert lm._open_signed(lm._signed(np.array(x, np.int64)), len(x)).tolist() == x
-    x = np.array([1, 2**48 - 1, 12345])
-    assert lm._open_six(lm._six(x)).tolist() == x.tolist()
+def test_lm_ids_and_names(spark):
+    d = spark.createDataFrame([("a", "one two three"), ("a", "one two three"), (None, "one two")], "n_words string, text string")
+    out = lm.lm_scores(d, id_col="n_words")
+    assert out.columns == ["n_words", "_n_words", "lm_logprob", "lm_mean"]
+    assert sorted((str(r[0]), r[1]) for r in out.collect()) == [("None", 2), ("a", 3), ("a", 3)]
 
 
 # == personal data
