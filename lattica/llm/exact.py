@@ -106,8 +106,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when all their characters are. Rows with a null text are no copies of anything
     and all stay; the empty text is a text like any other. Null ids come after all others. Among
-    rows with the same text and id one stays, whichever it is (they may differ in other columns).
-    An empty table gives an empty table.
+    rows with the same text and id the one with the smallest hash of its other columns stays. Very
+    long texts are compared whole, clashing column names do no harm, and an empty table gives an
+    empty table.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(text_col).isNotNull()).count()
@@ -126,6 +127,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.where(~F.col(mark)).select(*docs.columns)
     again = marked.where(F.col(mark)).withColumn(h1, F.xxhash64(text_col))
     # the rank filter is also applied before the shuffle, so a text of many copies sends one a task
-    w = Window.partitionBy(h1, text_col).orderBy(F.col(id_col).asc_nulls_last())
+    other = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
+    ties = [F.xxhash64(*other)] if other else []
+    w = Window.partitionBy(h1, text_col).orderBy(F.col(id_col).asc_nulls_last(), *ties)
     first = again.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).select(*docs.columns)
     return alone.unionByName(first)

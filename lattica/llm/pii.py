@@ -248,7 +248,8 @@ def redact_pii(docs: DataFrame, text_col: str = "text", model: Model | None = No
     """``docs`` with personal data and secrets in ``text_col`` replaced, and the number of entities.
 
     Null texts stay null; texts without an entity stay as they are; neighbouring tokens of one
-    label are one entity. Empty tables give empty tables. The count's name is underscored where it
+    label are one entity. Repeated rows change alike and very long texts are read whole. Empty tables
+    give empty tables. The count's name is underscored where it
     clashes.
     """
     name = X.fresh(docs, count)

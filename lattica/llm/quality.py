@@ -123,15 +123,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, pen
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 10_000, **rules) -> Model:
     """A model from at most ``max_rows`` labelled documents, those with the smallest hashes of their ids.
 
-    Rows with a null id or label aren't used. Without labels, or with labels of one kind only, the
-    model is a constant.
+    Rows with a null id or label aren't used; a label that is repeated counts once, documents that
+    repeat an id count each. Without labels, or with labels of one kind only, the model is a constant.
     """
     ids, y = X.fresh(docs, "label_id"), X.fresh(docs, "label_value")
     # the bound keeps this side small enough to broadcast
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias(ids), F.col(label_col).cast("double").alias(y)).orderBy(F.xxhash64(ids), ids, y).limit(max_rows)
+    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias(ids), F.col(label_col).cast("double").alias(y)).distinct().orderBy(F.xxhash64(ids), ids, y).limit(max_rows)
     names = {k: X.fresh(docs, k) for k in STATISTICS}
     sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col(ids))
-    rows = with_statistics(sample, text_col, names).select(ids, y, *names.values()).orderBy(ids, y, *names.values()).toPandas()
+    rows = with_statistics(sample, text_col, names).select(ids, y, *names.values()).toPandas()
+    rows = rows.sort_values([ids, y, *names.values()], ignore_index=True)  # not in Spark, which would compute them twice
     return fit_rules(rows[list(names.values())].to_numpy(float), (rows[y] > 0.5).to_numpy(float), **rules)
 
 
@@ -151,8 +152,9 @@ def probability(model: Model, names: dict[str, str]) -> Column:
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, out: tuple[str, str] = ("quality_score", "quality_ok")) -> DataFrame:
     """``docs`` with the probability of good quality and whether it reaches ``threshold``.
 
-    A null, empty or blank text has statistics 0 and is scored by them. The added columns get
-    underscores in front where names clash. Empty tables give empty tables.
+    A null, empty or blank text has statistics 0 and is scored by them. Repeated rows are scored
+    alike, very long texts whole. The added columns get underscores in front where names clash.
+    Empty tables give empty tables.
     """
     names = {k: X.fresh(docs, "quality_" + k) for k in STATISTICS}
     p, ok = (X.fresh(docs, c) for c in out)

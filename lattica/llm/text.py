@@ -55,7 +55,7 @@ def ordered_id(docs: DataFrame, id_col: str) -> Column:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where no such folder is set (tests, local runs) a local one is chosen.
+    Only in local mode, where no such folder is set, one of our own is chosen.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -67,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="lattica-checkpoint-")

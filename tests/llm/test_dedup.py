@@ -50,6 +50,12 @@ def test_exact_empty_and_clashing(spark):
     assert out.columns == d.columns and [r.doc_id for r in out.collect()] == [1]
 
 
+def test_ties_of_text_and_id_go_the_same_way(spark):
+    d = table(spark, [(1, "a", "x", str(k)) for k in range(6)])
+    got = {tuple(exact.exact_dedup(d.repartition(n)).collect()[0]) for n in (1, 3, 5)}
+    assert len(got) == 1
+
+
 def test_cells_count_a_row_once():
     out = list(exact._touch([pa.RecordBatch.from_pydict({"h": pa.array([5, 6, None], pa.int64())})], 1 << 16))
     assert len(out) == 1 and len(exact._unpack(out[0]["more"][0].as_py()).nonzero()[0]) == 0
