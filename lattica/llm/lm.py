@@ -20,6 +20,7 @@ small numbers, exploded on arrival. That keeps the shuffle near ten bytes a word
 """
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,18 @@ def exploded(packed: DataFrame) -> DataFrame:
     return at.select((word(1) * 4 + F.col("copy")).alias("v"), u.alias("u"), w.alias("w"), "p", x.alias("x"), "id", (F.col("id").isNotNull() | own).alias("own"))
 
 
+@contextmanager
+def _partitioned_by_part_of_the_keys(spark):
+    """Lets a join keep partitions that are made by one of its keys; Spark else shuffles by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 # == count tables
 def _units(x: Column) -> Column:
     return F.rint(F.log10(x) * UNIT).cast("long")
@@ -286,6 +299,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         F.first("id", ignorenulls=True).alias("i"), F.max(F.when(F.col("own"), F.col("w"))).alias("n"),
         F.sum(F.col("after") + F.when(odd, F.col("second")).otherwise(F.col("first"))).alias("s"), F.sum("plain").alias("plain"),
     )
+    with _partitioned_by_part_of_the_keys(spark):
+        sums = X.cut_lineage(sums)
     units = F.col("s") - F.col("plain") * F.lit(round(math.log10(total or 1) * UNIT))
     return sums.select(
         F.col("i").alias(id_col), F.col("n").alias(names[0]), (units / F.lit(float(UNIT))).alias(names[1]),
