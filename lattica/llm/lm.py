@@ -39,8 +39,8 @@ PARTITION_WORDS = 1_200_000
 MAX_PARTITIONS = 100_000
 #: Occurrences from which a word is split; the corpus has 2^20 such words at most.
 HEAVY_WORDS = 1 << 20
-#: Text and rows that one batch of occurrences is made from; larger ones pack tighter.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 1 << 14
+#: Text and rows that one batch of occurrences is made from; larger ones pack tighter and need more memory.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1 << 14
 #: Words numbered from 1; all others are 59 bits of their hashes behind this bit.
 FREQUENT = (1 << 15) - 1
 RARE = 1 << 59
@@ -242,10 +242,10 @@ def scored(grams: DataFrame, heavy: DataFrame) -> DataFrame:
     """
     table = grams.groupBy("v", "u", "w", "p", "own").agg(F.count("*").alias("c3"))
 
-    def over(*keys: str) -> Column:
-        return F.sum("c3").over(Window.partitionBy(*keys, "p"))
+    def over(*keys: str) -> Column:  # v comes first as it tells rows apart; one order then serves (v) and (v, w)
+        return F.sum("c3").over(Window.partitionBy("v", "p", *keys))
 
-    table = table.withColumn("cuv", over("v", "u")).withColumn("cvw", over("v", "w")).withColumn("local", over("v"))
+    table = table.withColumn("cvw", over("w")).withColumn("local", over()).withColumn("cuv", over("u"))
     table = table.join(F.broadcast(heavy), F.shiftright("v", 2) == heavy["hw"], "left")
     cv, copy = F.coalesce("hc", "local"), F.col("v").bitwiseAND(3)
     starts, whole, left, right = F.col("u") == 0, copy == WHOLE, copy == LEFT, copy == RIGHT
@@ -293,7 +293,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         T.StructField("codes", T.ArrayType(T.ShortType(), False), False), T.StructField("id", narrow.schema["i"].dataType),
     ])
     grams = exploded(narrow.mapInArrow(_scatter(partitions, shared), packed).repartition(partitions, "p"))
-    rows = grams.join(scored(grams, heavy), ["v", "u", "w", "p", "own"])
+    rows = grams.join(scored(grams, heavy), ["v", "p", "u", "w", "own"])
     odd = F.col("x").bitwiseAND(1) == 1
     sums = rows.groupBy(F.shiftright("x", 1).alias("d")).agg(
         F.first("id", ignorenulls=True).alias("i"), F.max(F.when(F.col("own"), F.col("w"))).alias("n"),
