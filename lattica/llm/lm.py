@@ -278,7 +278,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     words = X.cut_lineage(word_counts(narrow))
     total = words.agg(F.sum("c")).first()[0] or 0
     limit = max(heavy_words, total >> 20)
-    top = words.orderBy(F.desc("c"), "w").limit(FREQUENT).toPandas()
+    # words by size class, so that only frequent ones come to the driver, and no more than are numbered
+    size = F.floor(F.log2("c") * 64)
+    least, room = 1 << 30, FREQUENT
+    for r in words.groupBy(size.alias("k")).count().orderBy(F.desc("k")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["k"]
+    top = words.where(size >= least).toPandas().sort_values(["c", "w"], ascending=[False, True], ignore_index=True)
     many = words.where(F.col("c") > limit).toPandas()
     frequent = np.argsort(top["w"].to_numpy(np.int64))
     hashes = top["w"].to_numpy(np.int64)[frequent]
