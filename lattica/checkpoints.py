@@ -1,8 +1,9 @@
-"""Reliable checkpoints in the folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Cutting lineage by tables in the folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_OWN: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written where every executor can read it again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written where every executor can read it again, and read from there.
+
+    Unlike a checkpoint, a table has its true size (small ones are then broadcast by Catalyst's own
+    choice) and carries no constraints along, which loops would multiply in every round. The folder
+    goes when the driver ends.
+    """
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_OWN[app])
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    at = f"{_OWN[app]}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

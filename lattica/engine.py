@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .functions.chunk import chunks
 from .operators import analyze, community, diff, mro, resolve, search, traverse
 from .schema import CONTEXT_RELATIONS, EMBEDDABLE, SYMBOLS, Closed, InvalidRequest, NotFound, VectorsMissing
 from .sources import repository
-from .sources.store import Store, export_csv
+from .sources.store import Store, export_csv, export_inspection
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,8 @@ class Engine:
             files = repository.read_files(self.spark, path)
             nodes, edges = build_graph(files)
             searchable = repository.read_files(self.spark, path, filtered=False).where("kind is not null").where(~F.exists(F.split("path", "/"), lambda x: x.isin(".git", "node_modules", "vendor", "__pycache__", ".venv", "venv")))
-            out = self.store.publish(name, {"nodes": nodes, "edges": edges, "files": searchable}, replace)
+            nodes = cut(nodes)
+            out = self.store.publish(name, {"nodes": nodes, "edges": edges, "files": searchable, **search_tables(nodes)}, replace)
         except BaseException:
             self.metrics.index_fail += 1
             self.metrics.errors += 1
@@ -80,7 +82,7 @@ class Engine:
 
     def publish(self, name: str, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, replace: bool = False) -> str:
         """Publishes a graph that was built elsewhere."""
-        return self.store.publish(name, {"nodes": nodes, "edges": edges, **({"files": files} if files is not None else {})}, replace)
+        return self.store.publish(name, {"nodes": nodes, "edges": edges, **search_tables(nodes), **({"files": files} if files is not None else {})}, replace)
 
     # ---- graph
     def traverse(self, repo: str, node: str, direction: str = "out", max_depth: int = 1, types=None) -> DataFrame:
@@ -120,7 +122,7 @@ class Engine:
     def search(self, repo: str, query: str, limit: int = 20) -> DataFrame:
         if not repo or not (query or "").strip():
             raise InvalidRequest("repository and query are needed")
-        return search.bm25(symbol_documents(self._table(repo, "nodes")), query, limit)
+        return search.bm25_stored(self._table(repo, "postings"), self._table(repo, "search_stats"), query, limit)
 
     def search_source(self, repo: str, query: str, scope: str = "code", limit: int = 20, context: int = 0) -> DataFrame:
         return search.source_search(self._table(repo, "files"), query, scope, limit, context)
@@ -131,8 +133,21 @@ class Engine:
         texts = docs.select("node_id", F.lit("desc").alias("modality"), F.lit(0).alias("chunk_idx"), F.col("description").alias("text")).unionByName(
             docs.select("node_id", F.lit("code").alias("modality"), F.posexplode(chunks(F.col("code"), F.col("label"), self.options.chunk_size, self.options.chunk_overlap)).alias("chunk_idx", "c")).select("node_id", "modality", "chunk_idx", F.col("c.content").alias("text")))
         self.store.add_table(repo, "vectors", repository.embed(texts, embedder, max_bytes=self.options.snippet_bytes).drop("text"))
+        vectors = self._table(repo, "vectors")
+        params = search.int8_params(vectors)
+        if params:
+            self.store.add_table(repo, "qparams", self.spark.createDataFrame([(k, o, s) for k, (o, s) in enumerate(params)], "dim int, offset double, scale double"))
+            self.store.add_table(repo, "codes", search.code_table(vectors.select(vector_key().alias("vec_id"), "embedding"), params))
         self._embedders[repo] = embedder
-        return self._table(repo, "vectors").where("chunk_idx = 0").count()
+        return vectors.where("chunk_idx = 0").count()
+
+    def nearest(self, repo: str, query: str, limit: int = 10) -> DataFrame:
+        """(id, similarity) of description and code vectors, named node|modality|chunk: stored codes first, then full vectors."""
+        if repo not in self._embedders:
+            raise VectorsMissing(repo)
+        params = [(r["offset"], r["scale"]) for r in self._table(repo, "qparams").orderBy("dim").collect()]
+        vectors = self._table(repo, "vectors").select(vector_key().alias("vec_id"), "embedding")
+        return search.two_stage(vectors, self._embedders[repo].embed([query])[0], limit, codes=self._table(repo, "codes"), params=params)
 
     def attach_embedder(self, repo: str, embedder: repository.Embedder) -> int:
         """Uses stored vectors where their count still fits the nodes, else builds them anew."""
@@ -155,7 +170,20 @@ class Engine:
         return search.hybrid(self.search(repo, query, 2 * limit), semantic, nodes, limit)
 
     def export_full_csv(self, repo: str, to: str) -> dict:
-        return export_csv(self._table(repo, "nodes"), self._table(repo, "edges"), to)
+        return export_csv(self._table(repo, "nodes"), self._table(repo, "edges"), to, repo)
+
+    def export_inspection_csv(self, repo: str, to: str) -> None:
+        export_inspection(self._table(repo, "nodes"), self._table(repo, "edges"), to)
+
+
+def search_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The stored symbol index: postings by term, and the statistics that go with them."""
+    docs = symbol_documents(nodes)
+    return {"postings": search.postings(docs), "search_stats": search.index_stats(docs)}
+
+
+def vector_key():
+    return F.concat_ws("|", "node_id", "modality", F.col("chunk_idx").cast("string"))
 
 
 def symbol_documents(nodes: DataFrame) -> DataFrame:
@@ -181,8 +209,6 @@ def description_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a source tree: structure, definitions, imports, calls, heritage, overrides, communities, processes."""
-    from .checkpoints import cut
-
     file_nodes, contains = repository.structure(files)
     facts = cut(repository.parse(files))
     d = facts.where("kind = 'definition'").select("file_path", "name", "node_id", F.col("label").alias("type"), "parameter_count", "return_type", F.col("owner").alias("owner_id"), "start_byte", "end_byte", "ord", "start_line", "end_line", "is_exported")
@@ -193,7 +219,7 @@ def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     bindings = imports.where("exported_name is not null").join(targets, ["file_path", "import_path"]).select("file_path", "local_name", "target", "exported_name")
     heritage = facts.where("kind = 'heritage'").select("file_path", F.col("name").alias("child_name"), F.col("target").alias("parent_name"), F.col("form").alias("heritage_type"))
     parents = cut(resolve.resolve_heritage(heritage, d, targets))
-    calls = facts.where("kind = 'call'").select(F.xxhash64("file_path", "ord").alias("call_id"), "file_path", F.col("name").alias("call_name"), F.lit(None).cast("string").alias("receiver_type"), F.col("form").alias("call_form"), "arg_count", "start_byte")
+    calls = facts.where("kind = 'call'").select(F.xxhash64("file_path", "ord").alias("call_id"), "file_path", F.col("name").alias("call_name"), "receiver_type", F.col("form").alias("call_form"), "arg_count", "start_byte")
     spans = d.where(F.col("type").isin("Function", "Method", "Class")).select("file_path", "node_id", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
     holder = diff.enclosing(calls.select(F.col("call_id").alias("key"), "file_path", F.col("start_byte").alias("at")), spans)
     resolved = resolve.resolve_calls(calls, d, targets, parents.select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent")), bindings)
@@ -208,7 +234,7 @@ def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = e.unionByName(called.groupBy(F.coalesce("holder", file_id("file_path")).alias("s"), "node_id").agg(F.max("confidence").alias("c"), F.min("reason").alias("r")).select(*edge("CALLS", F.col("s"), F.col("node_id"), F.col("c"), F.col("r"))))
     up = parents.select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent"), "type")
     if not up.isEmpty():
-        order = mro.linearizations(up, mro.weak_components(up.select(F.col("child").alias("source"), F.col("parent").alias("target"))))
+        order = mro.linearizations(up)
         e = e.unionByName(mro.method_edges(order, d.where("owner_id is not null").select("owner_id", "name", "node_id"), up).select(*edge(F.col("type"), F.col("source"), F.col("target"))))
     e = cut(e)
     graph, resolution = community.clustering_graph(symbols, e)

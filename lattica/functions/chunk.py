@@ -1,6 +1,6 @@
 """Splitting source text into chunks for embedding, by lines, members or whole functions.
 
-Sizes are UTF-8 bytes. The rules are sequential, so they run per row in an Arrow-fed function.
+Sizes are UTF-8 bytes, lines count from 1. The rules are sequential, so they run per row in an Arrow-fed function.
 """
 
 import pandas as pd
@@ -12,7 +12,7 @@ DECLARATIONS = {"Class", "Interface", "Struct", "Enum", "Trait", "Impl", "Record
 CHUNKS = "array<struct<content:string,start_line:int,end_line:int,mode:string>>"
 
 
-def by_characters(content: str, size: int = 1200, overlap: int = 120, first: int = 0) -> list[tuple[str, int, int, str]]:
+def by_characters(content: str, size: int = 1200, overlap: int = 120, first: int = 1) -> list[tuple[str, int, int, str]]:
     """Greedy runs of lines of at most ``size`` bytes; the next run steps back whole lines within ``overlap``.
 
     A line longer than ``size`` is a run of its own. Where the lines stepped back over sum to
@@ -41,7 +41,7 @@ def by_characters(content: str, size: int = 1200, overlap: int = 120, first: int
     return [("".join(x + "\n" for x in lines[a : b + 1]), first + a, first + b, "character") for a, b in out]
 
 
-def by_members(content: str, size: int = 1200, overlap: int = 120, first: int = 0) -> list[tuple[str, int, int, str]]:
+def by_members(content: str, size: int = 1200, overlap: int = 120, first: int = 1) -> list[tuple[str, int, int, str]]:
     """Cuts before each later line indented like the first; oversize members are cut by lines."""
     lines = content.split("\n")
     indent = lambda x: len(x) - len(x.lstrip(" \t"))
@@ -62,7 +62,7 @@ def by_members(content: str, size: int = 1200, overlap: int = 120, first: int =
     return out
 
 
-def chunk(content: str | None, label: str | None, size: int = 1200, overlap: int = 120, first: int = 0) -> list[tuple[str, int, int, str]]:
+def chunk(content: str | None, label: str | None, size: int = 1200, overlap: int = 120, first: int = 1) -> list[tuple[str, int, int, str]]:
     if not content:
         return []
     if label in FUNCTIONS:

@@ -29,10 +29,13 @@ def context(nodes: DataFrame, edges: DataFrame, node: str, types=None, limit: in
 def excerpt(files: DataFrame, nodes: DataFrame, max_lines: int = 200) -> DataFrame:
     """(id, excerpt): the lines of each node's span in its file; lines are 0-based, spans inclusive."""
     n = nodes.where(F.col("start_line").isNotNull() & (F.col("start_line") >= 0)).select("id", F.col("file_path").alias("path"), "start_line", F.greatest(F.coalesce("end_line", "start_line"), F.col("start_line")).alias("end_line"))
-    # a file with nodes is split once, before it meets them; lines are too much to broadcast
-    lines = F.col("lines")
-    own = files.join(n.select("path"), "path", "left_semi").select("path", F.split("content", "\n").alias("lines"))
-    return n.join(own.hint("merge"), "path").where(F.col("start_line") < F.size(lines)).select("id", F.array_join(F.slice(lines, F.col("start_line") + 1, F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(max_lines))), "\n").alias("excerpt"))
+    # a file meets the spans of its nodes once and is split once; its lines aren't copied for each node
+    spans = n.groupBy("path").agg(F.collect_list(F.struct("id", "start_line", "end_line")).alias("spans"))
+    own = files.select("path", "content").join(spans, "path").select(F.array(F.split("content", "\n")).alias("files"), "spans")
+    cut_out = lambda lines, s: F.struct(s["id"].alias("id"), F.when(s["start_line"] < F.size(lines), F.array_join(F.slice(lines, s["start_line"] + 1, F.least(s["end_line"] - s["start_line"] + 1, F.lit(max_lines))), "\n")).alias("excerpt"))
+    # the outer transform binds the lines, which would else be split again for each span
+    found = own.select(F.explode(F.flatten(F.transform("files", lambda lines: F.transform("spans", lambda s: cut_out(lines, s))))).alias("x"))
+    return found.select("x.id", "x.excerpt").where("excerpt is not null")
 
 
 def endpoint_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,54 +59,59 @@ def low_confidence(edges: DataFrame, threshold: float = 0.7) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of more than one node, named by their least member.
 
-    Nodes without an edge on either side are trimmed until none is left; then the least id is
-    propagated forward, and back from each node that is its own least: those reached both ways are
-    a component. It and its edges leave, and the rest goes another round.
+    Nodes without an edge on either side are trimmed while that takes a fifth of the edges. Each round gives the nodes a new random order, and every node the first of all that reach it and
+    the first of all that it reaches. Where these are the same, its nodes are one component and leave.
+    Of the rest, only edges between nodes with the same two firsts can lie in a component and go
+    another round. Chains fall apart at random places, so rounds grow with the logarithm of lengths.
     """
     e = cut(edges.select("source", "target").where("source <> target").distinct())
-    done = None
-    while True:
-        e = _trim(e)
-        if e.isEmpty():
+    done, turn, size = None, 0, e.count()
+    while size:
+        e, size = _trim(e, size)
+        if not size:
             break
-        fw = _spread(e)
-        back = e.join(fw.select(F.col("id").alias("source"), F.col("m").alias("ms")), "source").join(fw.select(F.col("id").alias("target"), F.col("m").alias("mt")), "target").where("ms = mt").select("source", "target", F.col("ms").alias("m"))
-        back = cut(back)
-        reached = frontier = fw.where("id = m").select("id", "m")
-        while True:
-            new = back.join(frontier.select(F.col("id").alias("target"), "m"), ["target", "m"]).select(F.col("source").alias("id"), "m").distinct().join(reached, ["id", "m"], "left_anti")
-            new = cut(new)
-            if new.isEmpty():
-                break
-            reached = cut(reached.unionByName(new))
-            frontier = new
-        sizes = reached.groupBy("m").count().where("count > 1").select("m")
-        own = cut(reached.join(sizes, "m").select("id", F.col("m").alias("component")))
+        turn += 1
+        ahead, behind = _spread(e, turn), _spread(e.select(F.col("target").alias("source"), F.col("source").alias("target")), turn)
+        both = cut(ahead.join(behind.withColumnRenamed("m", "b"), "id"))
+        found = both.where("m = b")
+        own = cut(found.join(found.groupBy("m").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1"), "m").select("id", "component"))
         done = own if done is None else done.unionByName(own)
-        gone = reached.select("id")
-        e = cut(e.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti"))
+        rest = both.where("m <> b").select("id", F.struct("m", "b").alias("m"))
+        e = cut(_within(e, rest))
+        size = e.count()
     return done if done is not None else edges.sparkSession.createDataFrame([], "id string, component string")
 
 
-def _trim(e: DataFrame) -> DataFrame:
-    size = e.count()
+def _trim(e: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The edges from nodes with an edge in to nodes with an edge out, and their number."""
     while size:
-        e2 = cut(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))
-        now = e2.count()
-        if now == size:
-            return e2
-        e, size = e2, now
-    return e
+        starts, ends = e.select(F.col("source").alias("id")).distinct(), e.select(F.col("target").alias("id")).distinct()
+        e = cut(e.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(starts.withColumnRenamed("id", "target"), "target", "left_semi"))
+        before, size = size, e.count()
+        if size > 0.8 * before:
+            break
+    return e, size
+
 
+def _within(e: DataFrame, m: DataFrame) -> DataFrame:
+    """The edges whose ends have equal marks (id, m)."""
+    return e.join(m.select(F.col("id").alias("source"), F.col("m").alias("ms")), "source").join(m.select(F.col("id").alias("target"), F.col("m").alias("mt")), "target").where("ms = mt").select("source", "target")
 
-def _spread(e: DataFrame) -> DataFrame:
-    """(id, m): the least id among a node and all that reach it."""
-    m = cut(e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct().withColumn("m", F.col("id")))
+
+def _spread(e: DataFrame, turn: int) -> DataFrame:
+    """(id, m): the first node, in the turn's random order, among a node and all that reach it.
+
+    The first of a node's first reaches it too: that hop halves the distances left in each round.
+    """
+    first = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("i"))
+    m = cut(e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct().withColumn("m", first))
     while True:
-        got = e.join(m.select(F.col("id").alias("source"), F.col("m").alias("ms")), "source").groupBy("target").agg(F.min("ms").alias("ms"))
-        nxt = cut(m.join(got.withColumnRenamed("target", "id"), "id", "left").select("id", F.least("m", F.coalesce("ms", "m")).alias("m"), (F.coalesce("ms", "m") < F.col("m")).alias("moved")))
+        got = e.join(m.select(F.col("id").alias("source"), F.col("m").alias("ms")), "source").groupBy(F.col("target").alias("id")).agg(F.min("ms").alias("ms"))
+        near = m.join(got, "id", "left").select("id", "m", F.least("m", F.coalesce("ms", "m")).alias("n"))
+        hop = m.select(F.col("id").alias("i"), F.col("m").alias("mm"))
+        nxt = cut(near.withColumn("i", F.col("n.i")).join(hop, "i").select("id", F.least("n", "mm").alias("m"), (F.least("n", "mm") < F.col("m")).alias("moved")))
         if nxt.where("moved").isEmpty():
-            return nxt.select("id", "m")
+            return nxt.select("id", F.col("m.i").alias("m"))
         m = nxt.select("id", "m")
 
 
@@ -154,8 +162,8 @@ def degrees(edges: DataFrame, types=("CALLS",)) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("callees"), F.sum("i").alias("callers"))
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """(members): elementary cycles of up to ``max_length`` nodes, from their least member on.
+def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(members): elementary cycles, of up to ``max_length`` nodes if that is given, from their least member on.
 
     Paths grow inside strongly connected components only. A cycle whose members include those of a
     shorter one is left out, as is usual for reports.
@@ -163,14 +171,17 @@ def simple_cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
     c = components(edges)
     inner = cut(edges.select("source", "target").where("source <> target").distinct().join(c.select(F.col("id").alias("source"), F.col("component").alias("cs")), "source").join(c.select(F.col("id").alias("target"), F.col("component").alias("ct")), "target").where("cs = ct").select("source", "target"))
     paths = inner.where("source < target").select(F.array("source", "target").alias("p"), F.col("target").alias("last"))
-    found = None
-    for _ in range(max_length - 1):
+    found, length = None, 1
+    while max_length is None or length < max_length:
+        length += 1
         grown = cut(paths.join(inner, F.col("last") == F.col("source")).select("p", F.col("target").alias("next")))
         closed = grown.where(F.col("next") == F.element_at("p", 1)).select(F.col("p").alias("members"))
         found = closed if found is None else found.unionByName(closed)
         paths = grown.where((F.col("next") > F.element_at("p", 1)) & ~F.array_contains("p", F.col("next"))).select(F.concat("p", F.array("next")).alias("p"), F.col("next").alias("last"))
         if paths.isEmpty():
             break
+    if found is None:
+        return inner.sparkSession.createDataFrame([], "members array<string>")
     found = cut(found.distinct())
     smaller = found.select(F.col("members").alias("s")).alias("b")
     return found.alias("a").join(smaller, (F.size("s") < F.size("members")) & (F.size(F.array_except("s", "members")) == 0), "left_anti").orderBy(F.size("members"), "members")

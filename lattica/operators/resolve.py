@@ -123,23 +123,32 @@ def _confidence(tier: Column) -> Column:
 def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame, parents: DataFrame | None = None, bindings: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
     """(call_id, node_id, reason, confidence): call targets.
 
-    A typed receiver decides by its type alone: the method of that owner with fitting arity, else of
-    an assignable ancestor. Other calls go by tiers over callable definitions of fitting arity
+    A typed receiver decides by its type alone: the method of that owner with fitting arity, else the
+    owner's only method of the name that takes more arguments (the rest have defaults), else one of an
+    assignable ancestor. An owner that the caller's file defines or imports (C and C++ files: also
+    through what they include) comes before one that it can't see. Other calls go by tiers over callable definitions of fitting arity
     (unknown arities fit); a member call whose receiver has no type is never resolved by
     ``unique-global``. ``parents`` has (child, parent) owner ids.
     """
     d = definitions.where(F.col("type").isin(*CALLABLE))
     fits = F.col("parameter_count").isNull() | (F.col("arg_count") < 0) | (F.col("parameter_count") == F.col("arg_count"))
     typed, plain = calls.where(F.col("receiver_type").isNotNull()), calls.where(F.col("receiver_type").isNull())
-    owners = definitions.where(F.col("type").isin(sorted(SYMBOLS - set(CALLABLE)))).select(F.col("name").alias("on"), F.col("node_id").alias("oid"))
+    owners = definitions.where(F.col("type").isin(sorted(SYMBOLS - set(CALLABLE)))).select(F.col("name").alias("on"), F.col("node_id").alias("oid"), F.col("file_path").alias("of"))
     methods = d.select(F.col("owner_id").alias("mo"), F.col("name").alias("mn"), "node_id", "parameter_count")
     own = typed.join(owners, F.col("receiver_type") == F.col("on"))
+    sees = imports.select("file_path", F.col("target").alias("of")).where("file_path <> of").distinct()
+    if "language" in calls.columns and not typed.where(F.col("language").isin("c", "cpp")).isEmpty():
+        far = closure(sees.select(F.col("file_path").alias("a"), F.col("of").alias("b"))).select(F.col("a").alias("file_path"), F.col("b").alias("of"))
+        sees = sees.unionByName(far.join(calls.where(F.col("language").isin("c", "cpp")).select("file_path").distinct(), "file_path", "left_semi")).distinct()
+    seen = own.join(sees, ["file_path", "of"], "left_semi").unionByName(own.where(F.col("file_path") == F.col("of")), allowMissingColumns=True)
+    own = seen.unionByName(own.join(seen.select("call_id").distinct(), "call_id", "left_anti"))
     exact = own.join(methods, (F.col("oid") == F.col("mo")) & (F.col("call_name") == F.col("mn"))).where(fits).select("call_id", "node_id", F.lit("receiver-type-exact").alias("tier"), F.lit(1).alias("rank"))
-    found = exact
+    more = own.join(methods, (F.col("oid") == F.col("mo")) & (F.col("call_name") == F.col("mn"))).where(F.col("parameter_count") > F.col("arg_count")).where("arg_count >= 0")
+    found = exact.unionByName(more.select("call_id", "node_id", F.lit("receiver-type-default-args").alias("tier"), F.lit(2).alias("rank")))
     if parents is not None:
         up = closure(parents.select(F.col("child").alias("a"), F.col("parent").alias("b")))
         above = own.join(up, F.col("oid") == F.col("a")).join(methods, (F.col("b") == F.col("mo")) & (F.col("call_name") == F.col("mn"))).where(fits)
-        found = found.unionByName(above.select("call_id", "node_id", F.lit("receiver-type").alias("tier"), F.lit(2).alias("rank")))
+        found = found.unionByName(above.select("call_id", "node_id", F.lit("receiver-type").alias("tier"), F.lit(3).alias("rank")))
     by_type = decide(found, "call_id").select("call_id", "node_id", F.col("tier").alias("reason"), F.when(F.col("tier") == "receiver-type-exact", 0.95).otherwise(0.9).alias("confidence"))
     refs = plain.select(F.col("call_id").alias("ref_id"), "file_path", F.col("call_name").alias("name"), "arg_count", "call_form")
     c = tier_candidates(refs, d, imports, bindings, packages).join(refs.select("ref_id", "arg_count", "call_form"), "ref_id").join(d.select("node_id", "parameter_count").distinct(), "node_id")

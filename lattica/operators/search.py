@@ -22,13 +22,38 @@ def _equals(word: str):
 
 
 # == symbols
+def _tokenised(docs: DataFrame, id_col: str, fields) -> DataFrame:
+    """(field, node_id, t): the tokens of every field."""
+    own = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields])
+    return docs.select(F.col(id_col).alias("node_id"), F.explode(own).alias("x")).select("x.field", "node_id", "x.t")
+
+
 def postings(docs: DataFrame, id_col: str = "node_id", fields=tuple(BOOSTS)) -> DataFrame:
-    """(field, term, node_id, tf, length): the inverted index of symbol documents."""
-    parts = [docs.select(F.lit(f).alias("field"), F.col(id_col).alias("node_id"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p)
-    return d.select("field", "node_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("field", "term", "node_id", "length").agg(F.count("*").alias("tf"))
+    """(term, field, node_id, tf, length): the inverted index of symbol documents, laid out to be stored.
+
+    Rows are partitioned and sorted by term, so a stored index reads only the row groups of a query's terms.
+    """
+    d = _tokenised(docs, id_col, fields).select("field", "node_id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    return d.groupBy("term", "field", "node_id", "length").agg(F.count("*").alias("tf")).select("term", "field", "node_id", "tf", "length").repartition("term").sortWithinPartitions("term", "field")
+
+
+def index_stats(docs: DataFrame, id_col: str = "node_id", fields=tuple(BOOSTS)) -> DataFrame:
+    """(field, docs, avg): how many documents there are, and the mean number of tokens of each field."""
+    return _tokenised(docs, id_col, fields).groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("avg"))
+
+
+def bm25_stored(index: DataFrame, stats: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
+    """``bm25`` over stored postings and statistics: only the rows of the query's terms are read."""
+    if not query.strip():
+        raise InvalidRequest("empty query")
+    own = index.where(F.col("term").isin(query_terms(query)))
+    # a row for each field and term of the query
+    df = F.broadcast(own.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "field"))
+    boost = F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv])
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.coalesce(boost[F.col("field")], F.lit(1.0)) * idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg")))
+    out = own.join(df, ["field", "term"]).groupBy("node_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    return out.orderBy(F.desc("score"), "node_id").limit(limit) if limit else out
 
 
 def query_terms(query: str) -> list[str]:
@@ -131,17 +156,27 @@ def source_search(files: DataFrame, query: str, scope: str = "code", limit: int
 
 
 # == vectors
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", query_id: str = "query_id", batch: int = 2048, max_broadcast: int = 100_000, digits: int = 6) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", query_id: str = "query_id", batch: int = 2048, max_broadcast_bytes: int = 64 << 20, digits: int = 6, params: list[tuple[float, float]] | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): exact cosine neighbours of each query, ties by id.
 
-    Queries of a checked number are broadcast and every partition keeps its own k best by matrix
-    products of ``batch`` vectors with as many queries; only those are shuffled. More queries than
-    that go in rounds. Similarities are rounded to ``digits`` (12 at most) before they are compared.
+    Queries of at most ``max_broadcast_bytes`` (as doubles, with their k best) are broadcast and every
+    partition keeps its own k best by matrix products of ``batch`` vectors with as many queries; only
+    those are shuffled. More queries than that go in rounds. Similarities are rounded to ``digits``
+    (12 at most) before they are compared. With ``params``, (offset, scale) by dimension, vectors are
+    stored int8 codes in a column ``code`` and are decoded as they are read.
     """
     import numpy as np
     import pandas as pd
 
     rows = queries.select(query_id, "embedding").orderBy(query_id)
+    column = "embedding" if params is None else "code"
+    offset, scale = np.array(params if params is not None else [(0.0, 1.0)]).T
+
+    def matrix_of(column: pd.Series, size: int) -> np.ndarray:
+        if params is None:
+            return np.stack(column.to_numpy()).astype(float)
+        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, size) * scale + offset
+
     spark = vectors.sparkSession
     out = None
 
@@ -154,10 +189,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
             for pdf in batches:
                 for at in range(0, len(pdf), batch):
                     part = pdf.iloc[at : at + batch]
-                    part = part[part["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])].sort_values("id")
+                    part = part[part[column].map(lambda v: v is not None and len(v) == q.shape[1])].sort_values("id")
                     if not len(part):
                         continue
-                    m = np.stack(part["embedding"].to_numpy()).astype(float)
+                    m = matrix_of(part[column], q.shape[1])
                     norm = np.linalg.norm(m, axis=1)
                     names, n = np.array(part["id"].tolist()), len(part)
                     near = min(k, n)
@@ -179,12 +214,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 yield pd.DataFrame({"query_id": np.repeat(ids[own], best_s.shape[1]), "id": best_i[own].ravel(), "similarity": best_s[own].ravel()})
 
         kind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)[query_id]
-        return vectors.select(F.col(id_col).alias("id"), "embedding").mapInPandas(run, f"query_id {kind[1]}, id {kind[0]}, similarity double")
+        return vectors.select(F.col(id_col).alias("id"), column).mapInPandas(run, f"query_id {kind[1]}, id {kind[0]}, similarity double")
 
     held: list = []
     for r in rows.toLocalIterator():
         held.append(r)
-        if len(held) == max_broadcast:
+        if len(held) * 8 * (len(held[0][1] or ()) + 2 * k) >= max_broadcast_bytes:
             part = search([x[0] for x in held], _unit(np.array([x[1] for x in held], float)))
             out, held = part if out is None else out.unionByName(part), []
     if held or out is None:
@@ -256,20 +291,48 @@ def decode_int8(codes: Column, params: list[tuple[float, float]]) -> Column:
     return F.zip_with(codes, p, lambda v, q: v.cast("double") * q["s"] + q["o"])
 
 
-def two_stage(vectors: DataFrame, query, k: int = 10, widen: int = 4, id_col: str = "vec_id") -> DataFrame:
+def code_table(vectors: DataFrame, params: list[tuple[float, float]], id_col: str = "vec_id") -> DataFrame:
+    """(id, code): every vector as one byte a dimension, to be stored beside the vectors."""
+    import numpy as np
+    import pandas as pd
+
+    offset, scale = np.array(params).T
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["embedding"].map(lambda v: v is not None and len(v) == len(offset))]
+            if len(pdf):
+                m = np.stack(pdf["embedding"].to_numpy()).astype(float)
+                # halves go up, as in SQL
+                c = np.where(scale > 0, np.clip(np.floor((m - offset) / np.where(scale > 0, scale, 1) + 0.5), 0, 255), 0).astype(np.uint8)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "code": [x.tobytes() for x in c]})
+
+    kind = dict(vectors.dtypes)[id_col]
+    return vectors.select(F.col(id_col).alias("id"), "embedding").mapInPandas(run, f"id {kind}, code binary")
+
+
+def int8_params(vectors: DataFrame) -> list[tuple[float, float]]:
+    """(offset, scale) by dimension, trained over all vectors."""
+    return [(r["offset"], r["scale"]) for r in train_int8(vectors).orderBy("dim").collect()]
+
+
+def two_stage(vectors: DataFrame, query, k: int = 10, widen: int = 4, id_col: str = "vec_id", codes: DataFrame | None = None, params: list[tuple[float, float]] | None = None) -> DataFrame:
     """(id, similarity): widen x k candidates by int8 codes, ranked again by the full vectors."""
-    params = [(r["offset"], r["scale"]) for r in train_int8(vectors).orderBy("dim").collect()]
-    q = F.array(*[F.lit(float(v)) for v in query])
-    coarse = vectors.select(F.col(id_col).alias("id"), "embedding", cosine(decode_int8(encode_int8(vectors, params), params), q).alias("c")).orderBy(F.desc("c"), "id").limit(widen * k)
-    return coarse.select("id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+    one = vectors.sparkSession.createDataFrame([(0, [float(v) for v in query])], "query_id int, embedding array<double>")
+    return two_stage_many(vectors, one, k, widen, id_col, codes=codes, params=params).orderBy("rank").select("id", "similarity")
+
 
+def two_stage_many(vectors: DataFrame, queries: DataFrame, k: int = 10, widen: int = 4, id_col: str = "vec_id", query_id: str = "query_id", codes: DataFrame | None = None, params: list[tuple[float, float]] | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): ``two_stage`` for each (query_id, embedding) of ``queries``.
 
-def two_stage_many(vectors: DataFrame, queries: DataFrame, k: int = 10, widen: int = 4, id_col: str = "vec_id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id, similarity, rank): ``two_stage`` for each (query_id, embedding) of ``queries``."""
-    params = [(r["offset"], r["scale"]) for r in train_int8(vectors).orderBy("dim").collect()]
+    Stored ``codes`` (id, code) with their ``params`` are used as they are; without them the vectors
+    are coded first.
+    """
+    if codes is None:
+        params = int8_params(vectors)
+        codes = code_table(vectors, params, id_col)
     q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").alias("q"))
-    coded = vectors.select(id_col, decode_int8(encode_int8(vectors, params), params).alias("embedding"))
-    coarse = top_k(coded, queries, widen * k, id_col, query_id, digits=12).select("query_id", "id")
+    coarse = top_k(codes, queries, widen * k, "id", query_id, digits=12, params=params).select("query_id", "id")
     full = coarse.join(vectors.select(F.col(id_col).alias("id"), "embedding"), "id").join(q, "query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     scored = full.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))

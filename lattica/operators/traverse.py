@@ -1,11 +1,15 @@
 """Bounded traversal: each hop is one join of the frontier with the edges.
 
 Every loop cuts its lineage by a checkpoint a hop, stops on an empty frontier, and breaks ties by
-(direction, relation, neighbour, edge id), so results don't depend on the order of rows.
+(direction, relation, neighbour, edge id), so results don't depend on the order of rows. Frontiers
+and visited ids are counted and broadcast while they are small, so that edges needn't be shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,12 @@ from ..checkpoints import cut
 from ..schema import ACTIONABLE, IMPACT_RELATIONS, InvalidRequest, LimitExceeded, NotFound, direction, relations
 
 MAX_IMPACT_DEPTH, MAX_IMPACT = 10, 1000
+#: Ids up to this number are broadcast (some 10 MB).
+SMALL = 100_000
+#: Edges up to this number are searched by one task (some 500 MB); more of them hop by hop.
+ONE_TASK = 2_000_000
+#: Levels after which what has been visited is written as one table.
+MERGE = 12
 
 
 def steps(edges: DataFrame, way: str) -> DataFrame:
@@ -26,6 +36,39 @@ def _allowed(edges: DataFrame, names: frozenset[str]) -> DataFrame:
     return edges.where(F.col("type").isin(sorted(names))) if names else edges
 
 
+def _kept(moves: DataFrame) -> DataFrame:
+    """Moves that are dear to compute are kept for all hops (what is lost is computed again); plain scans are read anew."""
+    plan = moves._jdf.queryExecution().optimizedPlan().toString()
+    return moves.persist(StorageLevel.MEMORY_AND_DISK) if any(x in plan for x in ("Aggregate", "Join", "Window", "Generate")) else moves
+
+
+def _small(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= SMALL else ids
+
+
+class _Seen:
+    """Visited ids, a few tables at most."""
+
+    def __init__(self, start: DataFrame, n: int):
+        self.parts, self.n = [start], n
+
+    def add(self, ids: DataFrame, n: int) -> None:
+        self.parts.append(ids)
+        self.n += n
+        if len(self.parts) > MERGE:
+            self.parts = [cut(_union(self.parts))]
+
+    def ids(self) -> DataFrame:
+        return _small(_union(self.parts), self.n)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def bfs(edges: DataFrame, start: DataFrame, max_depth: int, way: str = "out", types=None, gate: DataFrame | None = None, limit: int | None = 100_000) -> DataFrame:
     """(id, depth, edge_id, edge_type, parent, confidence): every node but the start, at its least depth.
 
@@ -39,65 +82,133 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int, way: str = "out", ty
     moves = steps(_allowed(edges, relations(types)), direction(way)).where("at <> next")
     if gate is not None:
         moves = moves.join(gate.select(F.col("id").alias("next")), "next", "left_semi")
-    seen = frontier = start.select("id").distinct()
-    levels = []
+    moves = _kept(moves)
+    frontier = start.select("id").distinct()
+    n = frontier.count()
+    seen, levels = _Seen(frontier, n), []
     for depth in range(1, max_depth + 1):
-        found = (
-            moves.join(frontier.select(F.col("id").alias("at")), "at")
-            .join(seen.select(F.col("id").alias("next")), "next", "left_anti")
+        found = cut(
+            moves.join(_small(frontier.select(F.col("id").alias("at")), n), "at")
+            .join(seen.ids().withColumnRenamed("id", "next"), "next", "left_anti")
             .groupBy("next")
             .agg(F.min(F.struct("dir", "type", "at", "id", "confidence")).alias("e"))
             .select(F.col("next").alias("id"), F.lit(depth).alias("depth"), F.col("e.id").alias("edge_id"), F.col("e.type").alias("edge_type"), F.col("e.at").alias("parent"), F.col("e.confidence").alias("confidence"))
         )
-        found = cut(found)
-        if found.isEmpty():
+        n = found.count()
+        if not n:
             break
         levels.append(found)
         frontier = found.select("id")
-        seen = seen.unionByName(frontier)
-        if limit is not None and seen.count() > limit:
+        seen.add(frontier, n)
+        if limit is not None and seen.n > limit:
             raise LimitExceeded(f"more than {limit} nodes within {depth} hops")
+    moves.unpersist()
     if not levels:
         return edges.sparkSession.createDataFrame([], "id string, depth int, edge_id string, edge_type string, parent string, confidence double")
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return _union(levels)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 10_000) -> DataFrame:
+PATH = "step int, edge_id string, edge_type string, source string, target string"
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """(step, edge_id, edge_type, source, target) along a path of fewest edges, outgoing only.
 
     Among shortest paths each node's edge is the first by (relation, parent, id). No path, or a
-    path from a node to itself, raises NotFound.
+    path from a node to itself, raises NotFound. Edges that are counted to be at most ``one_task``
+    are searched by one task, whatever the length of the path. More of them are searched hop by hop
+    from both ends at once, always from the one with the smaller frontier.
     """
     if source == target:
         raise NotFound("no path from a node to itself")
     spark = edges.sparkSession
-    moves = steps(edges, "out").where("at <> next")
-    frontier = spark.createDataFrame([(source,)], "id string")
-    seen, levels = frontier, []
-    for _ in range(max_hops):
-        found = cut(
-            moves.join(frontier.select(F.col("id").alias("at")), "at").join(seen.select(F.col("id").alias("next")), "next", "left_anti")
-            .groupBy("next").agg(F.min(F.struct("type", "at", "id")).alias("e")).select(F.col("next").alias("id"), "e")
-        )
-        levels.append(found)
-        if not found.where(F.col("id") == target).isEmpty():
-            break
-        if found.isEmpty():
+    moves = _kept(steps(edges, "out").where("at <> next"))
+    try:
+        if moves.count() <= one_task:
+            out = moves.select("at", "next", "type", "id").coalesce(1).mapInPandas(_path_in_one_task(source, target, max_hops), PATH)
+            out = spark.createDataFrame(out.collect(), PATH)  # as long as the path
+            if out.isEmpty():
+                raise NotFound(f"no path from {source} to {target}")
+            return out
+        return spark.createDataFrame(_path_from_both_ends(moves, source, target, max_hops), PATH)
+    finally:
+        moves.unpersist()
+
+
+def _path_in_one_task(source: str, target: str, max_hops: int | None):
+    def run(batches):
+        edges = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["at", "next", "type", "id"])], ignore_index=True)
+        edges = edges.sort_values(["type", "at", "id"], ignore_index=True)  # an edge's place is its rank among ties
+        code, names = pd.factorize(pd.concat([edges["at"], edges["next"]]))
+        ends = {n: k for k, n in enumerate(names) if n in (source, target)} if len(names) else {}
+        if len(ends) < 2:
+            return
+        a, b = code[: len(edges)], code[len(edges) :]
+        order = np.argsort(a, kind="stable")
+        begin = np.searchsorted(a[order], np.arange(len(names) + 1))
+        via = np.full(len(names), -1)
+        via[ends[source]] = len(edges)
+        frontier, hops, goal = np.array([ends[source]]), 0, ends[target]
+        while len(frontier) and via[goal] < 0 and (max_hops is None or hops < max_hops):
+            n = begin[frontier + 1] - begin[frontier]
+            e = order[np.repeat(begin[frontier] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            e = np.sort(e[via[b[e]] < 0])
+            frontier, first = np.unique(b[e], return_index=True)
+            via[frontier] = e[first]
+            hops += 1
+        if via[goal] < 0:
+            return
+        path, at = [], goal
+        while at != ends[source]:
+            path.append(via[at])
+            at = a[via[at]]
+        p = edges.iloc[path[::-1]]
+        yield pd.DataFrame({"step": np.arange(1, len(p) + 1, dtype=np.int32), "edge_id": p["id"].to_numpy(), "edge_type": p["type"].to_numpy(), "source": p["at"].to_numpy(), "target": p["next"].to_numpy()})
+
+    return run
+
+
+def _path_from_both_ends(moves: DataFrame, source: str, target: str, max_hops: int | None) -> list[tuple]:
+    """Levels of ids from either end until they meet; then the edges, forwards over the nodes on some shortest path."""
+    spark = moves.sparkSession
+    ways = []
+    for end, at, nxt in ((source, "at", "next"), (target, "next", "at")):
+        start = spark.createDataFrame([(end,)], "id string")
+        ways.append({"levels": [start], "sizes": [1], "seen": _Seen(start, 1), "pairs": moves.select(F.col(at).alias("from"), F.col(nxt).alias("id"))})
+    while True:
+        hops = len(ways[0]["levels"]) + len(ways[1]["levels"]) - 2
+        if max_hops is not None and hops >= max_hops:
+            raise NotFound(f"no path from {source} to {target} within {max_hops} hops")
+        way, other = sorted(ways, key=lambda w: w["sizes"][-1])
+        ahead = _small(way["levels"][-1].withColumnRenamed("id", "from"), way["sizes"][-1])
+        found = cut(way["pairs"].join(ahead, "from").select("id").distinct().join(way["seen"].ids(), "id", "left_anti"))
+        n = found.count()
+        if not n:
             raise NotFound(f"no path from {source} to {target}")
-        frontier = found.select("id")
-        seen = seen.unionByName(frontier)
-    else:
-        raise NotFound(f"no path from {source} to {target} within {max_hops} hops")
-    # one point lookup a level, backwards
+        way["levels"].append(found)
+        way["sizes"].append(n)
+        way["seen"].add(found, n)
+        if not found.join(_small(other["levels"][-1], other["sizes"][-1]), "id", "left_semi").isEmpty():
+            break
+    front, back = (w["levels"] for w in ways)
+    # layer k of the shortest paths: reached in k steps from the source and in the rest from the target
+    layers = [*front[:-1], cut(front[-1].join(back[-1], "id", "left_semi")), *back[-2::-1]]
+    for k in range(len(front) - 2, 0, -1):
+        ahead = _small(layers[k + 1].withColumnRenamed("id", "next"), ways[0]["sizes"][k + 1])
+        layers[k] = cut(moves.join(ahead, "next", "left_semi").select(F.col("at").alias("id")).distinct().join(front[k], "id", "left_semi"))
+    # forwards, each node of a layer by its first edge from the layer before; then back from the target
+    best, sizes = [], [*ways[0]["sizes"], *ways[1]["sizes"][-2::-1]]
+    reached = layers[0]
+    for k in range(1, len(layers)):
+        step = moves.join(_small(reached.withColumnRenamed("id", "at"), sizes[k - 1]), "at", "left_semi").join(_small(layers[k].withColumnRenamed("id", "next"), sizes[k]), "next", "left_semi")
+        best.append(cut(step.groupBy("next").agg(F.min(F.struct("type", "at", "id")).alias("e")).select(F.col("next").alias("id"), "e")))
+        reached = best[-1].select("id")
     path, at = [], target
-    for k in range(len(levels) - 1, -1, -1):
-        e = levels[k].where(F.col("id") == at).first()["e"]
-        path.append((k + 1, e["id"], e["type"], e["at"], at))
+    for k in range(len(best), 0, -1):
+        e = best[k - 1].where(F.col("id") == at).first()["e"]
+        path.append((k, e["id"], e["type"], e["at"], at))
         at = e["at"]
-    return spark.createDataFrame(path[::-1], "step int, edge_id string, edge_type string, source string, target string")
+    return path[::-1]
 
 
 def label_gate(nodes: DataFrame, origin_is_file: bool = False) -> DataFrame:
@@ -119,7 +230,7 @@ def impact(nodes: DataFrame, edges: DataFrame, origin: str, max_depth: int = 3,
     if start is None:
         raise NotFound(origin)
     spark = nodes.sparkSession
-    moves = steps(_allowed(edges, relations(types, IMPACT_RELATIONS)), "in").join(label_gate(nodes, start["label"] == "File").select(F.col("id").alias("next")), "next", "left_semi")
+    moves = _kept(steps(_allowed(edges, relations(types, IMPACT_RELATIONS)), "in").join(label_gate(nodes, start["label"] == "File").select(F.col("id").alias("next")), "next", "left_semi"))
     found, frontier = [], [(0, origin)]
     seen = [(origin,)]
     for depth in range(1, max_depth + 1):
@@ -137,6 +248,7 @@ def impact(nodes: DataFrame, edges: DataFrame, origin: str, max_depth: int = 3,
             found.append((len(found) + 1, r["next"], depth, r["e"]["type"], r["e"]["at"], -r["e"]["minus"]))
             frontier.append((len(found), r["next"]))
         seen += [(r["next"],) for r in level]
+    moves.unpersist()
     return spark.createDataFrame(found, "ord long, id string, depth int, edge_type string, via string, confidence double")
 
 
@@ -146,7 +258,7 @@ def impact_many(nodes: DataFrame, edges: DataFrame, origins: DataFrame, max_dept
     ``origins`` has a column ``id``. One join a hop carries all causes; ``confidence`` and ``via``
     are of the first edge by (confidence falling, relation, parent).
     """
-    moves = steps(_allowed(edges, relations(types, IMPACT_RELATIONS)), "in").join(label_gate(nodes).select(F.col("id").alias("next")), "next", "left_semi")
+    moves = _kept(steps(_allowed(edges, relations(types, IMPACT_RELATIONS)), "in").join(label_gate(nodes).select(F.col("id").alias("next")), "next", "left_semi"))
     frontier = origins.select(F.col("id").alias("cause"), "id").distinct()
     seen, levels = frontier, []
     for depth in range(1, max_depth + 1):
@@ -160,6 +272,7 @@ def impact_many(nodes: DataFrame, edges: DataFrame, origins: DataFrame, max_dept
         levels.append(found)
         frontier = found.select("cause", "id")
         seen = seen.unionByName(frontier)
+    moves.unpersist()
     if not levels:
         return nodes.sparkSession.createDataFrame([], "cause string, id string, depth int, confidence double, via string")
     out = levels[0]
@@ -180,15 +293,19 @@ def aggregate_impact(found: DataFrame, origins: DataFrame) -> DataFrame:
     )
 
 
-def closure(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(a, b): the transitive closure of a relation (a, b), by doubling path lengths each round."""
-    known = cut(pairs.select("a", "b").distinct())
-    size = known.count()
-    for _ in range(max_rounds):
-        longer = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        known = cut(known.unionByName(longer).distinct())
-        now = known.count()
-        if now == size:
+def closure(pairs: DataFrame) -> DataFrame:
+    """(a, b): the transitive closure of a relation (a, b).
+
+    A round joins only the pairs that the last one found with all known ones, on either side. So
+    path lengths double, and the loop ends when a round finds nothing, whatever their length.
+    """
+    new = cut(pairs.select("a", "b").distinct())
+    parts = [new]
+    while True:
+        known = _union(parts)
+        ahead = new.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        behind = known.select("a", F.col("b").alias("m")).join(new.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        new = cut(ahead.unionByName(behind).distinct().join(known, ["a", "b"], "left_anti"))
+        if new.isEmpty():
             return known
-        size = now
-    return known
+        parts.append(new)

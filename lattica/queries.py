@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import shared_folder
 from .functions import text as T
 from .functions.chunk import chunks
 from .operators import analyze, community, diff, mro, resolve, search, traverse
@@ -174,8 +176,7 @@ def context_neighbourhood(spark, sf_dir):
     return analyze.context(G.nodes(spark, sf_dir), G.edges(spark, sf_dir), "Part:5")
 
 
-@query(f"""WITH {G.NODES_SQL}, f AS (SELECT 'part/' || k || '.go' AS path, list_transform(range(500), lambda i: 'line ' || i) AS lines FROM (SELECT DISTINCT p_partkey % 10 AS k FROM part))
-    SELECT id, array_to_string(lines[start_line + 1:end_line + 1], chr(10)) AS excerpt FROM nodes JOIN f ON path = file_path WHERE start_line < 500""")
+@query(f"""WITH {G.NODES_SQL} SELECT id, array_to_string(list_transform(range(start_line, end_line + 1), lambda i: 'line ' || i), chr(10)) AS excerpt FROM nodes""")
 def source_excerpts(spark, sf_dir):
     n = G.nodes(spark, sf_dir)
     files = n.groupBy(F.col("file_path").alias("path")).agg(F.max("end_line").alias("last")).select("path", F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.concat(F.lit("line "), i)), "\n").alias("content"))
@@ -215,19 +216,19 @@ def check_summary(spark, sf_dir):
     return analyze.summary(analyze.endpoint_findings(G.nodes(spark, sf_dir), e).select(*cols).unionByName(analyze.low_confidence(e).select(*cols)))
 
 
-_SCC = """WITH RECURSIVE {p}, e AS (SELECT DISTINCT source, target FROM planted WHERE source <> target AND type = '{t}'),
+_SCC = """WITH RECURSIVE {p}, e AS (SELECT DISTINCT source, target FROM (SELECT * FROM edges UNION ALL SELECT * FROM planted) WHERE source <> target AND type = '{t}'),
     r AS (SELECT source AS a, target AS b FROM e UNION SELECT a, target FROM r JOIN e ON b = source)
     SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
 
 
-@query(_SCC.format(p=G.PLANTED_SQL, t="EXTENDS"))
+@query(_SCC.format(p=f"{G.EDGES_SQL}, {G.PLANTED_SQL}", t="EXTENDS"))
 def check_cycles_scc(spark, sf_dir):
-    return analyze.components(G.planted_edges(spark, sf_dir).where("type = 'EXTENDS'"))
+    return analyze.components(_checked(spark, sf_dir).where("type = 'EXTENDS'"))
 
 
-@query(_SCC.format(p=G.PLANTED_SQL, t="IMPORTS"))
+@query(_SCC.format(p=f"{G.EDGES_SQL}, {G.PLANTED_SQL}", t="IMPORTS"))
 def check_import_cycles(spark, sf_dir):
-    return analyze.components(G.planted_edges(spark, sf_dir).where("type = 'IMPORTS'"))
+    return analyze.components(_checked(spark, sf_dir).where("type = 'IMPORTS'"))
 
 
 @query(f"""WITH {G.EDGES_SQL}, e AS (SELECT * FROM edges WHERE type = 'CALLS')
@@ -237,15 +238,20 @@ def degree_counts(spark, sf_dir):
 
 
 # == diff and rename
-_HUNKS = "SELECT 'part/' || k || '.go' AS path, k * 100 + 5 AS s, k * 100 + 5 + k AS e, 'modified' AS status FROM range(10) t(k)"
+_HUNKS = "SELECT 'part/' || (p_partkey % 10) || '.go' AS path, p_partkey * 10 + 5 AS s, p_partkey * 10 + 5 + p_size % 40 AS e, 'modified' AS status FROM part WHERE p_size % 3 = 0"
+
+
+def _changed_files(spark, sf_dir) -> DataFrame:
+    """A hunk in each third kind of part's span, gathered by file."""
+    p = _read(spark, sf_dir, "part").where("p_size % 3 = 0")
+    path = F.concat(F.lit("part/"), F.col("p_partkey") % 10, F.lit(".go"))
+    hunk = F.struct(F.lit(1).alias("old_start"), F.lit(1).alias("old_lines"), (F.col("p_partkey") * 10 + 5).cast("int").alias("new_start"), (F.col("p_size") % 40 + 1).cast("int").alias("new_lines"))
+    return p.groupBy(path.alias("path")).agg(F.collect_list(hunk).alias("ranges")).select("path", F.col("path").alias("old_path"), F.lit("modified").alias("status"), "ranges")
 
 
 @query(f"""WITH {G.NODES_SQL}, h AS ({_HUNKS}) SELECT DISTINCT id, label, name, path, status FROM nodes JOIN h ON file_path = path AND start_line + 1 <= e AND end_line + 1 >= s WHERE label IN ({_in(ACTIONABLE)})""")
 def diff_hunk_symbols(spark, sf_dir):
-    k = F.col("id")
-    files = spark.range(10).select(F.concat(F.lit("part/"), k, F.lit(".go")).alias("path"), F.concat(F.lit("part/"), k, F.lit(".go")).alias("old_path"), F.lit("modified").alias("status"),
-        F.array(F.struct(F.lit(1).alias("old_start"), F.lit(1).alias("old_lines"), (k * 100 + 5).cast("int").alias("new_start"), (k + 1).cast("int").alias("new_lines"))).alias("ranges"))
-    return diff.changed_symbols(G.nodes(spark, sf_dir), files)
+    return diff.changed_symbols(G.nodes(spark, sf_dir), _changed_files(spark, sf_dir))
 
 
 def _patches(spark, sf_dir) -> DataFrame:
@@ -303,7 +309,7 @@ def _definitions(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT 'brand/' || p_brand AS file_path, p_type || ' ' || p_size AS name, 'Part:' || p_partkey AS node_id FROM part),
-    r AS (SELECT DISTINCT l_orderkey * 1000000 + p_partkey AS ref_id, 'brand/' || p_brand AS file_path, p_type || ' ' || p_size AS name FROM lineitem JOIN part ON p_partkey = (l_partkey + l_linenumber) % (SELECT count(*) FROM part) WHERE l_linenumber = 1),
+    r AS (SELECT DISTINCT l_orderkey * 1000000 + p_partkey AS ref_id, 'brand/' || p_brand AS file_path, p_type || ' ' || p_size AS name FROM lineitem JOIN part ON p_partkey = (l_partkey + l_linenumber) % (SELECT count(*) FROM part)),
     i AS (SELECT DISTINCT 'brand/' || a.p_brand AS file_path, 'brand/' || b.p_brand AS target FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
     c AS (
         SELECT ref_id, node_id, 1 AS rank, 'same-file' AS tier FROM r JOIN d USING (file_path, name)
@@ -327,13 +333,14 @@ def assignable_closure(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT DISTINCT 'src/' || replace(lower(p_brand), '#', '') || '/' || replace(lower(p_type), ' ', '_') || '.py' AS path FROM part),
-    i AS (SELECT DISTINCT 'src/main.py' AS file_path, replace(lower(p_type), ' ', '_') AS import_path FROM part)
+    i AS (SELECT DISTINCT 'src/' || replace(lower(p_brand), '#', '') || '/main.py' AS file_path, replace(lower(p_type), ' ', '_') AS import_path FROM part)
     SELECT file_path, import_path, (min({'n': length(path), 'path': path})).path AS target FROM i JOIN f ON path = import_path || '.py' OR suffix(path, '/' || import_path || '.py') GROUP BY ALL""")
 def suffix_resolution(spark, sf_dir):
     p = _read(spark, sf_dir, "part")
     kind = F.replace(F.lower("p_type"), F.lit(" "), F.lit("_"))
     files = p.select(F.concat(F.lit("src/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit("/"), kind, F.lit(".py")).alias("path")).distinct()
-    return resolve.resolve_imports(p.select(F.lit("src/main.py").alias("file_path"), kind.alias("import_path")).distinct(), files)
+    main = F.concat(F.lit("src/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit("/main.py"))
+    return resolve.resolve_imports(p.select(main.alias("file_path"), kind.alias("import_path")).distinct(), files)
 
 
 # == enrichment
@@ -377,10 +384,35 @@ def leiden_communities(spark, sf_dir):
     return community.communities(_links(spark, sf_dir))
 
 
-@query()
+# a part's order: the parts above it, then the interfaces of all of them and its own, from the top down
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier),
+    r AS (SELECT p_partkey AS c, p_partkey AS a, 0 AS d FROM part UNION ALL SELECT c, (a - 1) // 2, d + 1 FROM r WHERE a >= 1),
+    s AS (SELECT c, a % n AS s, max(d) AS d FROM r, n GROUP BY ALL),
+    o AS (SELECT c, 'Part:' || a AS ancestor, 0 AS k, d FROM r WHERE d > 0 UNION ALL SELECT c, 'Supplier:' || s, 1, -d FROM s)
+    SELECT 'Part:' || c AS child, (row_number() OVER (PARTITION BY c ORDER BY k, d) - 1)::INT AS pos, ancestor FROM o""")
 def c3_linearization(spark, sf_dir):
-    parents = G.edges(spark, sf_dir).where("type in ('EXTENDS', 'IMPLEMENTS')").select(F.col("source").alias("child"), F.col("target").alias("parent"), "type")
-    return mro.linearizations(parents, mro.weak_components(parents.select(F.col("child").alias("source"), F.col("parent").alias("target"))))
+    return mro.linearizations(_parents(spark, sf_dir))
+
+
+def _parents(spark, sf_dir) -> DataFrame:
+    return G.edges(spark, sf_dir).where("type in ('EXTENDS', 'IMPLEMENTS')").select(F.col("source").alias("child"), F.col("target").alias("parent"), "type")
+
+
+# parts and suppliers own a method each; the nearest owner of the name above a part is overridden, or implemented where it is an interface of its own
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier),
+    r AS (SELECT p_partkey AS c, p_partkey AS a, 0 AS d FROM part UNION ALL SELECT c, (a - 1) // 2, d + 1 FROM r WHERE a >= 1),
+    up AS (SELECT c, 'Part:' || a AS anc, a AS k, 'p' AS kind, d FROM r WHERE d > 0 UNION ALL SELECT c, 'Supplier:' || (a % n), a % n, 's', min(d) + 1 FROM r, n GROUP BY c, a % n),
+    m AS (SELECT 'p' AS kind, p_partkey AS k, p_size % 7 AS name FROM part UNION ALL SELECT 's', s_suppkey, s_suppkey % 7 FROM supplier),
+    near AS (SELECT up.c, min({'d': d, 'anc': anc}) AS x FROM up JOIN m mine ON mine.kind = 'p' AND mine.k = up.c JOIN m theirs ON theirs.kind = up.kind AND theirs.k = up.k AND theirs.name = mine.name GROUP BY up.c),
+    e AS (SELECT 'Method:Part:' || c AS mine, 'Method:' || x.anc AS other, x.anc = 'Supplier:' || (c % n) AS impl FROM near, n)
+    SELECT 'OVERRIDES' AS type, mine AS source, other AS target FROM e WHERE NOT impl
+    UNION ALL SELECT 'METHOD_IMPLEMENTS', mine, other FROM e WHERE impl UNION ALL SELECT 'DISPATCHES_TO', other, mine FROM e WHERE impl""")
+def mro_implements(spark, sf_dir):
+    owner = lambda t, prefix, key, name: _read(spark, sf_dir, t).select(F.concat(F.lit(prefix + ":"), key).alias("owner_id"), (F.expr(name) % 7).cast("string").alias("name"), F.concat(F.lit(f"Method:{prefix}:"), key).alias("node_id"))
+    methods = owner("part", "Part", "p_partkey", "p_size").unionByName(owner("supplier", "Supplier", "s_suppkey", "s_suppkey"))
+    parents = _parents(spark, sf_dir)
+    order = mro.ancestors(parents).select("child", (F.col("depth") - 1).alias("pos"), "ancestor")
+    return mro.method_edges(order, methods, parents)
 
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS c, (p_partkey - 1) // 2 AS a FROM part WHERE p_partkey >= 1),
@@ -396,8 +428,8 @@ def mro_overrides(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {G.EDGES_SQL}, c AS (SELECT source, target FROM edges WHERE type IN ('CALLS', 'EXTENDS')), s AS (SELECT source, target FROM (SELECT DISTINCT source, target FROM c) QUALIFY row_number() OVER (PARTITION BY source ORDER BY target) <= 4),
-    w AS (SELECT 'Order:' || o_orderkey AS entry, ['Order:' || o_orderkey] AS path FROM orders UNION ALL SELECT entry, list_append(path, target) FROM w JOIN s ON source = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, target)),
-    f AS (SELECT entry, path FROM w WHERE len(path) >= 3 AND (len(path) = 5 OR NOT EXISTS (SELECT 1 FROM s WHERE source = path[-1] AND NOT list_contains(path, target))))
+    w AS (SELECT 'Order:' || o_orderkey AS entry, ['Order:' || o_orderkey] AS path FROM orders UNION ALL SELECT entry, list_append(path, target) FROM w JOIN s ON source = path[-1] WHERE len(path) < 10 AND NOT list_contains(path, target)),
+    f AS (SELECT entry, path FROM w WHERE len(path) >= 3 AND (len(path) = 10 OR NOT EXISTS (SELECT 1 FROM s WHERE source = path[-1] AND NOT list_contains(path, target))))
     SELECT entry, array_to_string(path, '>') AS path FROM f QUALIFY row_number() OVER (PARTITION BY entry ORDER BY len(path), path) <= 12""")
 def process_traces(spark, sf_dir):
     entries = _read(spark, sf_dir, "orders").select(F.concat(F.lit("Order:"), "o_orderkey").alias("id"))
@@ -421,8 +453,69 @@ def symbol_tokens(spark, sf_dir):
     df AS (SELECT f, w, count(*) AS df FROM p GROUP BY ALL)
     SELECT doc_id AS node_id, round(sum(b * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM p JOIN df USING (f, w) JOIN s USING (f) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
 def bm25_symbol_search(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("name"), F.col("source").alias("file_path"), F.col("text").alias("content"))
-    return search.bm25(docs, "en haea src3 the Tion")
+    index, stats = _symbol_index(spark, sf_dir)
+    return search.bm25_stored(index, stats, "en haea src3 the Tion")
+
+
+_FIELDS = f"d AS (SELECT doc_id, unnest([{{'f': 'name', 't': {_TOKENS.format(c='lang')}}}, {{'f': 'file_path', 't': {_TOKENS.format(c='source')}}}, {{'f': 'content', 't': {_TOKENS.format(c='text')}}}]) AS x FROM documents)"
+
+
+@query(f"""WITH {_FIELDS}, t AS (SELECT x.f AS field, doc_id, unnest(x.t) AS term FROM d) SELECT field, term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM t GROUP BY ALL""")
+def symbol_index_terms(spark, sf_dir):
+    """Builds the stored index, and counts its terms."""
+    index, _ = _symbol_index(spark, sf_dir)
+    return index.groupBy("field", "term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+@query(f"""WITH {_FIELDS}, s AS (SELECT x.f AS f, avg(len(x.t)) AS avg, count(*) AS docs FROM d GROUP BY 1),
+    p AS (SELECT doc_id, x.f AS f, CASE x.f WHEN 'name' THEN 3.0 WHEN 'file_path' THEN 1.5 ELSE 1.0 END AS b, len(x.t) AS len, w, len(list_filter(x.t, lambda y: y = w)) AS tf FROM d, (VALUES ('fr'), ('ment')) q(w) WHERE list_contains(x.t, w)),
+    df AS (SELECT f, w, count(*) AS df FROM p GROUP BY ALL),
+    lex AS (SELECT doc_id AS id, round(sum(b * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM p JOIN df USING (f, w) JOIN s USING (f) GROUP BY doc_id),
+    sem AS (SELECT vec_id AS id, {"{_COS}"} AS score FROM (SELECT vec_id, embedding AS b, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS a FROM embeddings)),
+    l AS (SELECT 'lexical' AS s, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM lex QUALIFY rank <= 40),
+    v AS (SELECT 'semantic' AS s, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sem QUALIFY rank <= 40),
+    f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY id)
+    SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score, sources FROM f QUALIFY rank <= 20""".replace("{_COS}", "round(list_sum(list_transform(list_zip(a, b), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(list_zip(a, a), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))) * sqrt(list_sum(list_transform(list_zip(b, b), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)))), 6)"))
+def hybrid_search_rrf(spark, sf_dir):
+    """The symbol search and the vector search over documents, fused."""
+    index, stats = _symbol_index(spark, sf_dir)
+    v = _read(spark, sf_dir, "embeddings")
+    near = search.top_k(v, v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 40)
+    nodes = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("Function").alias("label"))
+    return search.hybrid(search.bm25_stored(index, stats, "fr ment", 40), near.select("id", F.col("similarity").alias("score")), nodes)
+
+
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark, sf_dir: str, kind: str, build):
+    """What is built once a session and input, as a published snapshot is, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _BUILT:
+        _BUILT[key] = build(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _BUILT[key]
+
+
+def _symbol_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    def build(at: str) -> str:
+        docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("name"), F.col("source").alias("file_path"), F.col("text").alias("content"))
+        search.postings(docs).write.parquet(f"{at}/postings")
+        search.index_stats(docs).write.parquet(f"{at}/stats")
+        return at
+
+    at = _once(spark, sf_dir, "symbols", build)
+    return spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/stats")
+
+
+def _codes(spark, sf_dir) -> tuple[DataFrame, list[tuple[float, float]]]:
+    def build(at: str):
+        v = _read(spark, sf_dir, "embeddings")
+        params = search.int8_params(v)
+        search.code_table(v, params).write.parquet(at)
+        return at, params
+
+    at, params = _once(spark, sf_dir, "codes", build)
+    return spark.read.parquet(at), params
 
 
 def _files(spark, sf_dir) -> DataFrame:
@@ -442,9 +535,9 @@ def source_regex(spark, sf_dir):
     return search.source_search(_files(spark, sf_dir), "lang:en file:^src1 regex:true case:yes Th[aeiou]+n", "docs", None).select("path", "line", "text")
 
 
-@query(f"""WITH {_LINES}, {_PATHS} SELECT path, line, array_to_string(ls[greatest(line - 2, 1):line - 1], '|') AS before, array_to_string(ls[line + 1:line + 2], '|') AS after FROM p WHERE contains(text, 'AKIA')""")
+@query(f"""WITH {_LINES}, {_PATHS} SELECT path, line, array_to_string(ls[greatest(line - 2, 1):line - 1], '|') AS before, array_to_string(ls[line + 1:line + 2], '|') AS after FROM p WHERE contains(text, 'Thing')""")
 def source_context_lines(spark, sf_dir):
-    r = search.source_search(_files(spark, sf_dir), "AKIA", "all", None, context=2)
+    r = search.source_search(_files(spark, sf_dir), "case:yes Thing", "all", None, context=2)
     return r.select("path", "line", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
 
@@ -474,11 +567,16 @@ _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2
 _COS = f"round({_DOT.format(a='a', b='b')} / (sqrt({_DOT.format(a='a', b='a')}) * sqrt({_DOT.format(a='b', b='b')})), 6)"
 
 
-@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS id, {_COS} AS similarity FROM q, (SELECT vec_id, embedding AS b FROM embeddings))
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, {_COS} AS similarity FROM q, (SELECT vec_id, embedding AS b FROM embeddings))
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10""")
 def vector_topk(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings")
-    return search.top_k(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return search.top_k(v, _asked(v), 10)
+
+
+def _asked(v: DataFrame) -> DataFrame:
+    """Searches ask for every vector whose id is divisible by 50, among all vectors."""
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 _Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -498,15 +596,26 @@ def int8_train_params(spark, sf_dir):
     return search.train_int8(_read(spark, sf_dir, "embeddings")).select("dim", F.round("offset", 9).alias("offset"), F.round("scale", 9).alias("scale"))
 
 
-@query(f"""SELECT vec_id AS id, {_COS} AS similarity FROM (SELECT vec_id, embedding AS b, {_Q0} AS a FROM embeddings) ORDER BY similarity DESC, id LIMIT 10""")
+@query()
 def int8_topk_recall(spark, sf_dir):
+    """The share of each query's ten exact neighbours that the stored codes find at the default width."""
     v = _read(spark, sf_dir, "embeddings")
-    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    q = _asked(v)
+    codes, params = _codes(spark, sf_dir)
     exact = search.top_k(v, q, 10).select("query_id", "id")
-    found = search.two_stage_many(v, q, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    found = search.two_stage_many(v, q, 10, codes=codes, params=params).select("query_id", "id", F.lit(1).alias("hit"))
     return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, {_COS} AS similarity FROM q, (SELECT vec_id, embedding AS b FROM embeddings))
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10""")
+def int8_two_stage(spark, sf_dir):
+    """A width of 20 finds all ten on these tables, so exact search is its SQL."""
+    codes, params = _codes(spark, sf_dir)
+    v = _read(spark, sf_dir, "embeddings")
+    return search.two_stage_many(v, _asked(v), 10, 20, codes=codes, params=params)
+
+
 @query(f"""WITH lex AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 40), sem AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part QUALIFY rank <= 40),
     f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources FROM (SELECT *, 'lexical' AS s FROM lex UNION ALL SELECT *, 'semantic' FROM sem) GROUP BY id),
     o AS (SELECT *, CASE WHEN id % 2 = 0 THEN 1 ELSE 3 END AS p FROM f)
@@ -518,13 +627,29 @@ def hybrid_rrf(spark, sf_dir):
 
 
 # == sinks
-@query()
+@query(f"""WITH {G.NODES_SQL} SELECT id, label, name, '' AS language, file_path AS "filePath", start_line::VARCHAR AS "startLine", end_line::VARCHAR AS "endLine", '' AS content, '' AS description,
+    '{{"endLine":' || end_line || ',"isExported":' || is_exported || ',"startLine":' || start_line || '}}' AS properties FROM nodes""")
 def export_nodes_csv(spark, sf_dir):
     from .sources.store import NODE_CSV, csv_table
 
     return csv_table(G.nodes(spark, sf_dir), NODE_CSV)
 
 
+@query(f"""WITH {G.EDGES_SQL} SELECT id, source AS "from", target AS "to", type, regexp_replace(confidence::VARCHAR, '\\.0$', '') AS confidence, '' AS reason, '0' AS step, '{{"confidence":' || confidence::VARCHAR || '}}' AS properties FROM edges""")
+def export_edges_csv(spark, sf_dir):
+    from .sources.store import EDGE_CSV, csv_table
+
+    return csv_table(G.edges(spark, sf_dir), EDGE_CSV)
+
+
+@query(f"""WITH {G.NODES_SQL}, lim AS (SELECT label, count(*) AS nodes FROM nodes GROUP BY label) SELECT label, nodes FROM lim""")
+def export_inspection_labels(spark, sf_dir):
+    """How many rows each label's inspection table has."""
+    from .sources.store import INSPECTED, inspection_table
+
+    return inspection_table(G.nodes(spark, sf_dir), INSPECTED).groupBy("label").agg(F.count("*").alias("nodes"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     sf_dir = "/root/testdata/sf0.001"
     return traverse.impact(G.nodes(spark, sf_dir), G.edges(spark, sf_dir), "Supplier:7", 3, 1000)

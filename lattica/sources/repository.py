@@ -89,10 +89,68 @@ def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 # == parsing
 FACTS = (
     "kind string, file_path string, node_id string, label string, name string, owner string, start_line int, end_line int, start_byte long, end_byte long, "
-    "parameter_count int, return_type string, is_exported boolean, receiver string, arg_count int, form string, target string, ord long"
+    "parameter_count int, return_type string, is_exported boolean, receiver string, arg_count int, form string, target string, ord long, receiver_type string"
 )
 
 
+def _type_name(node: ast.AST | None) -> str | None:
+    """The class that an annotation names: ``A``, ``m.A``, ``"A"``, ``A | None`` and ``Optional[A]``."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        return node.attr
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        try:
+            return _type_name(ast.parse(node.value, mode="eval").body)
+        except SyntaxError:
+            return None
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+        sides = [x for x in (node.left, node.right) if not (isinstance(x, ast.Constant) and x.value is None)]
+        return _type_name(sides[0]) if len(sides) == 1 else None
+    if isinstance(node, ast.Subscript) and _type_name(node.value) == "Optional":
+        return _type_name(node.slice)
+    return None
+
+
+def _made_by(node: ast.AST | None) -> str | None:
+    """The class whose constructor an expression calls; classes start with a capital."""
+    if isinstance(node, ast.Await):
+        node = node.value
+    name = _type_name(node.func) if isinstance(node, ast.Call) else None
+    return name if name and name.lstrip("_")[:1].isupper() else None
+
+
+def _types_in(body: ast.AST, into: dict[str, str]) -> dict[str, str]:
+    """Variable -> class of the annotations and constructor assignments in a scope; a variable of two classes has none."""
+    clashing = set()
+
+    def note(target: ast.AST, kind: str | None) -> None:
+        name = target.id if isinstance(target, ast.Name) else f"{target.value.id}.{target.attr}" if isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) else None
+        if name and kind:
+            if into.setdefault(name, kind) != kind:
+                clashing.add(name)
+
+    def walk(node: ast.AST) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.Assign):
+                for t in child.targets:
+                    note(t, _made_by(child.value))
+            elif isinstance(child, ast.AnnAssign):
+                note(child.target, _type_name(child.annotation))
+            elif isinstance(child, (ast.With, ast.AsyncWith)):
+                for item in child.items:
+                    if item.optional_vars is not None:
+                        note(item.optional_vars, _made_by(item.context_expr))
+            if not isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+                walk(child)
+
+    walk(body)
+    for name in clashing:
+        into.pop(name, None)
+    return into
+
+
+
 def parse_python(path: str, source: str) -> list[dict]:
     """Definitions, calls, imports and base classes of one Python file; a file that doesn't parse has none."""
     try:
@@ -108,9 +166,35 @@ def parse_python(path: str, source: str) -> list[dict]:
     def add(kind: str, node: ast.AST, **fields) -> None:
         out.append({"kind": kind, "file_path": path, "start_line": node.lineno - 1, "end_line": node.end_lineno - 1, "start_byte": at(node.lineno, node.col_offset), "end_byte": at(node.end_lineno, node.end_col_offset), "ord": len(out), **fields})
 
-    def visit(node: ast.AST, owner: str | None) -> None:
+    def scope_of(f, owner: str | None, outer: dict[str, str], of_class: dict[str, str]) -> dict[str, str]:
+        """Types known inside a function: its own, those of its class's attributes, and those around it."""
+        args = [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs]
+        own = {x.arg: k for x in args if (k := _type_name(x.annotation))}
+        me = args[0].arg if owner and args and args[0].arg in ("self", "cls") else None
+        if me:
+            own[me] = owner.rsplit(".", 1)[-1]
+        return {**outer, **({f"{me}.{k}": v for k, v in of_class.items()} if me else {}), **_types_in(f, own)}
+
+    def attributes(c: ast.ClassDef) -> dict[str, str]:
+        """Attribute -> class, from the class's body and from what its methods assign to ``self``."""
+        own = _types_in(c, {})
+        for m in c.body:
+            if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) and m.args.args:
+                me = m.args.args[0].arg + "."
+                params = {x.arg: k for x in m.args.args[1:] if (k := _type_name(x.annotation))}
+                for name, kind in _types_in(m, {}).items():
+                    if name.startswith(me):
+                        own.setdefault(name[len(me) :], kind)
+                for x in ast.walk(m):  # self.a = a, of an annotated parameter
+                    if isinstance(x, ast.Assign) and isinstance(x.value, ast.Name) and x.value.id in params:
+                        for t in x.targets:
+                            if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id + "." == me:
+                                own.setdefault(t.attr, params[x.value.id])
+        return own
+
+    def visit(node: ast.AST, owner: str | None, types: dict[str, str], of_class: dict[str, str]) -> None:
         for child in ast.iter_child_nodes(node):
-            inner = owner
+            inner, known, attrs = owner, types, of_class
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 is_class = isinstance(child, ast.ClassDef)
                 label = "Class" if is_class else "Method" if owner else "Function"
@@ -123,9 +207,10 @@ def parse_python(path: str, source: str) -> list[dict]:
                     for b in child.bases:
                         if isinstance(b, (ast.Name, ast.Attribute)):
                             add("heritage", b, name=child.name, target=b.id if isinstance(b, ast.Name) else b.attr, form="extends")
-                    inner = child.name
+                    inner, attrs = f"{owner}.{child.name}" if owner else child.name, attributes(child)
                 else:
-                    inner = None
+                    known = scope_of(child, owner, types, of_class)
+                    inner, attrs = None, {}
             elif isinstance(child, ast.Import):
                 for a in child.names:
                     add("import", child, target=a.name, name=a.asname or a.name)
@@ -139,10 +224,12 @@ def parse_python(path: str, source: str) -> list[dict]:
                 if isinstance(f, ast.Name):
                     add("call", child, name=f.id, form="free", arg_count=count)
                 elif isinstance(f, ast.Attribute):
-                    add("call", child, name=f.attr, form="member", arg_count=count, receiver=f.value.id if isinstance(f.value, ast.Name) else None)
-            visit(child, inner)
+                    v = f.value
+                    name = v.id if isinstance(v, ast.Name) else f"{v.value.id}.{v.attr}" if isinstance(v, ast.Attribute) and isinstance(v.value, ast.Name) else None
+                    add("call", child, name=f.attr, form="member", arg_count=count, receiver=name, receiver_type=types.get(name) if name else _made_by(v))
+            visit(child, inner, known, attrs)
 
-    visit(tree, None)
+    visit(tree, None, _types_in(tree, {}), {})
     return out
 
 

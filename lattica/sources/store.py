@@ -8,6 +8,7 @@ import os
 import shutil
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +60,7 @@ class Store:
         """Writes a snapshot beside the active one, then makes it active in one rename."""
         d = self._dir(name)
         os.makedirs(d, exist_ok=True)
-        lock = os.path.join(d, "lock")
-        try:
-            os.mkdir(lock)
-        except FileExistsError:
-            raise Busy(name) from None
-        try:
+        with self._locked(name):
             path = os.path.join(d, "manifest.json")
             old = None
             if os.path.exists(path):
@@ -81,8 +77,22 @@ class Store:
                 shutil.rmtree(at, ignore_errors=True)
                 raise
             return snapshot
+
+    @contextmanager
+    def _locked(self, name: str):
+        """Holds the repository's lock folder, wherever it is in the end; a second writer is told that it is busy."""
+        d = self._dir(name)
+        try:
+            os.mkdir(os.path.join(d, "lock"))
+        except FileExistsError:
+            raise Busy(name) from None
+        except FileNotFoundError:
+            raise NotFound(name) from None
+        try:
+            yield
         finally:
-            os.rmdir(lock)
+            if os.path.isdir(os.path.join(d, "lock")):
+                os.rmdir(os.path.join(d, "lock"))
 
     @staticmethod
     def _write(path: str, manifest: dict) -> None:
@@ -92,15 +102,20 @@ class Store:
         os.replace(tmp, path)
 
     def add_table(self, name: str, table: str, df: DataFrame) -> None:
-        """Adds or replaces one table of the active snapshot (vectors are built after the graph)."""
-        at = os.path.join(self._dir(name), self._manifest(name)["active"], table)
-        tmp = f"{at}.{uuid.uuid4().hex}"
-        df.write.parquet(tmp)
-        shutil.rmtree(at, ignore_errors=True)
-        os.rename(tmp, at)
+        """Adds or replaces one table of the active snapshot (vectors are built after the graph).
+
+        The rows are written beside the old ones, and the manifest then names their folder: a reader
+        sees the one or the other. Old folders go with their snapshot.
+        """
+        with self._locked(name):
+            m = self._manifest(name)
+            folder = f"{table}.{uuid.uuid4().hex}"
+            df.write.parquet(os.path.join(self._dir(name), m["active"], folder))
+            self._write(os.path.join(self._dir(name), "manifest.json"), m | {"tables": m.get("tables", {}) | {table: folder}})
 
     def read(self, name: str, table: str) -> DataFrame:
-        at = os.path.join(self._dir(name), self._manifest(name)["active"], table)
+        m = self._manifest(name)
+        at = os.path.join(self._dir(name), m["active"], m.get("tables", {}).get(table, table))
         if not os.path.isdir(at):
             raise NotFound(f"{name} has no {table}")
         return self.spark.read.parquet(at)
@@ -116,49 +131,86 @@ class Store:
     def delete(self, name: str) -> None:
         d = self._dir(name)
         self._manifest(name)
-        if os.path.isdir(os.path.join(d, "lock")):
-            raise Busy(name)
-        trash = f"{d}.trash-{uuid.uuid4().hex}"
-        os.rename(d, trash)
+        with self._locked(name):
+            trash = f"{d}.trash-{uuid.uuid4().hex}"
+            os.rename(d, trash)
         shutil.rmtree(trash, ignore_errors=True)
 
 
 # == CSV
-def csv_text(c: Column, limit: int = 10_000) -> Column:
-    """Without control characters (but tab and line ends), cut to ``limit`` characters."""
-    return F.substring(F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", ""), 1, limit)
+NODE_CSV = ("id", "label", "name", "language", "filePath", "startLine", "endLine", "content", "description", "properties")
+EDGE_CSV = ("id", "from", "to", "type", "confidence", "reason", "step", "properties")
+_OWN = {"from": "source", "to": "target"}
+#: Columns that make a row what it is; all others are its properties.
+_CORE = {"id", "label", "name", "file_path", "type", "source", "target", "repo", "snapshot"}
 
 
-NODE_CSV = ("id", "label", "name", "file_path", "start_line", "end_line", "is_exported", "language", "description", "props")
-EDGE_CSV = ("id", "type", "source", "target", "confidence", "reason", "step", "props")
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(w.capitalize() for w in rest)
 
 
 def csv_table(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The named columns as text, in id order; absent ones are empty; ``props`` is JSON of the rest."""
-    rest = sorted(c for c in df.columns if c not in columns and c not in ("repo", "snapshot"))
-    props = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
-    cols = [props.alias(c) if c == "props" else csv_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
-    return df.orderBy("id").select(*cols)
-
-
-def export_csv(nodes: DataFrame, edges: DataFrame, to: str) -> dict:
-    """nodes, edges and a manifest with their row counts and SHA-256; one folder of files a table."""
-    out = {}
-    for name, df, cols in (("nodes", nodes, NODE_CSV), ("edges", edges, EDGE_CSV)):
+    """The full export's columns as text, whole and in id order.
+
+    Absent text is empty and an absent number 0. ``properties`` is JSON of all properties that are
+    not null, by name.
+    """
+    names = {_camel(c): c for c in df.columns}
+    props = sorted(k for k, c in names.items() if c not in _CORE)
+    json_text = F.to_json(F.struct(*[F.col(names[k]).alias(k) for k in props])) if props else F.lit("{}")
+    kinds = dict(df.dtypes)
+
+    def text(column: str) -> Column:
+        own = names.get(_OWN.get(column, column))
+        if column == "properties":
+            return json_text
+        if own is None:
+            return F.lit("0" if column in ("startLine", "endLine", "step", "confidence") else "")
+        if kinds[own] in ("double", "float"):  # no point behind a whole number
+            return F.regexp_replace(F.coalesce(F.col(own), F.lit(0.0)).cast("string"), r"\.0$", "")
+        return F.coalesce(F.col(own).cast("string"), F.lit("0" if kinds[own] in ("int", "bigint", "smallint") else ""))
+
+    return df.orderBy("id").select(*[text(c).alias(c) for c in columns])
+
+
+def _digest(folder: str) -> str:
+    digest = hashlib.sha256()
+    for p in sorted(x for x in os.listdir(folder) if x.endswith(".csv")):
+        with open(os.path.join(folder, p), "rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+    return digest.hexdigest()
+
+
+def export_csv(nodes: DataFrame, edges: DataFrame, to: str, repository: str = "") -> dict:
+    """nodes.csv, edges.csv (each a folder of files) and a manifest with row counts and SHA-256."""
+    files = {}
+    for name, df, cols in (("nodes.csv", nodes, NODE_CSV), ("edges.csv", edges, EDGE_CSV)):
         at = os.path.join(to, name)
-        csv_table(df, cols).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(at)
-        digest = hashlib.sha256()
-        for p in sorted(x for x in os.listdir(at) if x.endswith(".csv")):
-            with open(os.path.join(at, p), "rb") as f:
-                while block := f.read(1 << 20):
-                    digest.update(block)
-        out[name] = {"rows": df.count(), "sha256": digest.hexdigest()}
+        csv_table(df, cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(at)
+        files[name] = {"sha256": _digest(at), "rows": df.count()}
+    out = {"schemaVersion": 2, "repository": repository, "nodeCount": files["nodes.csv"]["rows"], "edgeCount": files["edges.csv"]["rows"], "files": files}
     with open(os.path.join(to, "manifest.json"), "w") as f:
-        json.dump(out, f, indent=1, sort_keys=True)
+        json.dump(out, f, indent=2)
+        f.write("\n")
     return out
 
 
+def csv_text(c: Column, limit: int = 10_000) -> Column:
+    """A field of the inspection tables: LF line ends, no control characters, nothing beyond the basic plane, ``limit`` characters."""
+    lines = F.regexp_replace(c, "\r\n?", "\n")
+    return F.substring(F.regexp_replace(lines, r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}\x{D800}-\x{DFFF}\x{FFFE}\x{FFFF}\x{10000}-\x{10FFFF}]", ""), 1, limit)
+
+
+INSPECTED = ("id", "label", "name", "file_path", "start_line", "end_line", "is_exported")
+
+
+def inspection_table(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return df.orderBy("id").select(*[csv_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
+
+
 def export_inspection(nodes: DataFrame, edges: DataFrame, to: str) -> None:
-    """One CSV folder a label (partitioned in one pass) and one of relations."""
-    csv_table(nodes, ("id", "label", "name", "file_path", "start_line", "end_line", "is_exported")).withColumnRenamed("label", "kind").write.mode("overwrite").partitionBy("kind").option("header", True).option("quoteAll", True).csv(os.path.join(to, "symbols"))
-    csv_table(edges, tuple("source target type confidence reason step".split())).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(os.path.join(to, "relations"))
+    """One CSV folder a label (partitioned in one pass) and one of relations; a view of the graph, not the whole."""
+    inspection_table(nodes, INSPECTED).withColumnRenamed("label", "kind").write.mode("overwrite").partitionBy("kind").option("header", True).option("quoteAll", True).option("escape", '"').csv(os.path.join(to, "symbols"))
+    inspection_table(edges, tuple("source target type confidence reason step".split())).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(os.path.join(to, "relations"))

@@ -55,7 +55,7 @@ def test_engine_end_to_end(spark, tree, tmp_path):
     assert e.hybrid_search("demo", "work").first().id == work
     assert e.attach_embedder("demo", repository.HashEmbedder(16)) > 0
     out = e.export_full_csv("demo", str(tmp_path / "csv"))
-    assert out["nodes"]["rows"] == e._table("demo", "nodes").count() and json.load(open(tmp_path / "csv" / "manifest.json")) == out
+    assert out["nodeCount"] == e._table("demo", "nodes").count() and out["repository"] == "demo" and json.load(open(tmp_path / "csv" / "manifest.json")) == out
     with pytest.raises(Conflict):
         e.index_repo(tree, "demo")
     old = e.store._manifest("demo")["active"]
@@ -95,6 +95,65 @@ def test_parser():
     assert repository.parse_python("y.py", "def (") == []
 
 
+TYPED = """
+class Engine:
+    def run(self, a, b=1): pass
+    def stop(self): pass
+
+class Car:
+    spare: Engine
+    def __init__(self, engine: "Engine", other):
+        self.engine = engine
+        self.made = Engine()
+        self.other = other
+    def go(self, e: Engine | None):
+        self.engine.run(1, 2)
+        self.made.stop()
+        self.spare.stop()
+        self.other.stop()
+        self.go(e)
+        e.run(3, 4)
+        local = Engine()
+        local.stop()
+        twice = Engine()
+        twice = Car(local, 1)
+        twice.go(e)
+        Engine().stop()
+    class Part:
+        def fit(self):
+            self.fit()
+
+shared = Engine()
+def use():
+    shared.stop()
+"""
+
+
+def test_types_of_receivers():
+    calls = [(f["receiver"], f["name"], f.get("receiver_type")) for f in repository.parse_python("t.py", TYPED) if f["kind"] == "call" and f["form"] == "member"]
+    assert calls == [("self.engine", "run", "Engine"), ("self.made", "stop", "Engine"), ("self.spare", "stop", "Engine"), ("self.other", "stop", None), ("self", "go", "Car"), ("e", "run", "Engine"),
+        ("local", "stop", "Engine"), ("twice", "go", None), (None, "stop", "Engine"), ("self", "fit", "Part"), ("shared", "stop", "Engine")]
+
+
+def test_methods_of_nested_classes_have_their_owner():
+    facts = {f["node_id"]: f for f in repository.parse_python("t.py", TYPED) if f["kind"] == "definition"}
+    assert facts["Method:t.py:Car.Part.fit"]["owner"] == "Class:t.py:Car.Part" and "Class:t.py:Car.Part" in facts
+
+
+def test_typed_calls_make_edges(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "t.py").write_text(TYPED)
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index_repo(str(tmp_path / "src"), "typed")
+    calls = {(r.source, r.target) for r in e._table("typed", "edges").where("type = 'CALLS'").collect()}
+    assert ("Method:t.py:Car.go", "Method:t.py:Engine.run") in calls and ("Function:t.py:use", "Method:t.py:Engine.stop") in calls and ("Method:t.py:Car.Part.fit", "Method:t.py:Car.Part.fit") in calls
+    assert e._table("typed", "edges").where("type = 'HAS_METHOD' and target = 'Method:t.py:Car.Part.fit'").count() == 1
+    e.embed_repo("typed", repository.HashEmbedder(16))
+    assert e.nearest("typed", "Method run", 3).count() == 3
+    e.export_inspection_csv("typed", str(tmp_path / "seen"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "seen" / "symbols")).where("kind = 'Method'").count() == e._table("typed", "nodes").where("label = 'Method'").count()
+
+
 def test_other_languages_are_refused(spark):
     with pytest.raises(InvalidRequest):
         repository.parse(spark.createDataFrame([], "path string, content string, language string"), ("go",))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,33 @@ def test_shortest_path(spark):
             traverse.shortest_path(e, a, b)
 
 
+def chain(spark, n):
+    return edges(spark, *[("CALLS", f"n{i:05d}", f"n{i + 1:05d}") for i in range(n)])
+
+
+def test_shortest_path_of_a_long_chain(spark):
+    for n in (500, 10_000):
+        path = traverse.shortest_path(chain(spark, n), "n00000", f"n{n:05d}").orderBy("step").collect()
+        assert [(r.step, r.source) for r in path] == [(i + 1, f"n{i:05d}") for i in range(n)]
+    with pytest.raises(NotFound):
+        traverse.shortest_path(chain(spark, 20), "n00000", "n00020", max_hops=19)
+
+
+def test_both_ends_meet_in_the_same_path(spark):
+    r = random.Random(4)
+    for _ in range(2):
+        rows = {(r.choice(["CALLS", "USES"]), f"v{r.randint(0, 30):02d}", f"v{r.randint(0, 30):02d}") for _ in range(60)}
+        e = edges(spark, *sorted(rows))
+        for target in ("v07", "v23"):
+            try:
+                want = [tuple(x) for x in traverse.shortest_path(e, "v00", target).orderBy("step").collect()]
+            except NotFound:
+                with pytest.raises(NotFound):
+                    traverse.shortest_path(e, "v00", target, one_task=0)
+                continue
+            assert [tuple(x) for x in traverse.shortest_path(e, "v00", target, one_task=0).orderBy("step").collect()] == want
+
+
 def test_impact_gate_order_and_limit(spark):
     n = nodes(spark, ("T", "Function", "t"), ("A", "Function", "a"), ("B", "Method", "b"), ("F", "File", "f"), ("C", "Class", "c"))
     e = edges(spark, ("CALLS", "A", "T", 0.5), ("CALLS", "B", "T", 0.9), ("IMPORTS", "F", "T", 1.0), ("CALLS", "C", "A", 1.0), ("CONTAINS", "C", "T", 1.0))
@@ -79,6 +108,20 @@ def test_closure(spark):
     assert len(found(traverse.closure(p), "a", "b")) == 6
 
 
+def test_closure_has_no_end_of_its_own(spark):
+    p = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(130)] + [("x", "y"), ("y", "x")], "a string, b string")
+    got = traverse.closure(p)
+    assert got.count() == 131 * 130 // 2 + 4 and got.where("a = 'n000' and b = 'n130'").count() == 1
+
+
+def test_ancestors_of_a_deep_hierarchy(spark):
+    rows = [(f"c{i:03d}", f"c{i + 1:03d}", "EXTENDS") for i in range(100)] + [("c000", "i", "IMPLEMENTS"), ("i", "c050", "EXTENDS"), ("c003", "c003", "EXTENDS")]
+    got = {(r.child, r.ancestor): r for r in mro.ancestors(spark.createDataFrame(rows, "child string, parent string, type string")).collect()}
+    assert len([k for k in got if k[0] == "c001"]) == 99
+    far = got["c000", "c060"]
+    assert far.depth == 12 and far.path == ["i", *[f"c{k:03d}" for k in range(50, 61)]] and far.via == "IMPLEMENTS"
+
+
 def test_context(spark):
     n = nodes(spark, ("A", "Function", "a"), ("B", "Function", "b"))
     e = edges(spark, ("CALLS", "A", "B"), ("CALLS", "ghost", "B"), ("CONTAINS", "A", "B"))
@@ -91,6 +134,25 @@ def test_components(spark):
     assert analyze.components(e.where("false")).count() == 0
 
 
+def test_components_against_brute_force(spark):
+    r = random.Random(6)
+    pairs = {(f"a{i:02d}", f"a{i + 1:02d}") for i in range(40)} | {(f"b{r.randint(0, 25)}", f"b{r.randint(0, 25)}") for _ in range(40)}
+    reach = {x: {x} for p in pairs for x in p}
+    while True:
+        size = sum(map(len, reach.values()))
+        for a, b in pairs:
+            reach[a] |= reach[b]
+        if size == sum(map(len, reach.values())):
+            break
+    want = {}
+    for x in reach:
+        own = [y for y in reach[x] if x in reach[y]]
+        if len(own) > 1:
+            want[x] = min(own)
+    got = {x.id: x.component for x in analyze.components(edges(spark, *[("IMPORTS", a, b) for a, b in sorted(pairs)])).collect()}
+    assert got == want and want
+
+
 def test_components_joined_by_a_bridge(spark):
     e = edges(spark, *[("IMPORTS", a, b) for a, b in ("xy", "yx", "xa", "ab", "ba", "bm", "mn", "nm")])
     assert {r.component for r in analyze.components(e).collect()} == {"x", "a", "m"}
@@ -163,6 +225,14 @@ def test_calls_by_type_arity_and_form(spark):
     assert found(resolve.resolve_calls(calls, d, none, up), "call_id", "node_id") == [(1, "B.run"), (2, "go2"), (5, "only")]
 
 
+def test_typed_calls_with_defaults_and_visibility(spark):
+    d = spark.createDataFrame([("main.cc", "Fixture", "F", "Class", None, None), ("main.cc", "Reopen", "F.Reopen", "Method", 1, "F"), ("public/i.h", "Iterator", "P", "Class", None, None), ("public/i.h", "Valid", "P.Valid", "Method", 0, "P"),
+        ("internal/s.h", "Iterator", "S", "Class", None, None), ("internal/s.h", "Valid", "S.Valid", "Method", 0, "S")], "file_path string, name string, node_id string, type string, parameter_count int, owner_id string")
+    calls = spark.createDataFrame([(1, "main.cc", "cpp", "Reopen", "Fixture", "member", 0), (2, "main.cc", "cpp", "Valid", "Iterator", "member", 0), (3, "else.cc", "cpp", "Valid", "Iterator", "member", 0)], "call_id long, file_path string, language string, call_name string, receiver_type string, call_form string, arg_count int")
+    i = spark.createDataFrame([("main.cc", "public/db.h"), ("public/db.h", "public/i.h")], "file_path string, target string")
+    assert found(resolve.resolve_calls(calls, d, i), "call_id", "node_id", "reason") == [(1, "F.Reopen", "receiver-type-default-args"), (2, "P.Valid", "receiver-type-exact")]
+
+
 def test_imports(spark):
     files = spark.createDataFrame([("src/app/util.py",), ("src/Main.java",), ("src/x.ts",)], "path string")
     i = spark.createDataFrame([("src/app/main.py", "./util"), ("a.py", "app.util"), ("a.py", "main"), ("src/y.ts", "./x"), ("a.py", "./util")], "file_path string, import_path string")
@@ -184,7 +254,7 @@ def test_c3():
 
 def test_method_edges(spark):
     p = spark.createDataFrame([("C", "B", "EXTENDS"), ("B", "A", "EXTENDS"), ("C", "I", "IMPLEMENTS")], "child string, parent string, type string")
-    order = mro.linearizations(p, mro.weak_components(p.select(F.col("child").alias("source"), F.col("parent").alias("target"))))
+    order = mro.linearizations(p)
     m = spark.createDataFrame([("A", "f", "A.f"), ("C", "f", "C.f"), ("I", "g", "I.g"), ("C", "g", "C.g")], "owner_id string, name string, node_id string")
     assert found(mro.method_edges(order, m, p), "type", "source", "target") == [("DISPATCHES_TO", "I.g", "C.g"), ("METHOD_IMPLEMENTS", "C.g", "I.g"), ("OVERRIDES", "C.f", "A.f")]
 
@@ -205,5 +275,8 @@ def test_traces_and_processes(spark):
     calls = spark.createDataFrame([("m", "a"), ("a", "b"), ("b", "m"), ("m", "c")], "source string, target string")
     t = community.traces(ids(spark, "m", "a"), calls)
     assert found(t, "entry", "path") == [("a", ["a", "b", "m", "c"]), ("m", ["m", "a", "b"])]
+    many = spark.createDataFrame([("r", f"x{i}") for i in range(4)] + [(f"x{i}", f"y{i}{j}") for i in range(4) for j in range(4)] + [(f"y{i}{j}", f"z{i}{j}") for i in range(4) for j in range(4)], "source string, target string")
+    first = community.traces(ids(spark, "r"), many, per_entry=12)
+    assert found(first, "path") == [(["r", f"x{i}", f"y{i}{j}", f"z{i}{j}"],) for i in range(3) for j in range(4)]
     p = community.processes(t)
     assert p.count() == 2 and found(community.process_steps(p).where("source = 'a'"), "step") == [(1,), (2,)]

@@ -51,22 +51,24 @@ def nearest(t, k=10):
     return {(q, i, rank + 1) for q in range(len(s)) for rank, i in enumerate(np.lexsort((np.arange(len(s)), -s[q]))[:k].tolist())}
 
 
-def test_every_vector_is_a_query(spark, tables):
+def test_the_stated_vectors_are_queries(spark, tables):
     d, t = tables
     want = nearest(t)
-    assert {(r.query_id, r.id, r["rank"]) for r in Q.vector_topk(spark, d).collect()} == want
+    assert {(r.query_id, r.id, r["rank"]) for r in Q.vector_topk(spark, d).collect()} == {x for x in want if x[0] % 50 == 0}
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.format_string("%03d", "vec_id").alias("vec_id"), "embedding").repartition(3)
     got = search.top_k(v, v.withColumnRenamed("vec_id", "query_id"), 10, batch=7)
     assert {(int(r.query_id), int(r.id), r["rank"]) for r in got.collect()} == want
+    rounds = search.top_k(v, v.withColumnRenamed("vec_id", "query_id"), 10, max_broadcast_bytes=2000)
+    assert {(int(r.query_id), int(r.id), r["rank"]) for r in rounds.collect()} == want
 
 
-def test_recall_is_of_every_vector_at_the_default_width(spark, tables):
+def test_recall_is_of_every_stated_vector_at_the_default_width(spark, tables):
     d, t = tables
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     got = {r.query_id: r.recall for r in Q.int8_topk_recall(spark, d).collect()}
-    assert got.keys() == set(range(90))
+    assert got.keys() == {0, 50}
     exact = {(q, i) for q, i, _ in nearest(t)}
-    for q in (0, 17, 89):
+    for q in (0, 50):
         found = [r.id for r in search.two_stage(v, t["embeddings"]["embedding"][q], 10).collect()]
         assert got[q] == sum((q, i) in exact for i in found) / 10
     many = search.two_stage_many(v, v.where("vec_id = 17").withColumnRenamed("vec_id", "query_id"), 10, widen=1).orderBy("rank").collect()
@@ -97,3 +99,27 @@ def test_every_node_has_its_excerpt(spark, tables):
     d, _ = tables
     got = {r.id: r.excerpt for r in Q.source_excerpts(spark, d).collect()}
     assert got == {r.id: "\n".join(f"line {i}" for i in range(r.start_line, r.end_line + 1)) for r in G.nodes(spark, d).collect()} and len(got) > PARTS
+
+
+def test_stored_codes_are_the_codes(spark, tables):
+    d, t = tables
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    codes, params = Q._codes(spark, d)
+    m = np.array(t["embeddings"]["embedding"].tolist())
+    lo, hi = m.min(0), m.max(0)
+    want = np.floor((m - lo) / ((hi - lo) / 254) + 0.5)
+    got = {r.id: np.frombuffer(r.code, np.uint8) for r in codes.collect()}
+    assert all((got[k] == want[k]).all() for k in range(90))
+    one = search.two_stage(v, t["embeddings"]["embedding"][3], 5, codes=codes, params=params).collect()
+    assert one == search.two_stage(v, t["embeddings"]["embedding"][3], 5).collect()
+
+
+def test_hunks_reach_the_same_symbols_as_a_loop(spark, tables):
+    d, t = tables
+    n = G.nodes(spark, d).collect()
+    hunks = [(f"part/{k % 10}.go", k * 10 + 5, k * 10 + 5 + s % 40) for k, s in zip(t["part"]["p_partkey"], t["part"]["p_size"]) if s % 3 == 0]
+    by_file = {}
+    for f, a, b in hunks:
+        by_file.setdefault(f, []).append((a, b))
+    want = {x.id for x in n if x.label in Q.ACTIONABLE and any(x.start_line + 1 <= b and x.end_line + 1 >= a for a, b in by_file.get(x.file_path, ()))}
+    assert {r.id for r in Q.diff_hunk_symbols(spark, d).collect()} == want and len(want) > 300

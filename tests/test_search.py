@@ -61,12 +61,12 @@ def test_source_search(spark):
 def test_chunks():
     text = "\n".join("x" * 9 for _ in range(10))
     c = by_characters(text, 30, 10)
-    assert all(b - a + 1 <= 5 for _, a, b, _ in c) and c[0][1] == 0 and c[-1][2] == 9
-    assert {i for _, a, b, _ in c for i in range(a, b + 1)} == set(range(10))
-    assert by_characters("y" * 100, 30, 5) == [("y" * 100 + "\n", 0, 0, "character")]
+    assert all(b - a + 1 <= 5 for _, a, b, _ in c) and c[0][1] == 1 and c[-1][2] == 10
+    assert {i for _, a, b, _ in c for i in range(a, b + 1)} == set(range(1, 11))
+    assert by_characters("y" * 100, 30, 5) == [("y" * 100 + "\n", 1, 1, "character")]
     m = by_members("class A:\n  def f():\n    1\nclass B:\n  2", 1000)
-    assert [(a, b) for _, a, b, _ in m] == [(0, 2), (3, 4)]
-    assert chunk("a\nb", "Function") == [("a\nb", 0, 1, "function")] and chunk(None, "Class") == []
+    assert [(a, b) for _, a, b, _ in m] == [(1, 3), (4, 5)]
+    assert chunk("a\nb", "Function") == [("a\nb", 1, 2, "function")] and chunk(None, "Class") == []
 
 
 def vectors(spark, n=60, d=8):
@@ -80,7 +80,7 @@ def test_top_k_is_exact(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     want = {(q, int(i)) for q in range(3) for i in np.argsort(-(m @ m[q]), kind="stable")[:5]}
     for room in (100, 2):
-        got = search.top_k(v, v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding"), 5, max_broadcast=room)
+        got = search.top_k(v, v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding"), 5, max_broadcast_bytes=room * 100)
         assert {(r.query_id, r.id) for r in got.collect()} == want
 
 
@@ -95,6 +95,15 @@ def test_fusion(spark):
     assert [x.id for x in out] == ["b", "a"] and out[0].sources == "l,s" and abs(out[0].score - (1 / 61 + 1 / 62)) < 1e-9
 
 
+def test_stored_postings_score_alike(spark):
+    d = docs(spark)
+    index, stats = search.postings(d), search.index_stats(d)
+    for q in ("parse config", "load the file", "missing word", "the"):
+        assert search.bm25_stored(index, stats, q).collect() == search.bm25(d, q).collect()
+    with pytest.raises(InvalidRequest):
+        search.bm25_stored(index, stats, " ")
+
+
 def test_int8_round_trip_and_recall(spark):
     v = vectors(spark, 200)
     q = v.first().embedding
