@@ -305,6 +305,35 @@ def test_training_raises_the_likelihood_and_generalises():
     assert right / every > 0.99 and caught / entities > 0.97 and false / every < 0.003
 
 
+def test_training_maximises_the_likelihood_of_all_label_sequences():
+    table = [(["mail", "a@b.cc", "now"], ["O", "EMAIL", "O"]), (["call", "555-0887"], ["O", "PHONE"]), (["a@b.cc"], ["EMAIL"]), (["now", "call", "me"], ["O", "O", "O"])]
+    ridge = 0.02
+    model = pii.train(table, rounds=800, rate=0.02, ridge=ridge)
+    k = len(LABELS)
+
+    def objective(weights, trans, edge):
+        total = 0.0
+        for tokens, labels in table:
+            own = np.array([sum(weights[model.index[f]] for f in pii.features(t)) for t in tokens])
+            e = own[:, 0].copy()
+            e[1:] += own[:-1, 1]
+            e[:-1] += own[1:, 2]
+            e[0] += edge[0]
+            e[-1] += edge[1]
+            score = lambda y: sum(e[i, a] for i, a in enumerate(y)) + sum(trans[a, b] for a, b in zip(y, y[1:]))  # noqa: E731,B023
+            every = np.array([score(y) for y in itertools.product(range(k), repeat=len(tokens))])
+            total += score([LABELS.index(x) for x in labels]) - every.max() - np.log(np.exp(every - every.max()).sum())
+        return total / len(table) - ridge / 2 * sum((p**2).sum() for p in (weights, trans, edge))
+
+    best = objective(model.weights, model.trans, model.edge)
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        params = [p.copy() for p in (model.weights, model.trans, model.edge)]
+        p = params[rng.integers(3)]
+        p.flat[rng.integers(p.size)] += rng.choice([-0.1, 0.1])
+        assert objective(*params) < best + 1e-4
+
+
 def test_redaction(spark):
     r = random.Random(3)
     plain = text(r, "en", 30)
@@ -354,6 +383,18 @@ def test_compiled_rules_equal_their_tests(spark):
         assert abs(got[x["doc_id"]] - 1 / (1 + math.exp(-z))) < 1e-8
 
 
+def test_rule_weights_are_where_the_lasso_has_its_minimum():
+    rng = np.random.default_rng(4)
+    x = rng.random((400, len(quality.STATISTICS)))
+    y = ((x[:, 0] > 0.6) | (x[:, 1] > 0.8) ^ (rng.random(400) < 0.05)).astype(float)
+    model = quality.fit_rules(x, y, trees=6, depth=2, penalty=0.01, rounds=6000)
+    names = list(quality.STATISTICS)
+    rule = np.array([np.all([(x[:, names.index(s)] > c) == up for s, up, c in r.tests], axis=0) for r in model.rules], float).T
+    w = np.array([r.weight for r in model.rules])
+    rest = 1 / (1 + np.exp(-(rule @ w + model.intercept))) - y
+    assert len(w) and abs(rest.mean()) < 1e-3 and np.abs(rule.T @ rest / len(y) + 0.01 * np.sign(w)).max() < 1e-3
+
+
 def test_quality_odd_rows(spark):
     d = table(spark, odd_rows(random.Random(9))).withColumn("quality_words", F.lit(1)).withColumn("quality_ok", F.lit(2)).withColumn("words", F.lit(3))
     labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
