@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import __version__
 from .engine import Engine
 from .schema import EngineError, InvalidRequest
 from .sources.repository import HashEmbedder, git_patch
@@ -77,6 +78,9 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("delete").add_argument("repo")
     s = sub.add_parser("hybrid")
     s.add_argument("repo"), s.add_argument("query"), s.add_argument("--limit", type=int, default=20), s.add_argument("--dimensions", type=int, default=64)
+    s = sub.add_parser("embed")
+    s.add_argument("repo"), s.add_argument("--dimensions", type=int, default=64)
+    sub.add_parser("version")
     s = sub.add_parser("export")
     s.add_argument("repo"), s.add_argument("to")
     sub.add_parser("serve")
@@ -95,6 +99,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             result = engine.index_repo(a["path"], a["repo"], a["replace"])
         elif command == "delete":
             result = engine.delete_repo(a["repo"])
+        elif command == "embed":
+            result = {"vectors": engine.embed_repo(a["repo"], HashEmbedder(a["dimensions"]))}
+        elif command == "version":
+            result = {"version": __version__}
         elif command == "export":
             result = engine.export_full_csv(a["repo"], a["to"])
         elif command == "hybrid":

@@ -25,9 +25,23 @@ class Options:
 
 @dataclass
 class Metrics:
+    """Counts of the driver's calls; reads and writes count tables, as nobody counts rows one by one here."""
+
     index_total: int = 0
     index_success: int = 0
     index_fail: int = 0
+    drop_total: int = 0
+    reindex_total: int = 0
+    reindex_success: int = 0
+    reindex_fail: int = 0
+    impact_queries: int = 0
+    search_queries: int = 0
+    context_queries: int = 0
+    rename_queries: int = 0
+    node_reads: int = 0
+    edge_reads: int = 0
+    node_writes: int = 0
+    edge_writes: int = 0
     errors: int = 0
 
 
@@ -52,20 +66,32 @@ class Engine:
     def _table(self, repo: str, table: str) -> DataFrame:
         if not self._open:
             raise Closed("engine is closed")
+        if table in ("nodes", "edges"):
+            self._count(f"{table[:-1]}_reads")
         return self.store.read(repo, table)
 
+    def _count(self, *names: str) -> None:
+        for n in names:
+            setattr(self.metrics, n, getattr(self.metrics, n) + 1)
+
+    def get_metrics(self) -> dict[str, int]:
+        """A copy of the counters."""
+        return dict(vars(self.metrics))
+
     def list_repos(self) -> list[str]:
         return self.store.list()
 
     def delete_repo(self, repo: str) -> None:
         self._embedders.pop(repo, None)
         self.store.delete(repo)
+        self._count("drop_total")
 
     def index_repo(self, path: str, name: str, replace: bool = False) -> str:
         """Reads a source folder, builds its graph and publishes a snapshot. Vectors must be built anew."""
         if not self._open:
             raise Closed("engine is closed")
-        self.metrics.index_total += 1
+        again = replace and name.strip() in self.store.list()
+        self._count("index_total", *(["reindex_total"] if again else []))
         try:
             files = repository.read_files(self.spark, path)
             nodes, edges = build_graph(files)
@@ -73,11 +99,10 @@ class Engine:
             nodes = cut(nodes)
             out = self.store.publish(name, {"nodes": nodes, "edges": edges, "files": searchable, **search_tables(nodes)}, replace)
         except BaseException:
-            self.metrics.index_fail += 1
-            self.metrics.errors += 1
+            self._count("index_fail", "errors", *(["reindex_fail"] if again else []))
             raise
         self._embedders.pop(name, None)
-        self.metrics.index_success += 1
+        self._count("index_success", "node_writes", "edge_writes", *(["reindex_success"] if again else []))
         return out
 
     def publish(self, name: str, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, replace: bool = False) -> str:
@@ -97,6 +122,7 @@ class Engine:
         return traverse.shortest_path(self._table(repo, "edges"), source, target)
 
     def context(self, repo: str, node: str, types=None, limit: int = 100) -> DataFrame:
+        self._count("context_queries")
         nodes = self._table(repo, "nodes")
         if nodes.where(F.col("id") == node).isEmpty():
             raise NotFound(node)
@@ -106,6 +132,7 @@ class Engine:
         return analyze.excerpt(self._table(repo, "files"), self._table(repo, "nodes").where(F.col("id") == node))
 
     def impact(self, repo: str, node: str, max_depth: int = 3, limit: int = 100, types=None) -> DataFrame:
+        self._count("impact_queries")
         return traverse.impact(self._table(repo, "nodes"), self._table(repo, "edges"), node, max_depth, limit, types)
 
     def check(self, repo: str, checks=("integrity", "cycles"), threshold: float = 0.7, limit: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -115,6 +142,7 @@ class Engine:
         return diff.diff_impact(self._table(repo, "nodes"), self._table(repo, "edges"), diff.parse_patches(patch), max_depth, limit)
 
     def rename(self, repo: str, node: str, new_name: str, limit: int = 200) -> dict:
+        self._count("rename_queries")
         files = self._table(repo, "files").where(F.col("kind").isin("code", "config"))
         return diff.rename_plan(self._table(repo, "nodes"), self._table(repo, "edges"), files, node, new_name, limit)
 
@@ -122,6 +150,7 @@ class Engine:
     def search(self, repo: str, query: str, limit: int = 20) -> DataFrame:
         if not repo or not (query or "").strip():
             raise InvalidRequest("repository and query are needed")
+        self._count("search_queries")
         return search.bm25_stored(self._table(repo, "postings"), self._table(repo, "search_stats"), query, limit)
 
     def search_source(self, repo: str, query: str, scope: str = "code", limit: int = 20, context: int = 0) -> DataFrame:

@@ -41,6 +41,9 @@ def test_tool_server_and_command_line(spark, tmp_path):
     out = io.StringIO()
     assert cli.main(["--store", str(tmp_path), "source", "g", "beta"], spark, out) == 0 and json.loads(out.getvalue())[0]["line"] == 2
     assert cli.main(["--store", str(tmp_path), "context", "g", "nobody"], spark, io.StringIO()) == 1
+    for command, key in ((["embed", "g", "--dimensions", "8"], "vectors"), (["version"], "version")):
+        out = io.StringIO()
+        assert cli.main(["--store", str(tmp_path), *command], spark, out) == 0 and key in json.loads(out.getvalue())
 
 
 def test_changes(spark):

@@ -61,6 +61,8 @@ def test_engine_end_to_end(spark, tree, tmp_path):
     old = e.store._manifest("demo")["active"]
     e.index_repo(tree, "demo", replace=True)
     assert e.store._manifest("demo")["active"] != old and e.metrics.index_fail == 1 and e.metrics.index_success == 2
+    counts = e.get_metrics()
+    assert counts["reindex_success"] == 1 and counts["impact_queries"] == 1 and counts["context_queries"] == 1 and counts["rename_queries"] == 1 and counts["search_queries"] >= 2 and counts["node_reads"] > 5
     again = Engine(spark, str(tmp_path / "store"))
     assert not os.path.exists(os.path.join(again.store._dir("demo"), old))
     os.mkdir(os.path.join(e.store._dir("demo"), "lock"))
