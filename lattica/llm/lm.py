@@ -1,4 +1,4 @@
-"""Stupid-backoff language-model scores: n-gram count tables joined to exploded n-grams.
+"""Stupid-backoff language-model scores: n-gram count tables partitioned by hash, joined to all occurrences.
 
 Order three over the corpus's own counts, all of them. An occurrence is no evidence for itself, so
 each n-gram is scored by the counts c of all *other* occurrences: a word w after u v scores
@@ -8,25 +8,29 @@ to back off from, the first no bigram either. Logs have base ten and are summed
 of 1/10,000, so sums are exact.
 
 One row (u, v, w, document) for each occurrence of a word v goes to the partition that v hashes to.
-There a count table of trigrams is grouped from the rows, with the counts of their bigrams and words
-beside it, and joined to them by (u, v, w); all of that is in place, as the rows are partitioned by
-a key that (u, v, w) determines. The row settles the score of w after v, and that of v itself where
-its own bigram occurs nowhere else. Documents sum up their rows.
+There a count table of trigrams is made from the rows, with the counts of their bigrams and words
+beside it, and looked up for each row. It settles the score of w after v, and that of v itself where
+its own bigram occurs nowhere else. A partition adds up its rows by document; documents add up what
+comes from all partitions.
 
 A word with very many occurrences would make one partition large. Its occurrences go by (u, v), where
 trigrams and left bigrams are counted, and by (v, w), where right bigrams are; its own count is
-broadcast. Rows cross the network packed: those of one batch of texts for one partition as arrays of
-small numbers, exploded on arrival. That keeps the shuffle near ten bytes a word.
+broadcast. All occurrences of one pair of words still meet in one partition: it opens a chunk at a
+time, and keeps the distinct trigrams of each chunk and 12 bytes an occurrence.
+
+Rows cross the network as columns of small numbers, those of a few batches of texts for one partition
+together, byte by byte and compressed; sums do, too, by partition and block of documents. The README
+has the bytes a word that this takes.
 """
 
 import math
-from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +45,13 @@ MAX_PARTITIONS = 100_000
 HEAVY_WORDS = 1 << 20
 #: Text and rows that one batch of occurrences is made from; larger ones pack tighter and need more memory.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1 << 14
+#: Packed rows that are held to be squeezed together, and occurrences of one partition in a piece of them.
+HELD_BYTES, PIECE = 32 << 20, 1 << 18
+#: Occurrences that are opened at once.
+CHUNK = 1 << 20
+#: Documents whose sums are gathered in one place, as bits of their numbers.
+BLOCK = 14
+LAST = (1 << BLOCK) - 1
 #: Words numbered from 1; all others are 59 bits of their hashes behind this bit.
 FREQUENT = (1 << 15) - 1
 RARE = 1 << 59
@@ -186,81 +197,246 @@ def _scatter(partitions: int, shared):
         )
 
     def run(batches):
-        part, k = TaskContext.get().partitionId(), 0
+        part, rows = TaskContext.get().partitionId(), 0
         for b in X.steps(batches, "t", BATCH_BYTES):
             for at in range(0, b.num_rows, BATCH_ROWS):
-                yield from batch(b.slice(at, BATCH_ROWS), (part << 40) | (k << 15))
-                k += 1
+                few = b.slice(at, BATCH_ROWS)
+                yield from batch(few, (part << 40) | (2 * rows))
+                rows += few.num_rows
 
     return run
 
 
-def exploded(packed: DataFrame) -> DataFrame:
-    """(p, v, u, w, x, id, own): an occurrence a row; x is twice the document's place plus 1 in a text's second word.
+# == packed rows, squeezed
+def _planes(x: np.ndarray) -> bytes:
+    """Lowest bytes first, then the next ones: small numbers leave planes of like bytes."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _open_planes(raw: memoryview, kind, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T).view(kind).ravel()
+
+
+def _rows(schema: pa.Schema, keys: list, blocks: list, raws: list[bytes], ids: list | None = None) -> pa.RecordBatch:
+    codec = pa.Codec("zstd", 1)
+    n = len(keys)
+    of_ids = pa.nulls(n, schema.field(4).type) if ids is None else _lists(pa.concat_arrays(ids), np.cumsum([len(x) for x in ids])).cast(schema.field(4).type)
+    columns = [pa.array(keys, pa.int32()), pa.array(blocks, pa.int64()), pa.array([len(x) for x in raws], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raws], pa.binary()), of_ids]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _schema(id_type: pa.DataType) -> pa.Schema:
+    """raw is the size of ``blob`` before it was squeezed; ``block`` is that of the documents, -1 for occurrences."""
+    return pa.schema([pa.field("p", pa.int32(), False), pa.field("block", pa.int64(), False), pa.field("raw", pa.int64(), False), pa.field("blob", pa.binary(), False), pa.field("ids", pa.list_(id_type))])
+
+
+def _order(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The positions of slices of the given sizes and starts, one slice after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _squeeze(parts: list[pa.RecordBatch]):
+    """The packed rows of a few batches by partition, and their documents by block."""
+    t = pa.Table.from_batches(parts).combine_chunks()
+    schema = _schema(t.schema.field("id").type)
+    to, copy = t["p"].to_numpy(), t["copy"].to_numpy()
+    names, codes = (t[k].combine_chunks() for k in ("names", "codes"))
+    name_at, code_at = (x.offsets.to_numpy().astype(np.int64) for x in (names, codes))
+    names, codes = names.values.to_numpy(), codes.values.to_numpy()
+    own = np.flatnonzero(copy == DOCUMENT)
+    if len(own):
+        d, size = names[name_at[own]] >> 1, names[name_at[own] + 1]
+        ids = t["id"].combine_chunks().take(pa.array(own))
+        cuts = np.flatnonzero(np.diff(d >> BLOCK, prepend=-1)).tolist()
+        spans = list(zip(cuts, [*cuts[1:], len(d)]))
+        yield _rows(schema, [int(to[own[i]]) for i, _ in spans], [int(d[i] >> BLOCK) for i, _ in spans], [_planes(d[i:j] & LAST) + _planes(size[i:j]) for i, j in spans], [ids[i:j] for i, j in spans])
+    rows = np.flatnonzero(copy != DOCUMENT)
+    if not len(rows):
+        return
+    rows = rows[np.argsort(to[rows], kind="stable")]
+    n, m, to = np.diff(code_at)[rows] // 4, np.diff(name_at)[rows], to[rows]
+    names = names[_order(m, name_at[rows])]
+    at = _order(n, code_at[rows])
+    step = np.repeat(n, n)
+    columns = [codes[at + k * step] for k in range(4)]
+    del at, step
+    # a partition's rows in pieces, so that no piece is too large to be opened
+    ends = np.cumsum(n)
+    first = np.flatnonzero(np.diff(to, prepend=-1))
+    inside = (ends - n) - np.repeat((ends - n)[first], np.diff(np.append(first, len(to))))
+    cuts = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(inside // PIECE, prepend=0) != 0))
+    name_ends, raws = np.cumsum(m), []
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)]):
+        x, y, r, s = int(ends[i] - n[i]), int(ends[j - 1]), int(name_ends[i] - m[i]), int(name_ends[j - 1])
+        head = np.array([j - i, y - x, s - r], np.int64)
+        raws.append(b"".join([head.tobytes(), _planes(np.concatenate([copy[rows[i:j]], n[i:j], m[i:j]]).astype(np.int32)), _planes(names[r:s]), *(_planes(c[x:y]) for c in columns)]))
+    yield _rows(schema, to[cuts].tolist(), [-1] * len(cuts), raws)
+
+
+def _squeezed(scatter):
+    def run(batches):
+        held, size = [], 0
+        for b in scatter(batches):
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD_BYTES:
+                yield from _squeeze(held)
+                held, size = [], 0
+        if held:
+            yield from _squeeze(held)
 
-    ``own`` marks the rows that only bring a document's id, and its number of words as w.
-    """
-    n = F.shiftright(F.size("codes"), 2)
-    at = packed.select("p", "copy", "names", "codes", "id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    # no column is ever null, and says so: a test for nulls below the shuffle would make it two of one
-    code = lambda k: F.coalesce(F.get("codes", F.col("n") * k + F.col("i")).cast("int"), F.lit(0))
-    name = lambda i: F.coalesce(F.get("names", i), F.lit(0).cast("long"))
-
-    def word(k: int) -> Column:
-        return F.when(code(k) >= 0, code(k).cast("long")).otherwise(name(-code(k) - 1))
-
-    own = F.col("copy") == DOCUMENT
-    w = F.when(own, name(F.lit(1))).otherwise(word(2))
-    # a document's row is told from others by its place, which stands in for the word before
-    u = F.when(own, name(F.lit(0))).otherwise(word(0))
-    x = name(F.lit(0)) + code(3)
-    return at.select((word(1) * 4 + F.col("copy")).alias("v"), u.alias("u"), w.alias("w"), "p", x.alias("x"), "id", (F.col("id").isNotNull() | own).alias("own"))
-
-
-@contextmanager
-def _partitioned_by_part_of_the_keys(spark):
-    """Lets a join keep partitions that are made by one of its keys; Spark else shuffles by all of them."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return run
+
+
+def _open(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+    """v with the copy in its last two bits, u, w and x of the occurrences in these blobs."""
+    codec = pa.Codec("zstd", 1)
+    meta, names, codes = [], [], []
+    for raw, blob in blobs:
+        buf = memoryview(codec.decompress(blob, raw))
+        r, n, m = np.frombuffer(buf, np.int64, 3).tolist()
+        meta.append(_open_planes(buf[24:], np.int32, 3 * r).reshape(3, r))
+        names.append(_open_planes(buf[24 + 12 * r :], np.int64, m))
+        at = 24 + 12 * r + 8 * m
+        codes.append(np.stack([_open_planes(buf[at + 2 * k * n :], np.int16, n) for k in range(4)]))
+    copy, n, m = np.concatenate(meta, 1).astype(np.int64)
+    names, codes = np.concatenate(names), np.concatenate(codes, 1)
+    begin = np.cumsum(m) - m
+    row = np.repeat(begin, n)
+
+    def word(k: int) -> np.ndarray:
+        out = codes[k].astype(np.int64)
+        rare = np.flatnonzero(out < 0)
+        out[rare] = names[row[rare] - out[rare] - 1]
+        return out
+
+    return word(1) * 4 + np.repeat(copy, n), word(0), word(2), names[row] + codes[3]
 
 
 # == count tables
-def _units(x: Column) -> Column:
-    return F.rint(F.log10(x) * UNIT).cast("long")
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.log10(x) * UNIT).astype(np.int64)
+
+
+def _numbers(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each value's number among the distinct ones, and how many these are."""
+    at, distinct = pd.factorize(x)
+    return at, len(distinct)
+
+
+def _trigrams(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Numbers of v, (v, u), (v, w) and (v, u, w)."""
+    (v, _), (u, us), (w, ws) = map(_numbers, (v, u, w))
+    vu, _ = _numbers(v * us + u)
+    return v, vu, _numbers(v * ws + w)[0], _numbers(vu * ws + w)[0]
 
 
-def scored(grams: DataFrame, heavy: DataFrame) -> DataFrame:
-    """The count table of a partition's trigrams, with what an occurrence of each adds to a score.
+def scored(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """What an occurrence of each trigram of a partition's count table adds to a score.
 
-    ``after`` is the score of w in units, ``plain`` 1 where v itself is scored as a word: with
-    ``first`` units, ``second`` in a text's second word. ``heavy`` has the counts of split words.
+    The table has the number of occurrences c; a trigram may have several rows. The first result is
+    for occurrences whose v isn't a text's second word, the other for those where it is. ``heavy``
+    has the split words and their counts.
+    """
+    local, cuv, cvw, c3 = (np.bincount(at, c).astype(np.int64)[at] for at in _trigrams(v, u, w))
+    copy, at = v & 3, _find(heavy[0], v >> 2)
+    cv = np.where(at >= 0, heavy[1][at], local) if len(heavy[0]) else local
+    starts, left, right = u == 0, copy != RIGHT, copy != LEFT
+    first = np.zeros(len(v), np.int64)
+    # the score of w after v
+    tri = np.flatnonzero((w != 0) & left & ~starts & (c3 > 1))
+    first[tri] = _units((c3[tri] - 1) / (cuv[tri] - 1))
+    bi = np.flatnonzero((w != 0) & right & (starts | (c3 == 1)) & (cvw > 1))
+    first[bi] = _units(np.where(starts[bi], 1.0, BACKOFF) * (cvw[bi] - 1) / (cv[bi] - 1))
+    # that of v itself, as a word
+    plain = np.flatnonzero(left & (starts | (cuv == 1)))
+    second = first.copy()
+    log_total = round(math.log10(total or 1) * UNIT)
+    first[plain] += _units(np.where(starts[plain], 1.0, BACKOFF * BACKOFF) * cv[plain]) - log_total
+    second[plain] += _units(np.where(starts[plain], 1.0, BACKOFF) * cv[plain]) - log_total
+    return first, second
+
+
+def _sums(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents in order, and the sum of each. Float sums of integers below 2^53 are exact."""
+    d, at = np.unique(d, return_inverse=True)
+    return d, np.bincount(at, s, len(d)).astype(np.int64)
+
+
+def _score(heavy, total: int):
+    """Sums by document of what one partition knows; documents' own rows pass.
+
+    Occurrences are opened a chunk at a time and kept as numbers in the chunk's own count table; the
+    tables together make the partition's.
     """
-    table = grams.groupBy("v", "u", "w", "p", "own").agg(F.count("*").alias("c3"))
-
-    def over(*keys: str) -> Column:  # v comes first as it tells rows apart; one order then serves (v) and (v, w)
-        return F.sum("c3").over(Window.partitionBy("v", "p", *keys))
-
-    table = table.withColumn("cvw", over("w")).withColumn("local", over()).withColumn("cuv", over("u"))
-    table = table.join(F.broadcast(heavy), F.shiftright("v", 2) == heavy["hw"], "left")
-    cv, copy = F.coalesce("hc", "local"), F.col("v").bitwiseAND(3)
-    starts, whole, left, right = F.col("u") == 0, copy == WHOLE, copy == LEFT, copy == RIGHT
-    tri = ~starts & (F.col("c3") > 1)
-    bi = (starts | (F.col("c3") == 1)) & (F.col("cvw") > 1)
-    after = (
-        F.when(F.col("own") | (F.col("w") == 0), 0)
-        .when((whole | left) & tri, _units((F.col("c3") - 1) / (F.col("cuv") - 1)))
-        .when((whole | right) & bi, _units(F.when(starts, 1.0).otherwise(BACKOFF) * (F.col("cvw") - 1) / (cv - 1)))
-        .otherwise(0)
-    )
-    plain = ~F.col("own") & (whole | left) & (starts | (F.col("cuv") == 1))
-    first = F.when(plain, _units(F.when(starts, 1.0).otherwise(BACKOFF * BACKOFF) * cv)).otherwise(0)
-    second = F.when(plain, _units(F.when(starts, 1.0).otherwise(BACKOFF) * cv)).otherwise(0)
-    return table.select("v", "u", "w", "p", "own", after.alias("after"), plain.cast("long").alias("plain"), first.alias("first"), second.alias("second"))
+
+    def run(batches):
+        chunks, blobs, words, schema = [], [], 0, None
+
+        def opened() -> None:
+            v, u, w, x = _open(blobs)
+            at = _trigrams(v, u, w)[3].astype(np.int32)
+            n = int(at.max()) + 1
+            one = np.empty(n, np.int64)
+            one[at] = np.arange(len(at))
+            chunks.append((v[one], u[one], w[one], np.bincount(at, minlength=n), at, x))
+
+        for b in batches:
+            schema = b.schema
+            block = b.column(1).to_numpy()
+            own = pa.array(block >= 0)
+            if (block >= 0).any():
+                yield b.filter(own)
+            b = b.filter(pc.invert(own))
+            for raw, blob in zip(b.column(2).to_pylist(), b.column(3)):
+                blobs.append((raw, blob.as_buffer()))
+                words += raw // 8  # not less than there are
+                if words >= CHUNK:
+                    opened()
+                    blobs, words = [], 0
+        if blobs:
+            opened()
+        if not chunks:
+            return
+        first, second = scored(*(np.concatenate([x[k] for x in chunks]) for k in range(4)), heavy.value, total)
+        sums, begin = [], 0
+        for v, _, _, _, at, x in chunks:
+            f, s = (a[begin : begin + len(v)][at] for a in (first, second))
+            begin += len(v)
+            sums.append(_sums(x >> 1, np.where(x & 1, s, f)))
+        del chunks[:]
+        d, s = _sums(*map(np.concatenate, zip(*sums))) if len(sums) > 1 else sums[0]
+        d, s = d[s != 0], s[s != 0]
+        cuts = np.flatnonzero(np.diff(d >> BLOCK, prepend=-1)).tolist()
+        if not cuts:
+            return
+        narrow = np.abs(s).max() < 1 << 31
+        raws = [_planes(np.diff(d[i:j] & LAST, prepend=0).astype(np.int16)) + _planes(s[i:j].astype(np.int32 if narrow else np.int64)) for i, j in zip(cuts, [*cuts[1:], len(d)])]
+        n = np.diff([*cuts, len(d)]).tolist()
+        # p, which isn't read again, tells how many sums there are
+        yield _rows(_schema(schema.field(4).type.value_type), n, (d[cuts] >> BLOCK).tolist(), raws)
+
+    return run
+
+
+def _gather(batches):
+    """Each document's id, number of words and sum; the parts of a block are all here."""
+    codec = pa.Codec("zstd", 1)
+    units, own, ids = {}, [], []
+    for b in batches:
+        for n, block, raw, blob, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4)):
+            buf = memoryview(codec.decompress(blob.as_buffer(), raw))
+            if i.is_valid:
+                n = raw // 16
+                own.append((block, _open_planes(buf, np.int64, n), _open_planes(buf[8 * n :], np.int64, n)))
+                ids.append(i.values.take(pa.array(np.arange(n))))  # a copy, so that the batch can go
+                continue
+            s = units.setdefault(block, np.zeros(1 << BLOCK, np.int64))
+            s[np.cumsum(_open_planes(buf, np.int16, n), dtype=np.int64)] += _open_planes(buf[2 * n :], np.int32 if raw == 6 * n else np.int64, n)
+    for (block, at, size), i in zip(own, ids):
+        s = units[block][at] if block in units else np.zeros(len(at), np.int64)
+        yield pa.RecordBatch.from_arrays([i, pa.array(size), pa.array(s)], names=["i", "n", "s"])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partition_words: int = PARTITION_WORDS, heavy_words: int = HEAVY_WORDS) -> DataFrame:
@@ -292,24 +468,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     hashes = top["w"].to_numpy(np.int64)[frequent]
     at = _find(hashes, many["w"].to_numpy(np.int64))
     own = np.where(at >= 0, frequent[at] + 1 if len(frequent) else 0, many["w"].to_numpy(np.int64))
-    heavy = spark.createDataFrame([(int(w), int(c)) for w, c in zip(own, many["c"])], "hw long, hc long")
-    shared = spark.sparkContext.broadcast((hashes, frequent + 1, np.sort(own)))
+    order = np.argsort(own)
+    heavy = spark.sparkContext.broadcast((own[order], many["c"].to_numpy(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((hashes, frequent + 1, own[order]))
     partitions = min(MAX_PARTITIONS, max(1, math.ceil((total + int(many["c"].sum())) / partition_words)))
 
-    packed = T.StructType([
-        T.StructField("p", T.IntegerType(), False), T.StructField("copy", T.IntegerType(), False), T.StructField("names", T.ArrayType(T.LongType(), False), False),
-        T.StructField("codes", T.ArrayType(T.ShortType(), False), False), T.StructField("id", narrow.schema["i"].dataType),
+    kind = narrow.schema["i"].dataType
+    squeezed = T.StructType([
+        T.StructField("p", T.IntegerType(), False), T.StructField("block", T.LongType(), False), T.StructField("raw", T.LongType(), False),
+        T.StructField("blob", T.BinaryType(), False), T.StructField("ids", T.ArrayType(kind)),
     ])
-    grams = exploded(narrow.mapInArrow(_scatter(partitions, shared), packed).repartition(partitions, "p"))
-    rows = grams.join(scored(grams, heavy), ["v", "p", "u", "w", "own"])
-    odd = F.col("x").bitwiseAND(1) == 1
-    sums = rows.groupBy(F.shiftright("x", 1).alias("d")).agg(
-        F.first("id", ignorenulls=True).alias("i"), F.max(F.when(F.col("own"), F.col("w"))).alias("n"),
-        F.sum(F.col("after") + F.when(odd, F.col("second")).otherwise(F.col("first"))).alias("s"), F.sum("plain").alias("plain"),
-    )
-    with _partitioned_by_part_of_the_keys(spark):
-        sums = X.cut_lineage(sums)
-    units = F.col("s") - F.col("plain") * F.lit(round(math.log10(total or 1) * UNIT))
+    rows = narrow.mapInArrow(_squeezed(_scatter(partitions, shared)), squeezed).repartition(partitions, "p")
+    rows = rows.mapInArrow(_score(heavy, total), squeezed).repartition("block")
+    sums = X.cut_lineage(rows.mapInArrow(_gather, T.StructType([T.StructField("i", kind), T.StructField("n", T.LongType()), T.StructField("s", T.LongType())])))
+    units = F.col("s")
     return sums.select(
         F.col("i").alias(id_col), F.col("n").alias(names[0]), (units / F.lit(float(UNIT))).alias(names[1]),
         F.when(F.col("n") > 0, units / F.lit(float(UNIT)) / F.col("n")).alias(names[2]),

@@ -258,6 +258,52 @@ def _run_scatter(scatter, texts, part):
         yield from scatter(3, Shared)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])]))
 
 
+def test_lm_chunks_pieces_and_blocks(monkeypatch):
+    """All steps in this process, every limit small enough to be met; then with sums beyond 32 bits."""
+    r = random.Random(11)
+    long = " ".join(r.choice(["aa", "bb", "cc"]) for _ in range(300))
+    texts = [text(r, "en", 3) for _ in range(20)] + [None, "word", long, "the same two", "the same two", ""]
+    want = brute_lm(texts)
+    total = sum(n for n, _ in want)
+    want = sorted((n, round(s * 10_000)) for n, s in want)
+
+    class Heavy:
+        value = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    for k, v in (("PACKED", 7), ("BATCH_ROWS", 4), ("HELD_BYTES", 3000), ("PIECE", 20), ("CHUNK", 50), ("BLOCK", 2), ("LAST", 3)):
+        monkeypatch.setattr(lm, k, v)
+    for unit in (10_000, 10**10):
+        monkeypatch.setattr(lm, "UNIT", unit)
+        rows = [b for part in (0, 1) for b in lm._squeezed(lambda x, part=part: _run_scatter(lm._scatter, x, part))(texts[part::2])]
+        sums = []
+        for k in lm.partition_keys(3):
+            sums += lm._score(Heavy, total)(b.filter(pa.array(b.column(0).to_numpy() == k)) for b in rows)
+        got = sorted((n, s) for b in lm._gather(iter(sums)) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+        if unit == 10_000:
+            assert got == want
+        else:  # the same sums but for the rounding of each word's share
+            assert max(abs(s) for _, s in got) > 1 << 32
+            assert all(n == m and abs(s / 10**6 - t) <= n + 1 for (n, s), (m, t) in zip(got, want))
+
+
+def test_lm_moves_few_bytes_a_word(spark, tmp_path):
+    """What crosses the network stays near ten bytes a word in many partitions, where no word is split."""
+    r = random.Random(12)
+    texts = [text(r, "en", 8) for _ in range(1500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    sc = spark.sparkContext
+    sc.setJobGroup("lm-bytes", "")
+    try:
+        lm.lm_scores(d, partition_words=500).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("lm-bytes") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    written = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert 0 < written < 14 * sum(len(norm(t)) for t in texts)
+
+
 def test_keys_reach_their_partitions(spark):
     for n in (1, 7, 300):
         keys = lm.partition_keys(n).tolist()
