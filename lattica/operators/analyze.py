@@ -9,6 +9,8 @@ from ..checkpoints import cut
 from ..schema import CONTEXT_RELATIONS, IMPACT_RELATIONS, INHERITANCE, NO_SELF, InvalidRequest, relations
 
 SEVERITIES = ("error", "warning", "info")
+#: Lines of a file that are one row where excerpts are cut.
+BLOCK = 1024
 
 
 def context(nodes: DataFrame, edges: DataFrame, node: str, types=None, limit: int = 100) -> DataFrame:
@@ -26,16 +28,43 @@ def context(nodes: DataFrame, edges: DataFrame, node: str, types=None, limit: in
     return both.join(nodes.select(F.col("id").alias("neighbour"), "label", "name"), "neighbour").orderBy("edge_type", "direction", "neighbour", "edge_id").limit(limit).select("direction", "edge_id", "edge_type", "neighbour", "label", "name", "confidence")
 
 
+def file_blocks(files: DataFrame) -> DataFrame:
+    """(path, block, content): whole files (path, content) in blocks of ``BLOCK`` lines, numbered from 0."""
+    size = F.lit(BLOCK)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / size).cast("int")), lambda k: F.array_join(F.slice("lines", k * size + 1, size), "\n"))
+    # lines that a generator reads are split once
+    return files.where("content is not null").select("path", F.split("content", "\n").alias("lines")).select("path", F.posexplode(blocks).alias("block", "content"))
+
+
 def excerpt(files: DataFrame, nodes: DataFrame, max_lines: int = 200) -> DataFrame:
-    """(id, excerpt): the lines of each node's span in its file; lines are 0-based, spans inclusive."""
-    n = nodes.where(F.col("start_line").isNotNull() & (F.col("start_line") >= 0)).select("id", F.col("file_path").alias("path"), "start_line", F.greatest(F.coalesce("end_line", "start_line"), F.col("start_line")).alias("end_line"))
-    # a file meets the spans of its nodes once and is split once; its lines aren't copied for each node
-    spans = n.groupBy("path").agg(F.collect_list(F.struct("id", "start_line", "end_line")).alias("spans"))
-    own = files.select("path", "content").join(spans, "path").select(F.array(F.split("content", "\n")).alias("files"), "spans")
-    cut_out = lambda lines, s: F.struct(s["id"].alias("id"), F.when(s["start_line"] < F.size(lines), F.array_join(F.slice(lines, s["start_line"] + 1, F.least(s["end_line"] - s["start_line"] + 1, F.lit(max_lines))), "\n")).alias("excerpt"))
+    """(id, excerpt): the lines of each node's span in its file; lines are 0-based, spans inclusive.
+
+    ``files`` are whole (path, content), or blocks of ``BLOCK`` lines (path, block, content) where a
+    file is longer than a row can be. A block meets the spans of its own lines only; what a span has
+    in several blocks is put together again.
+    """
+    size = F.lit(BLOCK)
+    end = F.least(F.greatest(F.coalesce("end_line", "start_line"), F.col("start_line")), F.col("start_line") + max_lines - 1)
+    n = nodes.where(F.col("start_line").isNotNull() & (F.col("start_line") >= 0)).select("id", F.col("file_path").alias("path"), "start_line", end.alias("end_line"))
+    number = lambda c: F.floor(F.col(c) / size).cast("int")
+    spans = n.select("id", "path", "start_line", "end_line", F.explode(F.sequence(number("start_line"), number("end_line"))).alias("block"))
+    spans = spans.groupBy("path", "block").agg(F.collect_list(F.struct("id", "start_line", "end_line")).alias("spans"))
+    pieces = files if "block" in files.columns else file_blocks(files)
+    own = pieces.select("path", "block", "content").join(spans.hint("shuffle_hash"), ["path", "block"]).select("path", "block", F.array(F.split("content", "\n")).alias("files"), "spans")
+
+    def cut_out(lines: Column, s: Column) -> Column:
+        first = F.greatest(s["start_line"] - F.col("block") * size, F.lit(0))
+        last = F.least(s["end_line"] - F.col("block") * size, size - 1)
+        text = F.when(first < F.size(lines), F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"))
+        return F.struct(s["id"].alias("id"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), text.alias("text"))
+
     # the outer transform binds the lines, which would else be split again for each span
-    found = own.select(F.explode(F.flatten(F.transform("files", lambda lines: F.transform("spans", lambda s: cut_out(lines, s))))).alias("x"))
-    return found.select("x.id", "x.excerpt").where("excerpt is not null")
+    found = own.select("path", "block", F.explode(F.flatten(F.transform("files", lambda lines: F.transform("spans", lambda s: cut_out(lines, s))))).alias("x")).select("path", "block", "x.*").where("text is not null")
+    whole = found.groupBy("id", "path", "start_line", "end_line").agg(F.collect_list(F.struct("block", "text")).alias("parts"))
+    # a node that occurs twice has each of its parts twice
+    begun = F.size(F.filter("parts", lambda x: x["block"] == F.floor(F.col("start_line") / size)))
+    text = F.array_join(F.transform(F.array_sort(F.array_distinct("parts")), lambda x: x["text"]), "\n")
+    return whole.where(begun > 0).select("id", text.alias("text"), begun.alias("times")).select("id", F.explode(F.array_repeat("text", F.col("times"))).alias("excerpt"))
 
 
 def endpoint_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -128,6 +128,17 @@ def test_context(spark):
     assert found(analyze.context(n, e, "B"), "direction", "neighbour") == [("in", "A")]
 
 
+def test_excerpts_across_blocks_of_a_file(spark):
+    lines = [f"l{i}" for i in range(3 * analyze.BLOCK + 5)]
+    b = analyze.BLOCK
+    n = nodes(spark, ("a", "Class", "a", "f", b - 2, b + 1), ("a", "Class", "a", "f", b - 2, b + 1), ("b", "Class", "b", "f", 3 * b, 9 * b), ("c", "Class", "c", "f", 3 * b + 5, 9 * b), ("d", "Class", "d", "f", 7, None), ("e", "Class", "e", "f", 10, 900))
+    want = sorted([("a", "\n".join(lines[b - 2 : b + 2]))] * 2 + [("b", "\n".join(lines[3 * b :])), ("d", "l7"), ("e", "\n".join(lines[10:210]))])
+    whole = spark.createDataFrame([("f", "\n".join(lines)), ("g", "")], "path string, content string")
+    assert found(analyze.excerpt(whole, n), "id", "excerpt") == want
+    blocks = spark.createDataFrame([("f", k, "\n".join(lines[k * b : k * b + b])) for k in range(4)], "path string, block int, content string")
+    assert found(analyze.excerpt(blocks, n), "id", "excerpt") == want
+
+
 def test_components(spark):
     e = edges(spark, *[("IMPORTS", a, b) for a, b in ("ab", "ba", "bc", "de", "ef", "fd", "ss")])
     assert found(analyze.components(e), "id", "component") == [("a", "a"), ("b", "a"), ("d", "d"), ("e", "d"), ("f", "d")]
