@@ -50,21 +50,25 @@ def changed_symbols(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
     Nodes match by the new path, by the old one where no node has the new. Nodes count lines from
     0, hunks from 1. A deleted file and a hunk without new lines use the old range; a hunk of no
-    lines is one line long; a file without hunks matches all its symbols.
+    lines is one line long; a file without hunks matches all its symbols. Hunks and symbols of a
+    file are sorted together once, and not compared pair by pair.
     """
-    own = nodes.where(F.col("label").isin(sorted(ACTIONABLE))).select("id", "label", "name", "file_path", (F.col("start_line") + 1).alias("s"), (F.coalesce("end_line", "start_line") + 1).alias("e"))
-    by_new = own.join(files, own["file_path"] == files["path"])
-    rest = files.join(own.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
-    by_old = own.join(rest, own["file_path"] == rest["old_path"])
-    both = by_new.unionByName(by_old)
-
-    def meets(r: Column) -> Column:
-        old = (F.col("status") == "deleted") | (r["new_lines"] == 0)
-        start = F.when(old, r["old_start"]).otherwise(r["new_start"])
-        size = F.greatest(F.when(old, r["old_lines"]).otherwise(r["new_lines"]), F.lit(1))
-        return (F.col("s") <= start + size - 1) & (F.col("e") >= start)
-
-    return both.where((F.size("ranges") == 0) | F.exists("ranges", meets)).select("id", "label", "name", "path", "status").distinct()
+    own = nodes.where(F.col("label").isin(sorted(ACTIONABLE))).select("id", "label", "name", F.col("file_path").alias("at"), (F.col("start_line") + 1).alias("s"), (F.coalesce("end_line", "start_line") + 1).alias("e"))
+    by_new = files.select(F.col("path").alias("at"), "path", "status", "ranges")
+    # paths of files are few beside nodes
+    rest = files.join(own.join(F.broadcast(files.select(F.col("path").alias("at")).distinct()), "at", "left_semi").select(F.col("at").alias("path")).distinct(), "path", "left_anti")
+    f = by_new.unionByName(rest.select(F.col("old_path").alias("at"), "path", "status", "ranges"))
+    key = ["at", "path", "status"]
+    r = f.select(*key, F.explode("ranges").alias("r")).select(*key, ((F.col("status") == "deleted") | (F.col("r.new_lines") == 0)).alias("old"), "r")
+    start = F.when(F.col("old"), F.col("r.old_start")).otherwise(F.col("r.new_start"))
+    size = F.greatest(F.when(F.col("old"), F.col("r.old_lines")).otherwise(F.col("r.new_lines")), F.lit(1))
+    hunks = r.select(*key, start.alias("pos"), F.lit(0).alias("kind"), (start + size - 1).alias("reach"), *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("id", "label", "name", "s")])
+    spans = own.join(F.broadcast(f.where(F.size("ranges") > 0).select(*key).distinct()), "at").select(*key, F.col("e").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("reach"), "id", "label", "name", "s")
+    # a span meets a hunk if one of those that start at its end or before reaches its start
+    w = Window.partitionBy(*key).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = hunks.unionByName(spans).withColumn("far", F.max("reach").over(w)).where("kind = 1 and far >= s")
+    whole = own.join(F.broadcast(f.where(F.size("ranges") == 0).select(*key).distinct()), "at")
+    return met.select("id", "label", "name", "path", "status").unionByName(whole.select("id", "label", "name", "path", "status")).distinct()
 
 
 def diff_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame, max_depth: int = 3, limit: int = 100) -> tuple[DataFrame, DataFrame]:

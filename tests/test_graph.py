@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +202,31 @@ def test_changed_symbols(spark):
     assert found(diff.changed_symbols(n, files), "id") == [("F",), ("O",)]
 
 
+def test_many_hunks_of_one_file_take_no_pairs(spark):
+    n = spark.range(50_000).selectExpr("'n' || id as id", "'Function' as label", "'x' as name", "'f' as file_path", "cast(id * 10 as int) as start_line", "cast(id * 10 + 3 as int) as end_line")
+    # hunks of lines 10 k + 5 to 10 k + 6 lie between the spans, those of every fifth k reach the next one
+    hunk = F.struct(F.lit(1).alias("old_start"), F.lit(1).alias("old_lines"), (F.col("id") * 10 + 5).cast("int").alias("new_start"), F.when(F.col("id") % 5 == 0, 7).otherwise(2).alias("new_lines"))
+    f = spark.range(50_000).agg(F.collect_list(hunk).alias("ranges")).select(F.lit("f").alias("path"), F.lit("f").alias("old_path"), F.lit("modified").alias("status"), "ranges")
+    began = time.time()
+    got = {int(r.id[1:]) for r in diff.changed_symbols(n, f).collect()}
+    assert got == {k + 1 for k in range(0, 49_999, 5)} and time.time() - began < 60
+
+
+def test_hunks_of_several_patches_and_odd_spans(spark):
+    r = random.Random(3)
+    spans = [(f"s{i}", "Class", "x", f"f{r.randint(0, 3)}", a := r.choice([None, r.randint(0, 60)]), r.choice([None, (a or 0) + r.randint(-2, 9)])) for i in range(80)]
+    kinds = [("f0", "f0", "modified"), ("f1", "f2", "renamed"), ("f1", "f1", "deleted"), ("new", "f3", "renamed"), ("f2", "f2", "modified")]
+    files = [(p, o, s, [tuple(r.randint(0, 50) if k % 2 == 0 else r.randint(0, 3) for k in range(4)) for _ in range(r.randint(1, 4))]) for p, o, s in kinds] + [("f2", "f2", "touched", [])]
+    want = set()
+    for x in spans:
+        for p, o, s, ranges in files:
+            hit = any(x[4] is not None and x[4] + 1 <= a + max(m, 1) - 1 and (x[4] if x[5] is None else x[5]) + 1 >= a for q in ranges for a, m in [(q[0], q[1]) if s == "deleted" or q[3] == 0 else (q[2], q[3])])
+            if x[3] == (o if p == "new" else p) and (hit or not ranges):
+                want.add((x[0], p, s))
+    table = spark.createDataFrame(files, "path string, old_path string, status string, ranges array<struct<old_start:int,old_lines:int,new_start:int,new_lines:int>>")
+    assert {(x.id, x.path, x.status) for x in diff.changed_symbols(nodes(spark, *spans), table).collect()} == want and len(want) > 20
+
+
 def test_rename(spark):
     n = nodes(spark, ("W", "Function", "Work", "m.go", 0, 0), ("R", "Function", "Run", "m.go", 1, 1))
     e = edges(spark, ("CALLS", "R", "W"))
