@@ -123,3 +123,20 @@ def test_hunks_reach_the_same_symbols_as_a_loop(spark, tables):
         by_file.setdefault(f, []).append((a, b))
     want = {x.id for x in n if x.label in Q.ACTIONABLE and any(x.start_line + 1 <= b and x.end_line + 1 >= a for a, b in by_file.get(x.file_path, ()))}
     assert {r.id for r in Q.diff_hunk_symbols(spark, d).collect()} == want and len(want) > 300
+
+
+def test_paths_end_where_their_sql_ends(spark, tmp_path):
+    made = {
+        "region": pd.DataFrame({"r_regionkey": [2], "r_name": ["r"]}), "nation": pd.DataFrame({"n_nationkey": [0, 1], "n_name": "n", "n_regionkey": [2, 3]}),
+        "customer": pd.DataFrame({"c_custkey": [2], "c_nationkey": [0]}), "supplier": pd.DataFrame({"s_suppkey": range(10), "s_nationkey": 1}), "orders": pd.DataFrame({"o_orderkey": [7, 8], "o_custkey": [2, 3]}),
+        "part": pd.DataFrame({"p_partkey": range(21)}), "lineitem": pd.DataFrame({"l_orderkey": [7, 8], "l_partkey": [20, 19], "l_suppkey": [1, 9], "l_discount": 0.1, "l_tax": 0.0}),
+    }
+    for name, df in made.items():
+        df.to_parquet(tmp_path / f"{name}.parquet")
+    # Customer:2, Order:7, Part:20, Part:9, Supplier:9 is a hop longer than the SQL goes; two more hops lead to Supplier:5
+    assert Q.shortest_path_edges(spark, str(tmp_path)).collect() == []
+    assert [r.hops for r in Q.shortest_path_length(spark, str(tmp_path)).collect()] == [None]
+    made["orders"].assign(o_custkey=[3, 2]).to_parquet(tmp_path / "orders.parquet")
+    assert [(r.step, r.source, r.target) for r in Q.shortest_path_edges(spark, str(tmp_path)).orderBy("step").collect()] == [(1, "Customer:2", "Order:8"), (2, "Order:8", "Part:19"), (3, "Part:19", "Supplier:9")]
+    made["supplier"].assign(s_nationkey=0).to_parquet(tmp_path / "supplier.parquet")
+    assert [r.hops for r in Q.shortest_path_length(spark, str(tmp_path)).collect()] == [2]
