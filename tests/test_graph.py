@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,28 @@ def test_leiden_finds_cliques(spark):
     assert community.modularity(e, members).first()[0] > community.modularity(e, single).first()[0]
 
 
+def test_leiden_of_a_large_component():
+    """Each node by itself took some minutes for as many edges."""
+    rng = np.random.default_rng(1)
+    n, m, groups = 20_000, 200_000, 20
+    a = rng.integers(0, n, m)
+    b = np.where(rng.random(m) < 0.8, a % groups + groups * rng.integers(0, n // groups, m), rng.integers(0, n, m))
+    keep = a != b
+    begun = time.time()
+    c = community.leiden(a[keep], b[keep], n, float(keep.sum()))
+    assert time.time() - begun < 20
+    assert len(set(c)) == groups and all(len(set(c[k::groups])) == 1 for k in range(groups))
+
+
+def test_weak_components_in_blocks(spark):
+    """More edges than one task takes, scattered and in blocks, and links that don't get fewer."""
+    rows = [(f"n{i:03}", f"n{i + 3:03}") for i in range(90)] + [(f"h{i % 3}", f"m{i}") for i in range(60)] + [("loop", "loop")]
+    e = spark.createDataFrame(rows, "source string, target string").repartition(5)
+    whole = dict(mro.weak_components(e).collect())
+    assert {whole[f"n{i:03}"] for i in range(93)} == {"n000", "n001", "n002"} and whole["m4"] == "h1" and whole["loop"] == "loop"
+    assert dict(mro.weak_components(e, few=20).collect()) == whole
+
+
 def test_traces_and_processes(spark):
     calls = spark.createDataFrame([("m", "a"), ("a", "b"), ("b", "m"), ("m", "c")], "source string, target string")
     t = community.traces(ids(spark, "m", "a"), calls)
