@@ -290,6 +290,29 @@ def test_c3():
     assert mro.c3("Z", {"Z": ["P", "Q"], "P": ["M", "N"], "Q": ["N", "M"]}) is None
 
 
+def test_c3_merges_long_lists_in_proportion():
+    """Chains with an interface at each step."""
+    bases = {f"c{i}": [f"c{i - 1}", f"i{i}"] for i in range(1, 400)}
+    begun = time.time()
+    order = mro.c3("c399", bases)
+    assert time.time() - begun < 3
+    assert order == [f"c{i}" for i in range(399, -1, -1)] + [f"i{i}" for i in range(1, 400)]
+
+
+def test_ancestor_depths_and_closure_agree_with_ancestors(spark):
+    rng = random.Random(4)
+    rows = [(f"k{i}", f"k{rng.randrange(12) if rng.random() < 0.1 else rng.randrange(i)}", "EXTENDS") for i in range(1, 25) for _ in range(2)]
+    p = spark.createDataFrame(rows, "child string, parent string, type string")
+    assert found(mro.ancestor_depths(p), "child", "ancestor", "depth") == found(mro.ancestors(p), "child", "ancestor", "depth")
+    up = {}
+    for c, a, _ in rows:
+        up.setdefault(c, set()).add(a)
+    reach = {(a, b) for a in up for b in up[a]}
+    while more := {(a, c) for a, b in reach for c in up.get(b, ())} - reach:
+        reach |= more
+    assert found(traverse.closure(p.select(F.col("child").alias("a"), F.col("parent").alias("b"))), "a", "b") == sorted(reach)
+
+
 def test_method_edges(spark):
     p = spark.createDataFrame([("C", "B", "EXTENDS"), ("B", "A", "EXTENDS"), ("C", "I", "IMPLEMENTS")], "child string, parent string, type string")
     order = mro.linearizations(p)
