@@ -354,6 +354,21 @@ def test_weak_components_in_blocks(spark):
     assert dict(mro.weak_components(e, few=20).collect()) == whole
 
 
+def test_traces_shuffle_no_paths_to_count_them(spark, monkeypatch):
+    """An entry that has its number stops, others go on; no level is sorted by entry for that."""
+    plans, cut = [], community.cut
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(community, "cut", watched)
+    calls = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "x"), ("b", "y"), ("y", "z"), ("q", "b")], "source string, target string")
+    got = community.traces(ids(spark, "r", "q"), calls, per_entry=1)
+    assert found(got, "entry", "path") == [("q", ["q", "b", "y", "z"]), ("r", ["r", "a", "x"])]
+    assert not any("Window" in p for p in plans[1:])
+
+
 def test_traces_and_processes(spark):
     calls = spark.createDataFrame([("m", "a"), ("a", "b"), ("b", "m"), ("m", "c")], "source string, target string")
     t = community.traces(ids(spark, "m", "a"), calls)
