@@ -333,7 +333,7 @@ def test_leiden_finds_cliques(spark):
 
 
 def test_leiden_of_a_large_component():
-    """Each node by itself took some minutes for as many edges."""
+    """Local moves are numpy sweeps, not one node at a time."""
     rng = np.random.default_rng(1)
     n, m, groups = 20_000, 200_000, 20
     a = rng.integers(0, n, m)
